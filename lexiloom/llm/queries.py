@@ -5,11 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexiloom.llm import chat as op4
+from lexiloom.llm import packing as op8
 from lexiloom.llm import quality as op1
+from lexiloom.llm import tokencount as op3
+from lexiloom.llm import warc as op6
+from lexiloom.llm.common import scratch
 from lexiloom.session import table
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies on this machine; executors have the same installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op1.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -17,8 +30,36 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4.chat_format(table(spark, sf_dir, "conversations"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    pages = table(spark, sf_dir, "pages")
+    op6.write_warc(pages, path)
+    found = op6.resolve_revisits(op6.read_warc(spark, path))
+    kind = pages.schema["page_id"].dataType
+    return found.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = op8.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op3_token_counts": op3_token_counts,
+        "op4_chat_format": op4_chat_format,
+        "op6_warc": op6_warc,
+        "op8_packing": op8_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
