@@ -11,6 +11,7 @@ from lexiloom.llm import chat as op4
 from lexiloom.llm import packing as op8
 from lexiloom.llm import quality as op1
 from lexiloom.llm import tokencount as op3
+from lexiloom.llm import toxicity as op5
 from lexiloom.llm import warc as op6
 from lexiloom.llm.common import scratch
 from lexiloom.session import table
@@ -38,6 +39,13 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4.chat_format(table(spark, sf_dir, "conversations"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = op5.fit(docs, table(spark, sf_dir, "labels").where(~op5.held_out()))
+    found = op5.toxicity(docs, model)
+    return found.select("doc_id", op5.held_out().alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     pages = table(spark, sf_dir, "pages")
@@ -57,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op3_token_counts": op3_token_counts,
         "op4_chat_format": op4_chat_format,
+        "op5_toxicity": op5_toxicity,
         "op6_warc": op6_warc,
         "op8_packing": op8_packing,
     }
