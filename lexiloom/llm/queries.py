@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import chat as op4
+from lexiloom.llm import jaccard as op10
 from lexiloom.llm import packing as op8
 from lexiloom.llm import quality as op1
 from lexiloom.llm import tokencount as op3
@@ -60,6 +61,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10.jaccard_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -68,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_warc": op6_warc,
         "op8_packing": op8_packing,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 
