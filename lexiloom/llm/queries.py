@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import chat as op4
+from lexiloom.llm import decontam as op9
 from lexiloom.llm import jaccard as op10
 from lexiloom.llm import packing as op8
 from lexiloom.llm import quality as op1
+from lexiloom.llm import spans as op7
 from lexiloom.llm import tokencount as op3
 from lexiloom.llm import toxicity as op5
 from lexiloom.llm import warc as op6
@@ -56,11 +58,20 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = op7.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_sentences", "n_removed", "removed")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = op8.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.jaccard_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -72,7 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_format": op4_chat_format,
         "op5_toxicity": op5_toxicity,
         "op6_warc": op6_warc,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_packing": op8_packing,
+        "op9_decontamination": op9_decontamination,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 

@@ -233,6 +233,19 @@ def toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     return rows.mapInArrow(score, f"doc_id {kind}, score double, predicted int, passages array<struct<first: bigint, after: bigint, score: double>>")
 
 
+def reject(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose text is not predicted toxic, all columns as they are; no shuffle."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Weights(model)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            scores = (probability(evidence(*_scan(t.as_py() or "", weights, model.neutral)), model.ln_k) for t in texts)
+            yield batch.filter(pa.array([s < THRESHOLD for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(keep, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a row is kept from learning: crc32 of the id as text leaves 1 when divided by 3."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
