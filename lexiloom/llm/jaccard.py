@@ -22,6 +22,8 @@ COMMON = 3
 LEVEL = 1.5
 #: Ids of documents to fetch that are sent to every task; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Up to so many documents outside a group's largest component are tried against all of the group.
+FEW = 16
 CACHE_WORDS = 300_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -219,13 +221,8 @@ def _rows(pk, sig, sig2, doc, leader, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([column(x) for x in (pk, sig, sig2, doc, leader, n)], [x.split()[0] for x in _ROW.split(", ")])
 
 
-def overlaps(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b), those whose accumulated overlap reaches the bound: den * common >= num * united.
-
-    Sets are made anew from the texts of the documents that occur in pairs; their ids go to all tasks where
-    they are fewer than BROADCAST_IDS, else both sides are shuffled.
-    """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def document_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(doc_id, grams) of the documents whose doc_id is in ids: sets made anew from the texts."""
     ids = written(ids, "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
     shingler = Shingler(n)
@@ -236,7 +233,16 @@ def overlaps(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> D
             found = [shingler(t, words).view(np.int64) for t in binary_column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "grams"])
 
-    known = _texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id bigint, grams array<bigint>")
+    return _texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id bigint, grams array<bigint>")
+
+
+def overlaps(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b), those whose accumulated overlap reaches the bound: den * common >= num * united.
+
+    The ids of the documents in pairs go to all tasks where they are fewer than BROADCAST_IDS, else both sides are
+    shuffled.
+    """
+    known = document_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), n)
     left = known.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"))
     right = known.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")).cast("long"))
@@ -244,6 +250,49 @@ def overlaps(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> D
     return both.where(F.lit(den) * F.col("common") >= F.lit(num) * united).select("a", "b").distinct()
 
 
+def _left_to_try(docs: DataFrame, groups: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of one group in different components that can be over the bound; groups has (head, doc, component).
+
+    A group is the documents of the keys that one head leads. Where few of them lie outside its largest
+    component, these are tried against all. Else the group is joined by differences: with X the n-grams in which a
+    document differs from the head, two documents differ in |X| + |Y| - 2 |X and Y|, so X and Y have to
+    share at least half of what |X| + |Y| is over the bound. In X the n-grams that fewest of the group have
+    come first; where the first shared one stands too late in either for enough to follow, the pair is dropped
+    in the join. (Near copies with edits of their own share hardly a difference.)
+    """
+    sizes = groups.groupBy("head", "component").agg(F.count("*").alias("k"))
+    known = sizes.groupBy("head").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("total"))
+    known = known.select("head", F.col("most.component").alias("main"), (F.col("total") - F.col("most.k")).alias("outside"))
+    rows = written(groups.join(known, "head"), "groups")
+    ordered = (F.least("d", "doc").alias("a"), F.greatest("d", "doc").alias("b"))
+    pick = lambda t, *more: t.where("component <> main").select("head", F.col("doc").alias("d"), F.col("component").alias("c"), *more)
+
+    few = rows.where(F.col("outside") <= FEW)
+    tried = pick(few).join(few, "head").where("c <> component and (component = main or d < doc)").select(*ordered)
+
+    many = rows.where(F.col("outside") > FEW)
+    sets = document_sets(docs, many.select(F.explode(F.array("head", "doc")).alias("doc_id")).distinct(), n)
+    own = sets.select(F.col("doc_id").alias("doc"), F.col("grams").alias("x"))
+    lead = sets.select(F.col("doc_id").alias("head"), F.col("grams").alias("y"))
+    apart = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    diffs = many.join(own, "doc").join(lead, "head").select("head", "doc", "component", "main", F.size("x").cast("long").alias("n"), apart.alias("g"))
+    diffs = diffs.withColumn("k", F.size("g").cast("long"))
+    # place 0 of an n-gram that nothing has: for pairs whose differences are within the bound together
+    each = diffs.select("head", "doc", "component", "main", "n", "k", F.explode("g").alias("g"))
+    seen = each.groupBy("head", "g").agg(F.count("*").alias("f"))
+    first = Window.partitionBy("head", "doc").orderBy("f", "g")
+    placed = each.join(seen, ["head", "g"]).withColumn("i", F.row_number().over(first).cast("long")).where("f > 1").drop("f")
+    near = diffs.where(f"k <= (n + n * {den} div {num}) * {den - num} div {den + num}")
+    placed = written(placed.select("head", "g", "doc", "component", "main", "n", "k", "i").unionByName(near.select("head", F.lit(None).cast("long").alias("g"), "doc", "component", "main", "n", "k", F.lit(0).cast("long").alias("i"))), "differences")
+    other = pick(placed, "g", F.col("n").alias("m"), F.col("k").alias("l"), F.col("i").alias("j"))
+    bound = f"((n + m) * {den - num} div {den + num})"
+    shared = other.where("g is not null").join(placed.where("g is not null"), ["head", "g"])
+    shared = shared.where(f"c <> component and (component = main or d < doc) and 2 * least(k - i + 1, l - j + 1) >= k + l - {bound}").select(*ordered)
+    within = other.where("g is null").drop("g").join(placed.where("g is null"), "head")
+    within = within.where(f"c <> component and (component = main or d < doc) and k + l <= {bound}").select(*ordered)
+    return tried.union(shared).union(within).distinct()
+
+
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text): classes of links with Jaccard num/den or more.
 
@@ -255,8 +304,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     1. Signatures (see Blocks) give each document a few keys; documents over the bound share one.
     2. Where a key's rows meet, each is paired with the least document only, not with all: as many pairs as rows.
     3. Overlaps of these pairs are counted and held against the bound; those that reach it are links.
-    4. Only pairs of one key in different components are left to try: those of the documents outside the
-       key's largest component, against all of the key.
+    4. Only pairs of one key in different components are left to try, see _left_to_try.
     So every pair over the bound is a link or lies in one component, and a group of near copies costs as
     many pairs as it has members.
     """
@@ -277,14 +325,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     # all rows of a key, each with its component so far; the rows of equal sets need no second look
     tagged = keyed.where("sig2 = 0").select("sig", "doc").union(keyed.where("sig2 = 0").select("sig", F.col("head").alias("doc")))
     tagged = tagged.join(parts.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    sizes = tagged.groupBy("sig", "component").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("sig").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("c")).where("c > 1").select("sig", F.col("most.component").alias("main"))
-    open_rows = written(tagged.join(mixed, "sig").distinct(), "open")
-    if not open_rows.isEmpty():
-        minor = open_rows.where("component <> main").select("sig", F.col("doc").alias("d"), F.col("component").alias("c"))
-        more = minor.join(open_rows.select("sig", "doc", "component", "main"), "sig").where("c <> component and (component = main or d < doc)")
-        more = more.select(F.least("d", "doc").alias("a"), F.greatest("d", "doc").alias("b")).distinct()
-        more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    heads = tagged.groupBy("sig").agg(F.min("doc").alias("head"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("sig", "head")
+    groups = written(tagged.join(heads, "sig").select("head", "doc", "component").distinct(), "groups")
+    if not groups.isEmpty():
+        more = written(_left_to_try(docs, groups, n, num, den).join(pairs, ["a", "b"], "left_anti"), "pairs")
         late = written(overlaps(docs, more, n, num, den), "links")
         if not late.isEmpty():
             parts = components(links.unionByName(late))

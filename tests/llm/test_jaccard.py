@@ -72,6 +72,20 @@ def test_sets_over_the_bound_share_a_signature():
                 assert np.intersect1d(blocks(a, common), blocks(b, common)).size
 
 
+@pytest.mark.parametrize(("few", "edits"), [(0, 0.02), (0, 0.05), (3, 0.03), (10**6, 0.03)])
+def test_groups_near_the_bound(spark, monkeypatch, few, edits):
+    """Near copies of which many are not over the bound with the group's head, joined by differences or directly."""
+    monkeypatch.setattr("lexiloom.llm.jaccard.FEW", few)
+    rng = random.Random(11)
+    base, rows = [f"w{i}" for i in range(150)], []
+    pool = [[w if rng.random() > edits else f"z{rng.randrange(10**6)}" for w in base] for _ in range(40)]
+    pool += [[w if rng.random() > 0.01 else f"y{rng.randrange(10**6)}" for w in rng.choice(pool)] for _ in range(40)]
+    rng.shuffle(pool)
+    rows = [(i, " ".join(w[: rng.choice([150, 150, 145])])) for i, w in enumerate(pool)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == brute(rows, 3, 90, 100)
+
+
 def test_large_groups_of_copies_and_near_copies(spark):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(80)]
