@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import chat as op4
 from lexiloom.llm import decontam as op9
+from lexiloom.llm import htmlcut as op2
 from lexiloom.llm import jaccard as op10
 from lexiloom.llm import packing as op8
 from lexiloom.llm import quality as op1
@@ -34,6 +35,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -79,6 +84,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_html_extraction": op2_html_extraction,
         "op3_token_counts": op3_token_counts,
         "op4_chat_format": op4_chat_format,
         "op5_toxicity": op5_toxicity,
