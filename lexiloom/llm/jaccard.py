@@ -22,9 +22,11 @@ COMMON = 3
 LEVEL = 1.5
 #: Ids of documents to fetch that are sent to every task; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Documents whose signatures a task holds and combines at once.
+SIGN_ROWS = 1000
 #: Up to so many documents outside a group's largest component are tried against all of the group.
 FEW = 16
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -176,7 +178,7 @@ def _signatures(docs: DataFrame, n: int, blocks: Blocks, common: np.ndarray) ->
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, known = _Words(), shared.value
-        for batch in batches:
+        for batch in (b.slice(i, SIGN_ROWS) for b in batches for i in range(0, b.num_rows, SIGN_ROWS)):
             ids = batch.column(0).to_pylist()
             sizes, equal, first = [], [], {}
             sigs, docs_of = [], []

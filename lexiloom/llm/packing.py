@@ -29,11 +29,16 @@ class ByteBpe:
     """
 
     def __init__(self, path: str):
+        self.path = path
+        self.fast = self._fast(path)
+
+    @functools.cached_property
+    def slow(self):
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
-        self.fast = self._fast(path)
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
 
     @staticmethod
     def _fast(path: str):

@@ -19,7 +19,7 @@ PREFIXES = (4, 5, 6)
 LEAST_DOCS, LEAST_ODDS, LEAST_Z = 5, 2.5, 3.5
 #: Dirichlet prior of a token: FLOOR and MASS times its share of all tokens.
 FLOOR, MASS = 0.5, 1000.0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
