@@ -74,7 +74,10 @@ def bootstrap_ci(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([bootstrap_interval([float(x) for x in v]) for v in values], columns=["mean", "lo", "hi"])
 
 
-@F.pandas_udf("struct<diff double, lo double, hi double, p_worse double>")
+DIFFERENCE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("diff", "lo", "hi", "p_worse")])
+
+
+@F.pandas_udf(DIFFERENCE)
 def paired_bootstrap(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Paired bootstrap of b - a over array columns with one place for each question."""
     out = []

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def event_stream(spark: SparkSession, path: str, schema: str, time: str = "ts", files_per_trigger: int = 1) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, schema: str, time: str = "ts", files_per_trigger: int = 1, only: str = "*.parquet") -> DataFrame:
     """Log append's reading side: a Parquet folder as a stream, its time column with a zone (watermarks need one)."""
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", only).parquet(path)
     return s.withColumn(time, F.col(time).cast("timestamp"))
 
 
@@ -39,8 +39,11 @@ def retained(events: DataFrame, horizon: str) -> DataFrame:
     return events.where(F.col("ts").isNull() | (F.col("ts") >= F.current_timestamp() - F.expr(f"interval {horizon}")))
 
 
-def token_bucket(requests: DataFrame, per_minute: float = 20, burst: int = 5, idle_ms: int = 3_600_000) -> DataFrame:
-    """Token bucket as keyed state: (client, event_id, allowed) of requests (client, event_id, at in seconds); idle clients are forgotten."""
+def token_bucket(requests: DataFrame, per_minute: float = 20, burst: int = 5, idle_ms: int | None = None) -> DataFrame:
+    """Token bucket as keyed state: (client, event_id, allowed) of requests (client, event_id, at in seconds); clients idle for idle_ms are forgotten.
+
+    Without idle_ms state is kept; with it Spark runs batches without data too, so a triggered-once query should not set it.
+    """
     rate = per_minute / 60.0
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,9 +61,11 @@ def token_bucket(requests: DataFrame, per_minute: float = 20, burst: int = 5, id
                 tokens -= tokens >= 1
             yield pd.DataFrame({"client": key[0], "event_id": pdf["event_id"], "allowed": allowed})
         state.update((tokens, last))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
-    return requests.groupBy("client").applyInPandasWithState(step, "client bigint, event_id bigint, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return requests.groupBy("client").applyInPandasWithState(step, "client bigint, event_id bigint, allowed boolean", "tokens double, last double", "append", timeout)
 
 
 def ttl_cache(puts: DataFrame, ttl_s: float) -> DataFrame:
