@@ -96,5 +96,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_STOPS = ", ".join(f"'{w}'" for w in sorted(set(op1.STOP_WORDS)))
+_WORDS = r"list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP1_SQL = rf"""with d as (select doc_id, coalesce(text, '') as t, {_WORDS.format(t="coalesce(text, '')")} as w from documents),
+  g as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as k from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)),
+  r as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from g where k > 1) group by doc_id),
+  m as (select doc_id, len(w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines, coalesce(r.n, 0) as n_repeat_words,
+    len(list_filter(regexp_split_to_array(lower(t), '[\x20\x09-\x0D.,;:!?]+'), lambda x: x in ({_STOPS}))) as n_stop_words from d left join r using (doc_id)),
+  b as (select *, len(lines) - len(list_distinct(lines)) as n_dup_lines, len(lines) as n_lines, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
+  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words, base_failed,
+    not base_failed and word_chars / n_words between 2.5 and 12.0 and n_symbols / n_words <= 0.1 and n_stop_words / n_words >= 0.06 and n_dup_lines / n_lines <= 0.4 as kept from b"""
+
+OP4_SQL = """with c as (select conv_id, list({'r': role, 't': text} order by turn, role, text) as l, string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10), '' order by turn, role, text) as text from conversations group by 1)
+  select conv_id, len(l) as n_turns, text from c a where not exists (select 1 from c b where len(b.l) > len(a.l) and b.l[1:len(a.l)] = a.l) and not exists (select 1 from c b where b.l = a.l and b.conv_id < a.conv_id)"""
+
+OP6_SQL = """with p as (select page_id, coalesce(html, '') as h, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as d from pages), t as (select *, max(page_id) over (partition by d) as top from p)
+  select page_id, n as payload_bytes, d as payload_digest, case when n >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type, case when n >= 1000 and page_id <> top then top end as refers_to from t"""
+
+OP10_SQL = rf"""with recursive d as (select doc_id, {_WORDS.format(t="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+  s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g from d),
+  n as (select doc_id, count(*) as n from s group by 1),
+  o as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+  l as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 90 * (x.n + y.n - k)),
+  r(a, b) as (select doc_id, doc_id from d union select r.a, l.b from r join l on r.b = l.a)
+  select d.doc_id, coalesce(n.n, 0) as n_shingles, min(r.b) as component_id from d left join n using (doc_id) join r on r.a = d.doc_id group by all"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can say. The others are tested against brute force, exact round trips or held-out labels in tests/llm."""
+    return {"op1_quality_rules": OP1_SQL, "op4_chat_format": OP4_SQL, "op6_warc": OP6_SQL, "op10_ngram_jaccard": OP10_SQL}
