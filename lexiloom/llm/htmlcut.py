@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import binary_column
+from lexiloom.llm.common import binary_column, trimmed
 
 # Elements of HTML by what they do to a text.
 BLOCKS = frozenset(
@@ -245,4 +245,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").cast("binary").alias("html"))
-    return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string")
+    return rows.mapInArrow(trimmed(run), f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string")

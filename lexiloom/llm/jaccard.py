@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import binary_column, components, written
+from lexiloom.llm.common import binary_column, components, trimmed, written
 
 #: Documents, by least hash of their id, in which n-grams are looked for that many documents share.
 SAMPLE_DOCS = 10_000
@@ -158,7 +158,7 @@ def common_grams(docs: DataFrame, n: int, sample_docs: int = SAMPLE_DOCS, least:
             found, k = np.unique(np.concatenate([np.empty(0, np.uint64), *seen.values()]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(k.astype(np.int64))], ["gram", "k"])
 
-    counted = _texts(docs).join(F.broadcast(ids), "doc_id").select("text").mapInArrow(grams, "gram bigint, k bigint").groupBy("gram").agg(F.sum("k").alias("k"))
+    counted = _texts(docs).join(F.broadcast(ids), "doc_id").select("text").mapInArrow(trimmed(grams), "gram bigint, k bigint").groupBy("gram").agg(F.sum("k").alias("k"))
     found = counted.where(F.col("k") >= least).select("gram").toArrow().column("gram").to_numpy()
     return np.sort(found.astype(np.int64).view(np.uint64))
 
@@ -214,7 +214,7 @@ def _signatures(docs: DataFrame, n: int, blocks: Blocks, common: np.ndarray) ->
                     pk = np.where(start[cut], sig[cut], mix(who[cut].view(np.uint64) + sig[cut])).view(np.int64)
                     yield _rows(pk, sig[cut].view(np.int64), np.zeros(len(pk), np.int64), who[cut], pa.array(lead[cut], mask=start[cut]), None)
 
-    return _texts(docs).mapInArrow(sign, _ROW)
+    return _texts(docs).mapInArrow(trimmed(sign), _ROW)
 
 
 def _rows(pk, sig, sig2, doc, leader, n) -> pa.RecordBatch:
@@ -235,7 +235,7 @@ def document_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             found = [shingler(t, words).view(np.int64) for t in binary_column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "grams"])
 
-    return _texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id bigint, grams array<bigint>")
+    return _texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(trimmed(sets), "doc_id bigint, grams array<bigint>")
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm.common import trimmed
+
 MAX_LENGTH = 2048
 END_ID = 1
 
@@ -121,7 +123,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_length: int = MAX_LENGTH, end
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(pieces, f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, bucket int, ids binary")
+    out = rows.mapInArrow(trimmed(pieces), f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, bucket int, ids binary")
     return out.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 

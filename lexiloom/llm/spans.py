@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import written
+from lexiloom.llm.common import trimmed, written
 
 #: A span has two sentences and SPAN_WORDS words at least, or is one sentence of LONG_WORDS words at least.
 SPAN_WORDS = 25
@@ -115,7 +115,7 @@ def document_spans(docs: DataFrame, least: int, long: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(both[cut, 0].copy()), pa.array(both[cut, 1].copy()), ids.take(pa.array(where[cut]))], ["h1", "h2", "doc_id"])
 
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(digests, f"h1 bigint, h2 bigint, doc_id {rows.schema['doc_id'].dataType.simpleString()}")
+    return rows.mapInArrow(trimmed(digests), f"h1 bigint, h2 bigint, doc_id {rows.schema['doc_id'].dataType.simpleString()}")
 
 
 def repeated_spans(docs: DataFrame, least: int = SPAN_WORDS, long: int = LONG_WORDS) -> DataFrame:
@@ -161,4 +161,4 @@ def substring_dedup(docs: DataFrame, least: int = SPAN_WORDS, long: int = LONG_W
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(ranges, kind)], [*names, "n_sentences", "n_removed", "removed"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return joined.mapInArrow(cut, f"{schema}, n_sentences bigint, n_removed bigint, removed array<struct<start: bigint, end: bigint>>")
+    return joined.mapInArrow(trimmed(cut), f"{schema}, n_sentences bigint, n_removed bigint, removed array<struct<start: bigint, end: bigint>>")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm.common import trimmed
+
 MARK = "▁"
 #: What an unknown character scores below the least piece; a fixed value of the unigram model.
 UNKNOWN_PENALTY = 10.0
@@ -133,4 +135,4 @@ def token_counts(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id",
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("n_bytes")
     )
-    return rows.mapInArrow(counts, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, n_bytes bigint")
+    return rows.mapInArrow(trimmed(counts), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, n_bytes bigint")

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm.common import trimmed
+
 #: The most labelled documents that the classifier is fitted on: those with the least hash of their id.
 FIT_DOCS = 20_000
 THRESHOLD = 0.7
@@ -143,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
 
     sample = _sample(docs, labels, fit_docs).persist()
     try:
-        table = sample.mapInArrow(counts, "word string, y1 bigint, y0 bigint, d1 bigint").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("y1", "y0", "d1")))
+        table = sample.mapInArrow(trimmed(counts), "word string, y1 bigint, y0 bigint, d1 bigint").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("y1", "y0", "d1")))
         table = table.persist()
         n1, n0 = (x or 0 for x in table.agg(F.sum("y1"), F.sum("y0")).first())
         if not n1 or not n0:
@@ -184,7 +186,7 @@ def _evidence(sample: DataFrame, model: Model) -> DataFrame:
             x = [evidence(*_scan(t, weights, model.neutral)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], ["x", "toxic"])
 
-    return sample.mapInArrow(scan, "x double, toxic int")
+    return sample.mapInArrow(trimmed(scan), "x double, toxic int")
 
 
 def _scan(text: str, weights: Weights, neutral: float) -> tuple[list[tuple[int, int, float]], int]:
@@ -230,7 +232,7 @@ def toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(score, f"doc_id {kind}, score double, predicted int, passages array<struct<first: bigint, after: bigint, score: double>>")
+    return rows.mapInArrow(trimmed(score), f"doc_id {kind}, score double, predicted int, passages array<struct<first: bigint, after: bigint, score: double>>")
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
@@ -243,7 +245,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
             scores = (probability(evidence(*_scan(t.as_py() or "", weights, model.neutral)), model.ln_k) for t in texts)
             yield batch.filter(pa.array([s < THRESHOLD for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(keep, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return docs.mapInArrow(trimmed(keep), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import binary_column
+from lexiloom.llm.common import binary_column, trimmed
 
 CRLF = b"\r\n"
 VERSION = b"WARC/1.1"
@@ -66,7 +66,7 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES,
         if held:
             yield _one(held)
 
-    out = marked.select("page_id", "nonce", "url", "payload", "digest", "refers_to").mapInArrow(blocks, "value binary")
+    out = marked.select("page_id", "nonce", "url", "payload", "digest", "refers_to").mapInArrow(trimmed(blocks), "value binary")
     # what ends a record, two line ends, is the text writer's separator
     out.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", 1).text(path)
 
@@ -213,7 +213,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                     yield _columns(rows, names, kinds)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(parse, _SEGMENT)
+    return files.mapInArrow(trimmed(parse), _SEGMENT)
 
 
 def _columns(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -241,7 +241,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         )
         .select("record_id", F.coalesce("first.record_type", F.lit("response")).alias("record_type"), "first.url", "first.digest", "first.refers_to", "parts")
     )
-    return alone.mapInArrow(_whole, _RECORD).unionByName(groups.mapInArrow(_whole, _RECORD))
+    return alone.mapInArrow(trimmed(_whole), _RECORD).unionByName(groups.mapInArrow(trimmed(_whole), _RECORD))
 
 
 def _page(record_id: str | None) -> str | None:
