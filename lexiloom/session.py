@@ -29,6 +29,11 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return spark
 
 
+#: Parquet's vectored reads go through direct buffers that a JVM keeps for each of its threads, outside its heap; with
+#: small executors that is what runs over first.
+PLAIN_READS = {"parquet.hadoop.vectored.io.enabled": "false"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's Parquet tables; Spark's own reader, so any store it knows will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.options(**PLAIN_READS).parquet(f"{sf_dir}/{name}.parquet")
