@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.session import PLAIN_READS
+
 #: White space of the word contract: \x20 and \x09 to \x0D.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -39,7 +41,7 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     """df, written once as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.options(**PLAIN_READS).schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
