@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text as X
 from lexiloom.operators import chunking, lexical, rank, refs, vector
 from lexiloom.operators.sets import metadata_filter
+from lexiloom.session import UNIONS, materialized
 
 
 @dataclass(frozen=True)
@@ -54,11 +55,13 @@ def query_variants(questions: DataFrame, o: SearchOptions) -> DataFrame:
 def search(chunks: DataFrame, questions: DataFrame, o: SearchOptions | None = None, acts: DataFrame | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, doc, score, requested, pinned) of the top k of each question (query_id, question).
 
-    chunks: doc, text, body, act_id, section_id, number, part, kind, repealed, omitted. One job for all questions: a
+    chunks: doc, text, body, act_id, section_id, number, part, kind, repealed, omitted. For all questions at once: a
     ranked list of each variant and of the vectors, fused, then boosts, references, caps, diversity,
     reranking and topic pins as windows over (query_id), in that order.
     """
     o = o or SearchOptions()
+    for key, value in UNIONS.items():
+        questions.sparkSession.conf.set(key, value)
     c = max(o.candidates, o.k)
     where = metadata_filter(dict(o.filters)) if o.filters else None
     variants = query_variants(questions, o)
@@ -72,12 +75,13 @@ def search(chunks: DataFrame, questions: DataFrame, o: SearchOptions | None = No
     weighted = lists.join(questions.select("query_id", weights.alias("w")), "query_id")
     share = F.when(F.col("list") == "dense", F.col("w.dense")).otherwise(F.col("w.lexical"))
     fused = weighted.groupBy("query_id", "doc").agg(F.round(F.sum(share / (F.lit(o.rrf_k) + F.col("rank"))), 9).alias("score"))
-    hits = lexical.top_k(fused, c)
+    # a few rows a question: written once, since the stages after it look at them several times
+    hits = materialized(lexical.top_k(fused, c), "hits")
     meta = chunks.select("doc", "act_id", "section_id", "number", "part", "kind", "repealed", "omitted", "text", "body")
     hits = hits.join(meta.drop("text", "body"), "doc")
     if o.in_force:
         hits = rank.boost_in_force(hits, F.coalesce("omitted", F.lit(False)), F.coalesce("repealed", F.lit(False)))
-    hits = hits.withColumn("requested", F.lit(False))
+    hits = materialized(hits.withColumn("requested", F.lit(False)), "hits")
     if o.resolve and acts is not None:
         named = refs.resolve_acts(questions, acts)
         numbers = questions.select("query_id", X.section_numbers("question").alias("numbers"))
@@ -88,7 +92,7 @@ def search(chunks: DataFrame, questions: DataFrame, o: SearchOptions | None = No
         act_ok = F.col("acts").isNull() | F.array_contains("acts", F.col("act_id"))
         asked_for = (F.size(F.coalesce("numbers", F.array().cast("array<string>"))) > 0) | F.col("acts").isNotNull()
         ordered = rank.promote_references(wanted, exact, F.coalesce(asked_for & number_ok & act_ok, F.lit(False)))
-        hits = ordered.join(meta.drop("text", "body"), "doc")
+        hits = materialized(ordered.join(meta.drop("text", "body"), "doc"), "hits")
     if o.max_parts:
         hits = rank.cap_per_group(hits, ["act_id", "section_id"], o.max_parts)
     if o.mmr_lambda is not None and vectors is not None:

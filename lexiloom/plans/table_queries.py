@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from lexiloom.functions import stats as S
 from lexiloom.functions import text as X
 from lexiloom.operators import logs, metrics, rank, sets
 from lexiloom.plans.registry import query
-from lexiloom.session import table
+from lexiloom.session import shared_folder, table
 from lexiloom.sources import files
 
 # ------------------------------------------------------------------ usage logs: events stand in for them
@@ -355,7 +353,7 @@ def jsonl_round_trip(spark, sf_dir):
     """JSONL write and read (gz), lenient log scan, CSV sheet and grades scan, BM25 index write and load, manifest scan."""
     from lexiloom.operators import lexical
 
-    top = _shared(spark)
+    top = shared_folder(spark, "tables")
     d = table(spark, sf_dir, "conversations")
     files.write_jsonl(d, f"{top}/rows")
     back = files.read_jsonl(spark, f"{top}/rows", "conv_id bigint, turn bigint, role string, text string")
@@ -366,17 +364,6 @@ def jsonl_round_trip(spark, sf_dir):
     return back.agg(F.count("*").alias("rows"), F.countDistinct("conv_id").alias("conversations")).crossJoin(graded).crossJoin(index.corpus.select("n"))
 
 
-def _shared(spark) -> str:
-    """A fresh folder that driver and executors share."""
-    import uuid
-
-    context = spark.sparkContext
-    found = context._jsc.sc().getCheckpointDir()
-    if not found.isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiloom-"))
-    return f"{context._jsc.sc().getCheckpointDir().get()}/tables-{uuid.uuid4().hex}"
-
-
 # ------------------------------------------------------------------ streams
 
 
@@ -389,7 +376,7 @@ def _stream(spark, sf_dir):
 
 def drained(spark, df, name: str, mode: str = "append"):
     """The rows of a streaming query after all that is there has been read."""
-    path = _shared(spark)
+    path = shared_folder(spark, "tables")
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     if mode == "append":
         q.format("parquet").option("path", f"{path}/out").start().awaitTermination()

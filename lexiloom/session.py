@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+#: Spark 4.1 may zip the sides of a union although adaptive execution has given them different numbers of partitions; set on
+#: whatever session a table is read with.
+UNIONS = {"spark.sql.unionOutputPartitioning": "false"}
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -13,6 +18,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    **UNIONS,
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -36,4 +42,22 @@ PLAIN_READS = {"parquet.hadoop.vectored.io.enabled": "false"}
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's Parquet tables; Spark's own reader, so any store it knows will do."""
+    for key, value in UNIONS.items():
+        spark.conf.set(key, value)
     return spark.read.options(**PLAIN_READS).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share, spark.checkpoint.dir; a temporary one only where none is set."""
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiloom-"))
+    return f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back, for small results that several branches of a plan use."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.options(**PLAIN_READS).schema(df.schema).parquet(path)
