@@ -11,21 +11,22 @@ BLOCK = 256
 
 def _lanes(ordinal: Column) -> dict[str, Column]:
     """Four 31-bit hashes of a turn at its place; their running sums are the prefix hash and cannot overflow."""
-    a = F.xxhash64(ordinal, F.lit(11), "role", "text", F.isnull("role"), F.isnull("text"))
-    b = F.xxhash64(F.lit(29), "text", "role", ordinal, F.isnull("text"), F.isnull("role"))
+    a, b = F.xxhash64(ordinal, "c0", "c1"), F.xxhash64(F.lit(29), "c1", ordinal, "c0")
     low, high = F.lit(0x7FFFFFFF), 33
     return {"h0": a.bitwiseAND(low), "h1": F.shiftrightunsigned(a, high), "h2": b.bitwiseAND(low), "h3": F.shiftrightunsigned(b, high)}
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn, role, text) with ordinal (1, 2, ... in each conversation) and h0..h3, the hash of all up to it.
+    """conv_id, ordinal (1, 2, ... in each conversation) and h0..h3, the hash of all turns up to it, for turns (conv_id, turn, role, text).
 
-    Order is by turn, then role, then text; rows that are equal in all of these are interchangeable. A
-    conversation is cut into blocks of turn numbers: sums inside blocks and sums over block totals are two
-    windows, so a conversation with very many turns is spread over tasks.
+    Turns are reduced to two hashes of role and text before anything is shuffled. Order is by turn, then by these
+    hashes; rows that are equal in all are interchangeable. A conversation is cut into blocks of turn
+    numbers: sums inside blocks and sums over block totals are two windows, so a conversation with
+    very many turns is spread over tasks.
     """
-    t = turns.select("conv_id", "turn", "role", "text").withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK))
-    order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    content = [F.xxhash64("role", "text", F.isnull("role"), F.isnull("text")).alias("c0"), F.xxhash64(F.lit(7), "text", "role", F.isnull("text"), F.isnull("role")).alias("c1")]
+    t = turns.select("conv_id", "turn", *content).withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK))
+    order = [F.col("turn").asc_nulls_first(), F.col("c0"), F.col("c1")]
     inside = Window.partitionBy("conv_id", "block").orderBy(*order)
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -33,7 +34,7 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     starts = counts.withColumn("base", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
     t = _with(t, starts)
     t = t.withColumn("ordinal", F.col("base") + F.row_number().over(inside)).drop("base")
-    t = t.withColumns(_lanes(F.col("ordinal")))
+    t = t.select("conv_id", "block", "ordinal", *(c.alias(h) for h, c in _lanes(F.col("ordinal")).items()))
     lanes = ["h0", "h1", "h2", "h3"]
     totals = t.groupBy("conv_id", "block").agg(*(F.sum(h).alias(h) for h in lanes))
     offsets = totals.select("conv_id", "block", *(F.coalesce(F.sum(h).over(before), F.lit(0)).alias(f"b_{h}") for h in lanes))
@@ -69,7 +70,7 @@ def render(role: Column, text: Column) -> Column:
 def chat_format(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, text of each maximal conversation: its turns in order, each as a role line and its text.
 
-    Null roles and texts are rendered as empty; turns with equal numbers stand in order of role and text;
+    Null roles and texts are rendered as empty; turns with equal numbers are rendered in order of role and text;
     repeated turns stay. An empty table gives no rows, columns other than the four are ignored.
     """
     kept = maximal(turns)
