@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import binary_column, trimmed
+from lexiloom.llm.common import binary_column, trimmed, written
 
 CRLF = b"\r\n"
 VERSION = b"WARC/1.1"
@@ -22,6 +22,8 @@ REVISIT_BYTES = 1000
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
 FILE_BYTES = 8 << 20
+#: Up to so many revisits are sent to every task.
+BROADCAST_ROWS = 100_000
 _URN = "urn:lexiloom:page:"
 
 
@@ -50,8 +52,10 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES,
     """
     rows = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     marked = rows.withColumn("digest", F.sha1("payload"))
-    revisits = revisit_targets(marked.select("page_id", F.octet_length("payload").alias("n"), "digest"))
-    marked = marked.join(revisits, ["page_id", "digest"], "left").withColumn("nonce", F.monotonically_increasing_id())
+    revisits = written(revisit_targets(marked.select("page_id", F.octet_length("payload").alias("n"), "digest")), "revisits")
+    # payloads are shuffled only where the revisits are too many to be sent to every task
+    few = revisits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    marked = marked.join(F.broadcast(revisits) if few else revisits.hint("merge"), ["page_id", "digest"], "left").withColumn("nonce", F.monotonically_increasing_id())
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0

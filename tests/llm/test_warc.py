@@ -13,7 +13,9 @@ def make(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
 
 
-def test_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("few", [100_000, 2])
+def test_round_trip(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(W, "BROADCAST_ROWS", few)
     rng = random.Random(1)
     long = ["".join(rng.choice("abc é漢\r\n<>") for _ in range(n)) for n in (999, 1200, 5000, 70_000)]
     tricky = "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n0\r\n\r\n" * 60
