@@ -158,11 +158,11 @@ def cohen_kappa(spark, sf_dir):
 
 @query()
 def bootstrap_intervals(spark, sf_dir):
-    """Bootstrap CI, paired bootstrap, paired verdict, per-question join of runs."""
-    lab = table(spark, sf_dir, "labels").where("doc_id < 400").select((F.col("doc_id") % 3).alias("slice"), "doc_id", F.col("quality").cast("double").alias("a"), (1.0 - F.col("toxic")).alias("b"))
-    g = lab.groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("doc_id", "a", "b"))).alias("r"))
-    g = g.select("slice", F.transform("r", lambda x: x["a"]).alias("a"), F.transform("r", lambda x: x["b"]).alias("b"))
-    g = g.withColumn("ci", S.bootstrap_ci("a")).withColumn("d", S.paired_bootstrap("a", "b"))
+    """Bootstrap CI, paired bootstrap, paired verdict, per-question join of runs. Of each slice only counts of distinct (a, b) are gathered."""
+    lab = table(spark, sf_dir, "labels").select((F.col("doc_id") % 3).alias("slice"), F.col("quality").cast("double").alias("a"), (1.0 - F.col("toxic")).alias("b"))
+    g = lab.groupBy("slice", "a", "b").agg(F.count("*").alias("n")).groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("a", "b", "n"))).alias("r"))
+    g = g.select("slice", "r.a", "r.b", "r.n")
+    g = g.withColumn("ci", S.bootstrap_ci_counts("a", "n")).withColumn("d", S.paired_bootstrap_counts("a", "b", "n"))
     return g.select("slice", "ci.mean", "ci.lo", "ci.hi", F.col("d.diff").alias("diff"), F.col("d.p_worse").alias("p_worse"), S.paired_verdict(F.col("d.lo"), F.col("d.hi")).alias("verdict"))
 
 

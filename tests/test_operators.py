@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import stats as S
 from lexiloom.operators import chunking, evidence, lexical, logs, metrics, rank, refs, sets, vector
+from lexiloom.plans import catalog
 from lexiloom.sources import files, pages
 
 
@@ -167,6 +168,21 @@ def test_statistics(spark):
     assert sims.agg(S.false_merge_threshold(F.col("s"), 0.005)).first()[0] == pytest.approx(0.965)
 
 
+def test_bootstrap_intervals_of_all_labels(spark, tmp_path):
+    """Ids far over 400 count, and intervals are those of drawing row by row, up to chance."""
+    rng = random.Random(3)
+    labels = [(i * 7, int(rng.random() < (0.9 if i < 50 else 0.3)), int(rng.random() < 0.2)) for i in range(1200)]
+    spark.createDataFrame([*labels, (3000000, None, 1), (3000003, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.slice: r for r in catalog.QUERIES["bootstrap_intervals"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1, 2]
+    for s, r in got.items():
+        a = [float(q) for d, q, _ in labels if d % 3 == s] + [1.0] * (s == 0)
+        mean, lo, hi = S.bootstrap_interval(a)
+        assert r["mean"] == pytest.approx(mean) and r.lo == pytest.approx(lo, abs=0.01) and r.hi == pytest.approx(hi, abs=0.01)
+        d = [1.0 - t - q for i, q, t in labels if i % 3 == s]
+        assert r["diff"] == pytest.approx(sum(d) / len(d)) and r.verdict == "better" and r.p_worse == 0.0
+
+
 def test_eval_validation(spark):
     schema = "id string, question string, language string, type string, gold array<string>, gold_grades map<string,int>"
     items = spark.createDataFrame([("a", "Q one", "en", "single", ["1:2"], {}), ("b", "q ONE", "xx", "multi", ["1:2", "bad"], {"9:9": 7})], schema)
