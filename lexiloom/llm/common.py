@@ -16,6 +16,8 @@ from lexiloom.session import PLAIN_READS
 
 #: White space of the word contract: \x20 and \x09 to \x0D.
 SPACE = " \t\n\x0b\x0c\r"
+#: Letters of scripts that put no white space between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han. For a class of a pattern.
+UNSPACED = "\u0e00-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 
 
 def shared_dir(spark: SparkSession) -> str:
