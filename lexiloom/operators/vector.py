@@ -37,25 +37,30 @@ def append_vectors(index: DataFrame, new: DataFrame, dim: int, vector: str = "em
     return index.unionByName(new.withColumn(vector, checked), allowMissingColumns=True)
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", where: Column | None = None, unlike: str | None = None) -> DataFrame:
     """Dense top-k: (query_id, doc, score, rank) by cosine, filters first.
 
     Each block of questions (query_id, qv) is a matrix sent to the tasks; a task multiplies batches of vectors with
     it and keeps its k best for each question, so what is shuffled is k rows a question and task, not
-    all pairs. One pass over the vectors for each BLOCK_QUERIES questions.
+    all pairs. One pass over the vectors for each BLOCK_QUERIES questions. With `unlike`, a column of both, a question's
+    hits have another value there than the question; rows and questions without one are left out.
     """
     rows = vectors if where is None else vectors.where(where)
-    rows = rows.select(F.col(key).cast("long").alias("doc"), F.col(vector).alias("v"))
+    own = []
+    if unlike is not None:
+        own = [F.col(unlike).alias("kind")]
+        rows, queries = rows.where(F.col(unlike).isNotNull()), queries.where(F.col(unlike).isNotNull())
+    rows = rows.select(F.col(key).cast("long").alias("doc"), F.col(vector).alias("v"), *own)
     spark = vectors.sparkSession
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     out = None
     for i in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "qv").collect()
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "qv", *own).collect()
         if not part:
             continue
         ids = np.array([r["query_id"] for r in part], np.int64)
         m = np.array([r["qv"] for r in part], np.float64)
-        shared = spark.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)))
+        shared = spark.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12), np.array([r["kind"] for r in part]) if own else None))
         found = rows.mapInPandas(_best(shared, k), "query_id bigint, doc bigint, score double")
         out = found if out is None else out.unionByName(found)
     if out is None:
@@ -65,19 +70,22 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
 
 def _best(shared, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
+        ids, q, kinds = shared.value
         docs, scores = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
         for batch in batches:
             if batch.empty:
                 continue
             v = np.stack(batch["v"].to_numpy()).astype(np.float64)
             s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T, 9)
+            if kinds is not None:
+                s[kinds[:, None] == batch["kind"].to_numpy()] = -np.inf
             d = np.broadcast_to(batch["doc"].to_numpy(), s.shape)
             docs, scores = np.concatenate((docs, d), 1), np.concatenate((scores, s), 1)
             order = np.lexsort((docs, -np.round(scores, 6)), axis=1)[:, :k]
             docs, scores = np.take_along_axis(docs, order, 1), np.take_along_axis(scores, order, 1)
         if docs.shape[1]:
-            yield pd.DataFrame({"query_id": np.repeat(ids, docs.shape[1]), "doc": docs.ravel(), "score": scores.ravel()})
+            found = pd.DataFrame({"query_id": np.repeat(ids, docs.shape[1]), "doc": docs.ravel(), "score": scores.ravel()})
+            yield found if kinds is None else found[found["score"] > -np.inf]
 
     return run
 

@@ -183,6 +183,13 @@ def test_bootstrap_intervals_of_all_labels(spark, tmp_path):
         assert r["diff"] == pytest.approx(sum(d) / len(d)) and r.verdict == "better" and r.p_worse == 0.0
 
 
+def test_false_merge_threshold_of_any_label(spark, tmp_path):
+    """The nearest pair of unequal labels counts whatever its labels are; equal labels and missing ones don't."""
+    e = [(0, [1.0, 0.0], 11), (50, [0.0, 1.0], 3), (1, [1.0, 0.0], 11), (2, [0.96, 0.28], 12), (3, [0.6, 0.8], 4), (4, [1.0, 0.0], None)]
+    spark.createDataFrame(e, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert catalog.QUERIES["false_merge_threshold"](spark, str(tmp_path)).first()[0] == pytest.approx(0.97)
+
+
 def test_eval_validation(spark):
     schema = "id string, question string, language string, type string, gold array<string>, gold_grades map<string,int>"
     items = spark.createDataFrame([("a", "Q one", "en", "single", ["1:2"], {}), ("b", "q ONE", "xx", "multi", ["1:2", "bad"], {"9:9": 7})], schema)
