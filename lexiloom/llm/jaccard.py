@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,8 +25,12 @@ LEVEL = 1.5
 BROADCAST_IDS = 2_000_000
 #: Documents whose signatures a task holds and combines at once.
 SIGN_ROWS = 1000
+#: Rows of a table of keys that are sent to every task; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 #: Up to so many documents outside a group's largest component are tried against all of the group.
 FEW = 16
+#: Up to so many documents that share an uncommon difference from their group are paired.
+SMALL = 8
 CACHE_WORDS = 150_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -238,13 +243,8 @@ def document_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return _texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(trimmed(sets), "doc_id bigint, grams array<bigint>")
 
 
-def overlaps(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b), those whose accumulated overlap reaches the bound: den * common >= num * united.
-
-    The ids of the documents in pairs go to all tasks where they are fewer than BROADCAST_IDS, else both sides are
-    shuffled.
-    """
-    known = document_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), n)
+def overlaps(known: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b), those whose accumulated overlap reaches the bound: den * common >= num * united; known has their sets."""
     left = known.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"))
     right = known.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")).cast("long"))
@@ -252,47 +252,105 @@ def overlaps(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> D
     return both.where(F.lit(den) * F.col("common") >= F.lit(num) * united).select("a", "b").distinct()
 
 
-def _left_to_try(docs: DataFrame, groups: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of one group in different components that can be over the bound; groups has (head, doc, component).
+def _beside(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows with the columns of few, a table with one row a key: sent to every task where it has BROADCAST_KEYS rows
+    at most, else joined by a shuffle whose large partitions adaptive execution can split, for few is written before."""
+    few = written(few, "keys")
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_KEYS else few.hint("merge"), on, how)
+
+
+_ORDERED = ("least(d, doc) a", "greatest(d, doc) b")
 
-    A group is the documents of the keys that one head leads. Where few of them lie outside its largest
-    component, these are tried against all. Else the group is joined by differences: with X the n-grams in which a
-    document differs from the head, two documents differ in |X| + |Y| - 2 |X and Y|, so X and Y have to
-    share at least half of what |X| + |Y| is over the bound. In X the n-grams that fewest of the group have
-    come first; where the first shared one stands too late in either for enough to follow, the pair is dropped
-    in the join. (Near copies with edits of their own share hardly a difference.)
-    """
-    sizes = groups.groupBy("head", "component").agg(F.count("*").alias("k"))
-    known = sizes.groupBy("head").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("total"))
-    known = known.select("head", F.col("most.component").alias("main"), (F.col("total") - F.col("most.k")).alias("outside"))
-    rows = written(groups.join(known, "head"), "groups")
-    ordered = (F.least("d", "doc").alias("a"), F.greatest("d", "doc").alias("b"))
-    pick = lambda t, *more: t.where("component <> main").select("head", F.col("doc").alias("d"), F.col("component").alias("c"), *more)
 
+def _divide(known: DataFrame, groups: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """One round over groups (gid, doc, component): (pairs to try, sure links, groups of the next round).
+
+    Every pair of a group in different components that can be over the bound is a pair to try, is joined by the
+    links, or is in a group of the next round. Where few documents lie outside a group's largest component, these
+    are tried against all of it. Else let C be the n-grams that more than half of the group have, and X those in
+    which a document of n n-grams differs from C. Two documents differ in |X| + |Y| - 2 |X and Y| n-grams, which the
+    bound holds under (n + m)(den - num)/(den + num). With s = (den + num)|X| - (den - num) n that is
+    s + s' <= 2 (den + num) |X and Y|, so:
+
+    * where s + s' <= 0 the pair is over the bound. Then the document with the least s is over the bound with
+      both, and one row a document says all that is to say about such pairs;
+    * else X and Y share o = (s + s')/(2 (den + num)) n-grams at least, rounded up. With the n-grams of X that fewest
+      of the group have first, one of them is among the first |X| - o + 1, with the least s' that a partner
+      in another component can have. The others make no row.
+
+    The documents of such an n-gram in different components are paired where there are SMALL at most; more are a
+    group of the next round. As an n-gram in X is one that at most half of the group differ in, groups halve.
+    """
+    twice = 2 * (den + num)
+    heads = groups.groupBy("gid", "component").agg(F.count("*").alias("k")).groupBy("gid")
+    heads = heads.agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("total"))
+    rows = _beside(groups, heads.select("gid", "total", F.col("most.component").alias("main"), (F.col("total") - F.col("most.k")).alias("outside")), ["gid"])
+    rows = written(rows, "groups")
+    pick = lambda t, *more: t.where("component <> main").select("gid", F.col("doc").alias("d"), F.col("component").alias("c"), *more)
+    apart = "c <> component and (component = main or d < doc)"
     few = rows.where(F.col("outside") <= FEW)
-    tried = pick(few).join(few, "head").where("c <> component and (component = main or d < doc)").select(*ordered)
-
-    many = rows.where(F.col("outside") > FEW)
-    sets = document_sets(docs, many.select(F.explode(F.array("head", "doc")).alias("doc_id")).distinct(), n)
-    own = sets.select(F.col("doc_id").alias("doc"), F.col("grams").alias("x"))
-    lead = sets.select(F.col("doc_id").alias("head"), F.col("grams").alias("y"))
-    apart = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
-    diffs = many.join(own, "doc").join(lead, "head").select("head", "doc", "component", "main", F.size("x").cast("long").alias("n"), apart.alias("g"))
-    diffs = diffs.withColumn("k", F.size("g").cast("long"))
-    # place 0 of an n-gram that nothing has: for pairs whose differences are within the bound together
-    each = diffs.select("head", "doc", "component", "main", "n", "k", F.explode("g").alias("g"))
-    seen = each.groupBy("head", "g").agg(F.count("*").alias("f"))
-    first = Window.partitionBy("head", "doc").orderBy("f", "g")
-    placed = each.join(seen, ["head", "g"]).withColumn("i", F.row_number().over(first).cast("long")).where("f > 1").drop("f")
-    near = diffs.where(f"k <= (n + n * {den} div {num}) * {den - num} div {den + num}")
-    placed = written(placed.select("head", "g", "doc", "component", "main", "n", "k", "i").unionByName(near.select("head", F.lit(None).cast("long").alias("g"), "doc", "component", "main", "n", "k", F.lit(0).cast("long").alias("i"))), "differences")
-    other = pick(placed, "g", F.col("n").alias("m"), F.col("k").alias("l"), F.col("i").alias("j"))
-    bound = f"((n + m) * {den - num} div {den + num})"
-    shared = other.where("g is not null").join(placed.where("g is not null"), ["head", "g"])
-    shared = shared.where(f"c <> component and (component = main or d < doc) and 2 * least(k - i + 1, l - j + 1) >= k + l - {bound}").select(*ordered)
-    within = other.where("g is null").drop("g").join(placed.where("g is null"), "head")
-    within = within.where(f"c <> component and (component = main or d < doc) and k + l <= {bound}").select(*ordered)
-    return tried.union(shared).union(within).distinct()
+    tried = pick(few).join(few, "gid").where(apart).selectExpr(*_ORDERED)
+    many = rows.where(F.col("outside") > FEW).drop("outside")
+    if many.isEmpty():
+        return tried, None, None
+
+    own = known.select(F.col("doc_id").alias("doc"), F.col("grams").alias("x"))
+    counts = many.join(own, "doc").select("gid", "total", F.explode("x").alias("g")).groupBy("gid", "g").agg(F.count("*").alias("c"), F.first("total").alias("total"))
+    counts = written(counts.where("c > 1"), "counts")
+    middle = written(counts.where("2 * c > total").groupBy("gid").agg(F.collect_list("g").alias("y")), "middles")
+    size = middle.agg(F.sum(F.size("y"))).first()[0] or 0
+    middle = F.broadcast(middle) if size <= BROADCAST_KEYS * 10 else middle.hint("merge")
+    none = F.array().cast("array<bigint>")
+    diffs = many.join(own, "doc").join(middle, "gid", "left").withColumn("y", F.coalesce("y", none))
+    diffs = diffs.select("gid", "doc", "component", F.size("x").cast("long").alias("n"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("g"))
+    diffs = written(diffs.withColumn("s", F.lit(den + num) * F.size("g") - F.lit(den - num) * F.col("n")), "differences")
+
+    centre = diffs.groupBy("gid").agg(F.min(F.struct("s", "doc", "component")).alias("p"))
+    diffs = _beside(diffs, centre, ["gid"]).withColumn("near", (F.col("s") + F.col("p.s") <= 0) | (F.col("doc") == F.col("p.doc")))
+    sure = diffs.where("near and doc <> p.doc and component <> p.component").select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b"))
+    joined = diffs.where("near").groupBy("gid", "component").agg(F.first("p.component").alias("to"))
+    diffs = written(_beside(diffs.drop("p", "near"), joined, ["gid", "component"], "left").withColumn("component", F.coalesce("to", "component")).drop("to"), "differences")
+
+    least = written(diffs.groupBy("gid", "component").agg(F.count("*").alias("k"), F.min("s").alias("s")), "components")
+    main = least.groupBy("gid").agg(F.max(F.struct("k", "component")).alias("most"), F.min("s").alias("s_all"), F.count("*").alias("parts"))
+    main = written(main.where("parts > 1").select("gid", F.col("most.component").alias("main"), "s_all"), "mains")
+    main = least.join(main, "gid").where("component <> main").groupBy("gid").agg(F.first("main").alias("main"), F.first("s_all").alias("s_all"), F.min("s").alias("s_out"))
+    left = _beside(diffs, main, ["gid"]).withColumn("o", F.ceil((F.col("s") + F.when(F.col("component") == F.col("main"), F.col("s_out")).otherwise(F.col("s_all"))) / twice))
+    left = left.withColumn("o", F.greatest("o", F.lit(1))).where(F.col("o") <= F.size("g"))
+    each = left.select("gid", "doc", "component", "main", "s", "o", F.explode("g").alias("g"))
+    seen = counts.select("gid", "g", F.least("c", F.col("total") - F.col("c")).alias("f")).where("f > 1")
+    document = Window.partitionBy("gid", "doc")
+    placed = each.join(seen, ["gid", "g"]).withColumn("i", F.row_number().over(document.orderBy("f", "g"))).withColumn("rest", F.count("*").over(document) - F.col("i") + 1)
+    placed = written(placed.where("rest >= o").select("gid", "g", "doc", "component", "main", "s", "f", "rest"), "places")
+
+    keys = placed.groupBy("gid", "g").agg(
+        F.count("*").alias("k"), F.first("f").alias("f"), F.min("component").alias("c1"), F.max("component").alias("c2"),
+        F.bit_xor(F.xxhash64("doc")).alias("x1"), F.sum(F.shiftright(F.xxhash64(F.lit(3), "doc"), 24)).alias("x2"),
+    ).where("c1 <> c2")
+    # of n-grams with the same documents the first: more of each document comes after it
+    keys = keys.groupBy("gid", "k", "x1", "x2").agg(F.min(F.struct("f", "g")).alias("first")).select("gid", "k", F.col("first.g").alias("g"))
+    placed = written(_beside(placed.drop("f"), keys, ["gid", "g"]), "places")
+    small = placed.where(F.col("k") <= SMALL)
+    shared = pick(small, "g", F.col("s").alias("t"), F.col("rest").alias("rest2")).join(small, ["gid", "g"])
+    shared = shared.where(f"{apart} and {twice} * least(rest, rest2) >= s + t").selectExpr(*_ORDERED)
+    further = placed.where(F.col("k") > SMALL).select(F.xxhash64("gid", "g").alias("gid"), "doc", "component")
+    return tried.union(shared).distinct(), sure.distinct(), further
+
+
+def _left_to_try(docs: DataFrame, groups: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, pairs to try, sure links) for groups (gid, doc, component), by rounds of _divide until no group is left."""
+    known = written(document_sets(docs, groups.select(F.col("doc").alias("doc_id")).distinct(), n), "sets")
+    pairs, links = [], []
+    while not groups.isEmpty():
+        tried, sure, further = _divide(known, groups, num, den)
+        pairs.append(written(tried, "pairs"))
+        if sure is None:
+            break
+        links.append(written(sure, "links"))
+        groups = written(further, "groups")
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    union = lambda found: functools.reduce(DataFrame.union, found, none)
+    return known, union(pairs).distinct(), union(links).distinct()
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -306,11 +364,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     1. Signatures (see Blocks) give each document a few keys; documents over the bound share one.
     2. Where a key's rows meet, each is paired with the least document only, not with all: as many pairs as rows.
     3. Overlaps of these pairs are counted and held against the bound; those that reach it are links.
-    4. Only pairs of one key in different components are left to try, see _left_to_try.
+    4. Only pairs of one key in different components are left to try, see _divide.
     So every pair over the bound is a link or lies in one component, and a group of near copies costs as
     many pairs as it has members.
     """
-    spark = docs.sparkSession
     blocks = Blocks(num, den)
     rows = _signatures(docs, n, blocks, common_grams(docs, n))
     w = Window.partitionBy("pk", "sig", "sig2")
@@ -320,18 +377,20 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     keyed = rows.where("n is null").select("sig", "sig2", "doc", "head")
     pairs = keyed.where("doc <> head").select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b"), (F.col("sig2") != 0).alias("equal"))
     pairs = written(pairs.groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs")
-    links = pairs.where("equal").select("a", "b").unionByName(overlaps(docs, pairs.where("not equal").select("a", "b"), n, num, den))
-    links = written(links, "links")
+    unequal = pairs.where("not equal").select("a", "b")
+    sets = document_sets(docs, unequal.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), n)
+    links = written(pairs.where("equal").select("a", "b").unionByName(overlaps(sets, unequal, num, den)), "links")
     parts = components(links)
 
     # all rows of a key, each with its component so far; the rows of equal sets need no second look
-    tagged = keyed.where("sig2 = 0").select("sig", "doc").union(keyed.where("sig2 = 0").select("sig", F.col("head").alias("doc")))
-    tagged = tagged.join(parts.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    heads = tagged.groupBy("sig").agg(F.min("doc").alias("head"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("sig", "head")
-    groups = written(tagged.join(heads, "sig").select("head", "doc", "component").distinct(), "groups")
+    tagged = keyed.where("sig2 = 0").select("sig", "doc").union(keyed.where("sig2 = 0").select("sig", F.col("head").alias("doc"))).distinct()
+    tagged = written(tagged.join(parts.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "tagged")
+    heads = tagged.groupBy("sig").agg(F.min("doc").alias("gid"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("sig", "gid")
+    groups = written(_beside(tagged, heads, ["sig"]).select("gid", "doc", "component").distinct(), "groups")
     if not groups.isEmpty():
-        more = written(_left_to_try(docs, groups, n, num, den).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        late = written(overlaps(docs, more, n, num, den), "links")
+        known, more, sure = _left_to_try(docs, groups, n, num, den)
+        more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        late = written(overlaps(known, more, num, den).union(sure), "links")
         if not late.isEmpty():
             parts = components(links.unionByName(late))
     whole = rows.where("n is not null").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"))

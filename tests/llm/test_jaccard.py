@@ -113,3 +113,20 @@ def test_shingles_fold_only_ascii():
     assert s("A b C d") == s("a B c D")
     assert s("Ä b c") != s("ä b c")
     assert len(s("a b")) == 1 and s("a b") != s("a b c")
+
+
+def test_groups_within_groups(spark, monkeypatch):
+    """Documents that share passages in which they differ from their group: groups of the next rounds, two documents a pair."""
+    monkeypatch.setattr("lexiloom.llm.jaccard.FEW", 0)
+    monkeypatch.setattr("lexiloom.llm.jaccard.SMALL", 2)
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(200)]
+    passages = [[f"p{k}q{i}" for i in range(11)] for k in range(3)]
+    pool = []
+    for _ in range(90):
+        words = [w if rng.random() > 0.012 else f"z{rng.randrange(10**6)}" for w in base]
+        pool.append(words + [w for p in passages if rng.random() < 0.5 for w in p])
+    rows = [(i, " ".join(w)) for i, w in enumerate(pool)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == brute(rows, 3, 90, 100)
+    assert 1 < len({c for _, c in got.values()})
