@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from lexiloom.functions import text as X
 
+#: Fixed value: words of titles that amend or repeal.
 AMENDING = "(?i)সংশোধন|amendment|repeal|রহিতকরণ"
 #: Everyday names of acts, and a phrase of the official title of each.
 ACT_ALIASES = {
@@ -34,15 +35,19 @@ TOPICS = (
 )
 #: Terms of one meaning.
 SYNONYMS = (
-    "উচ্ছেদ|বেদখল|eviction|evict", "ভাড়া|rent|ভাড়াটিয়া|tenant", "শাস্তি|দণ্ড|punishment|penalty", "জরিমানা|fine|অর্থদণ্ড", "কারাদণ্ড|imprisonment|জেল",
-    "হত্যা|খুন|murder|homicide", "অবহেলা|negligence|negligent", "চুক্তি|contract|agreement", "নিবন্ধন|registration|register|নথিভুক্ত", "নোটিশ|notice|বিজ্ঞপ্তি",
-    "আবেদন|application|দরখাস্ত", "কর্মচারী|employee|শ্রমিক|worker", "মালিক|employer|owner|নিয়োগকর্তা", "বীমা|insurance|বীমাকারী|insurer", "সংজ্ঞা|definition|means|অর্থ",
-    "আদালত|court|ট্রাইব্যুনাল|tribunal", "অপরাধ|offence|offense|crime", "ক্ষতিপূরণ|compensation|damages", "উত্তরাধিকার|inheritance|succession", "ছুটি|leave|holiday",
-    "চুরি|theft|steal|stolen", "চেক|cheque", "ডিজঅনার|dishonour|dishonoured|bounce|bounced", "অপহরণ|kidnapping|kidnap|abduction", "ধর্ষণ|rape", "যৌতুক|dowry",
-    "জালিয়াতি|forgery|forged", "প্রতারণা|cheating|fraud", "ঘুষ|bribe|bribery|gratification", "জামিন|bail", "গ্রেপ্তার|গ্রেফতার|arrest", "পরোয়ানা|warrant", "সাক্ষী|witness",
-    "স্বীকারোক্তি|confession", "তালাক|divorce", "ভরণপোষণ|maintenance", "মাতৃত্ব|প্রসূতি|maternity", "ভোক্তা|consumer", "আত্মহত্যা|suicide",
-    "মানহানি|defamation|defame|defamatory|libel|slander", "জমি|ভূমি|land", "মজুরি|বেতন|wage|wages|salary", "বকেয়া|arrears|unpaid",
-    "বরখাস্ত|ছাঁটাই|dismissal|dismissed|termination|retrenchment", "ত্রুটিপূর্ণ|defective|faulty", "সাইবার|cyber|অনলাইন|online|ফেসবুক|facebook",
+    ("উচ্ছেদ", "বেদখল", "eviction", "evict"), ("ভাড়া", "rent", "ভাড়াটিয়া", "tenant"), ("শাস্তি", "দণ্ড", "punishment", "penalty"), ("জরিমানা", "fine", "অর্থদণ্ড"),
+    ("কারাদণ্ড", "imprisonment", "জেল"), ("হত্যা", "খুন", "murder", "homicide"), ("অবহেলা", "negligence", "negligent"), ("চুক্তি", "contract", "agreement"),
+    ("নিবন্ধন", "registration", "register", "নথিভুক্ত"), ("নোটিশ", "notice", "বিজ্ঞপ্তি"), ("আবেদন", "application", "দরখাস্ত"), ("কর্মচারী", "employee", "শ্রমিক", "worker"),
+    ("মালিক", "employer", "owner", "নিয়োগকর্তা"), ("বীমা", "insurance", "বীমাকারী", "insurer"), ("সংজ্ঞা", "definition", "means", "অর্থ"),
+    ("আদালত", "court", "ট্রাইব্যুনাল", "tribunal"), ("অপরাধ", "offence", "offense", "crime"), ("ক্ষতিপূরণ", "compensation", "damages"),
+    ("উত্তরাধিকার", "inheritance", "succession"), ("ছুটি", "leave", "holiday"), ("চুরি", "theft", "steal", "stolen"), ("চেক", "cheque"),
+    ("ডিজঅনার", "dishonour", "dishonoured", "bounce", "bounced"), ("অপহরণ", "kidnapping", "kidnap", "abduction"), ("ধর্ষণ", "rape"), ("যৌতুক", "dowry"),
+    ("জালিয়াতি", "forgery", "forged"), ("প্রতারণা", "cheating", "fraud"), ("ঘুষ", "bribe", "bribery", "gratification"), ("জামিন", "bail"),
+    ("গ্রেপ্তার", "গ্রেফতার", "arrest"), ("পরোয়ানা", "warrant"), ("সাক্ষী", "witness"), ("স্বীকারোক্তি", "confession"), ("তালাক", "divorce"), ("ভরণপোষণ", "maintenance"),
+    ("মাতৃত্ব", "প্রসূতি", "maternity"), ("ভোক্তা", "consumer"), ("আত্মহত্যা", "suicide"), ("মানহানি", "defamation", "defame", "defamatory", "libel", "slander"),
+    ("জমি", "ভূমি", "land"), ("মজুরি", "বেতন", "wage", "wages", "salary"), ("বকেয়া", "arrears", "unpaid"),
+    ("বরখাস্ত", "ছাঁটাই", "dismissal", "dismissed", "termination", "retrenchment"), ("ত্রুটিপূর্ণ", "defective", "faulty"),
+    ("সাইবার", "cyber", "অনলাইন", "online", "ফেসবুক", "facebook"),
 )
 #: Title of the act that governs a word's subject.
 TOPIC_ACTS = {
@@ -69,6 +74,7 @@ SOUNDS = {
 ENGLISH = (
     "what which who when where why how is are the of for section act law punishment does do can must shall under penalty fine court notice rent tenant employer contract insurance"
 ).split()
+#: Words of one who tells of themselves, and of a comparison.
 COLLOQUIAL = r"(?iU)\b(?:i|me|my|mine|i'm|i've|someone|somebody)\b|আমি|আমার|আমাকে|আমায়|আমাদের|কেউ"
 COMPARATIVE = r"(?iU)পার্থক্য|তুলনা|difference|compare|versus|\bvs\b"
 _REF = "(?i)" + X.SECTION_REF.pattern
@@ -132,7 +138,7 @@ def romanised_variant(question: Column) -> Column:
 
 def synonym_table(spark: SparkSession) -> DataFrame:
     """(term, alternate) of all groups."""
-    pairs = sorted({(X._nfc(a.lower()), X._nfc(b)) for g in SYNONYMS for a in g.split("|") for b in g.split("|")})
+    pairs = sorted({(X._nfc(a.lower()), X._nfc(b)) for g in SYNONYMS for a in g for b in g})
     return spark.createDataFrame(pairs, "term string, alternate string")
 
 

@@ -232,8 +232,8 @@ def test_packing_units():
     text = "In this Act,—\n(1) first clause;\n(2) second clause;\ncontinued\n(a) third"
     assert chunking.split_units(text) == ["In this Act,—", "(1) first clause;", "(2) second clause;\ncontinued", "(a) third"]
     parts = chunking.section_parts(text, 40)
-    assert [b for _, b in parts] == ["In this Act,—\n(1) first clause;", "(2) second clause;\ncontinued\n(a) third"] and [a for a, _ in parts] == ["", "In this Act,—"]
-    assert chunking.section_parts(" \n") == [] and chunking.section_parts("short") == [("", "short")]
+    assert parts == {"opening": "In this Act,—", "bodies": ["In this Act,—\n(1) first clause;", "(2) second clause;\ncontinued\n(a) third"]}
+    assert chunking.section_parts(" \n") is None and chunking.section_parts("short") == {"opening": "", "bodies": ["short"]}
     rng = random.Random(1)
     for _ in range(50):
         long = " ".join("w" * rng.randint(1, 12) for _ in range(rng.randint(1, 120)))
@@ -241,6 +241,13 @@ def test_packing_units():
         assert all(0 < len(c) <= 50 for c in cut) and "".join(cut).replace(" ", "") == long.replace(" ", "")
 
 
+def test_chunks_repeat_the_opening(spark):
+    text = "In this Act,—\n(1) first clause;\n(2) second clause;\ncontinued\n(a) third"
+    d = spark.createDataFrame([(1, 2, "H", "en", text, ["n"]), (1, 3, "H", "en", " ", [])], "act_id int, section_id int, header string, language string, text string, footnotes array<string>")
+    got = rows(chunking.chunk_sections(d, 40), "chunk_id", "text")
+    assert got == [("1-2-1", "H\n\nIn this Act,—\n(1) first clause;\n\nAmendments: n"), ("1-2-2", "H\nIn this Act,— …\n\n(2) second clause;\ncontinued\n(a) third")]
+
+
 def test_section_cut():
     pages_ = [(1, "An Act to do things.\n1. Short title.— This is it.\n1. a list item; and more\n2. Definitions.— In this Act"), (2, "more text\n9999. Far.— no\n25. Long heading that\nwraps here.— The body")]
     got = chunking.cut_sections(pages_)
