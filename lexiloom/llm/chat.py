@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.llm.common import written
+
+#: Keys of turns with equal numbers that are sent to every task; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 #: Turns of one conversation that a window task handles together; longer conversations are several blocks.
 BLOCK = 256
 
@@ -16,17 +20,40 @@ def _lanes(ordinal: Column) -> dict[str, Column]:
     return {"h0": a.bitwiseAND(low), "h1": F.shiftrightunsigned(a, high), "h2": b.bitwiseAND(low), "h3": F.shiftrightunsigned(b, high)}
 
 
-def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """conv_id, ordinal (1, 2, ... in each conversation) and h0..h3, the hash of all turns up to it, for turns (conv_id, turn, role, text).
+def hashed_turns(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, c0, c1 (hashes of role and text), block and place, the order of turns with equal numbers, written once.
 
-    Turns are reduced to two hashes of role and text before anything is shuffled. Order is by turn, then by these
-    hashes; rows that are equal in all are interchangeable. A conversation is cut into blocks of turn
-    numbers: sums inside blocks and sums over block totals are two windows, so a conversation with
-    very many turns is spread over tasks.
+    Turns are reduced to hashes before anything is shuffled. A window of the block finds turns whose number the one
+    before has too; of these numbers alone, which a well-formed log hasn't, roles and texts are looked at again, and
+    place is what chat_format renders them by: role, then text. Rows that are equal in all have one place.
     """
     content = [F.xxhash64("role", "text", F.isnull("role"), F.isnull("text")).alias("c0"), F.xxhash64(F.lit(7), "text", "role", F.isnull("text"), F.isnull("role")).alias("c1")]
     t = turns.select("conv_id", "turn", *content).withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK))
-    order = [F.col("turn").asc_nulls_first(), F.col("c0"), F.col("c1")]
+    inside = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first())
+    t = written(t.withColumn("tied", (F.row_number().over(inside) > 1) & F.lag("turn").over(inside).eqNullSafe(F.col("turn"))), "turns")
+    tied = t.where("tied").select("conv_id", "turn").distinct()
+    t = t.drop("tied")
+    few = tied.limit(BROADCAST_KEYS + 1).count()
+    if not few:
+        return t.withColumn("place", F.lit(0))
+    send = lambda d: F.broadcast(d) if few <= BROADCAST_KEYS else d.hint("merge")
+    same = lambda d: F.col("x.conv_id").eqNullSafe(F.col(f"{d}.conv_id")) & F.col("x.turn").eqNullSafe(F.col(f"{d}.turn"))
+    again = turns.select("conv_id", "turn", "role", "text", *content).alias("x").join(send(tied.alias("k")), same("k"), "left_semi")
+    order = Window.partitionBy("conv_id", "turn").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    places = again.withColumn("place", F.rank().over(order)).groupBy("conv_id", "turn", "c0", "c1").agg(F.min("place").alias("place"))
+    known = places.select("conv_id", "turn", "c0", "c1", "place").alias("p")
+    both = t.alias("x").join(known, same("p") & (F.col("x.c0") == F.col("p.c0")) & (F.col("x.c1") == F.col("p.c1")), "left")
+    return both.select("x.conv_id", "x.turn", "x.c0", "x.c1", "x.block", F.coalesce("p.place", F.lit(0)).alias("place"))
+
+
+def prefix_hashes(turns: DataFrame) -> DataFrame:
+    """conv_id, ordinal (1, 2, ... in each conversation) and h0..h3, the hash of all turns up to it, for turns (conv_id, turn, role, text).
+
+    Order is by turn, role and text, as it is rendered. A conversation is cut into blocks of turn numbers: sums inside
+    blocks and sums over block totals are two windows, so a conversation with very many turns is spread over tasks.
+    """
+    t = hashed_turns(turns)
+    order = [F.col("turn").asc_nulls_first(), F.col("place")]
     inside = Window.partitionBy("conv_id", "block").orderBy(*order)
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
 

@@ -61,9 +61,9 @@ def segments(hits: list[tuple[int, float]], neutral: float) -> list[tuple[int, i
 
     hits are the words with a weight of their own, by place; those between weigh `neutral` each. Kept
     candidates carry the total before and after them; a new one merges with the nearest that starts lower and
-    ends no higher, as often as there is such a one.
+    ends no higher, as often as there is such a one. Each candidate names the nearest before it that starts lower.
     """
-    kept: list[list[float]] = []  # first, after, total before, total after
+    kept: list[tuple[int, int, float, float, int]] = []  # first, after, total before, total after, nearest that starts lower
     total, place = 0.0, 0
     for at, weight in hits:
         total += neutral * (at - place)
@@ -71,17 +71,18 @@ def segments(hits: list[tuple[int, float]], neutral: float) -> list[tuple[int, i
         before, total = total, total + weight
         if weight <= 0:
             continue
-        now = [at, at + 1, before, total]
+        first, j = at, len(kept) - 1
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= now[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= now[3]:
-                kept.append(now)
+            # what lies between a candidate and the one it names starts no lower than it does: none is passed twice
+            while j >= 0 and kept[j][2] >= before:
+                j = kept[j][4]
+            if j < 0 or kept[j][3] >= total:
+                kept.append((first, at + 1, before, total, j))
                 break
-            now = [kept[j][0], now[1], kept[j][2], now[3]]
+            first, _, before, _, lower = kept[j]
             del kept[j:]
-    return [(int(a), int(b), end - start) for a, b, start, end in kept]
+            j = lower
+    return [(a, b, end - start) for a, b, start, end, _ in kept]
 
 
 def evidence(found: list[tuple[int, int, float]], n_words: int) -> float:

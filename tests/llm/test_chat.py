@@ -45,3 +45,18 @@ def test_edges(spark):
     assert set(got) == {1, 2, 3, 4, 5, 6}
     assert got[5] == "<|user|>\na\n<|user|>\na\n<|user|>\nb\n" and got[3] == "<|user|>\n\n" and len(got[6]) == 10_010
     assert chat.chat_format(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_equal_turn_numbers_of_two_conversations(spark, monkeypatch):
+    """A conversation goes only if what is rendered of it begins another."""
+    rng, rows = random.Random(4), []
+    for i in range(40):
+        p, q = f"p{i}", f"q{i}"
+        rows += [(2 * i, 1, "user", p), (2 * i, 1, "user", q), (2 * i + 1, 1, "user", rng.choice([p, q]))]
+    rows += [(200, 1, "user", "b"), (200, 1, "user", "a"), (200, None, None, None), (201, None, None, None), (201, 1, "user", "a"), (202, 1, "user", "a"), (202, 1, "user", "a"), (203, 1, "user", "a")]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    want = brute(rows)
+    assert 80 > len(want) > 40
+    for most in (200_000, 0):
+        monkeypatch.setattr(chat, "BROADCAST_KEYS", most)
+        assert {r.conv_id: (r.n_turns, r.text) for r in chat.chat_format(docs).collect()} == want
