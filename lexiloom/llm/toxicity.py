@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import statistics
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,14 +26,37 @@ CACHE_WORDS = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+@dataclass(frozen=True)
+class Calibration:
+    """Extreme values of clean and of toxic texts: ln K, location and scale, and the log of how many there are of each.
+
+    The greatest segment scores of clean texts follow Gumbel's P(below x) = exp(-K e^-x), with lambda 1 as scores are
+    natural log-odds. Those of toxic texts grow with the passage and so have Frechet's heavy tail: their
+    logarithms follow Gumbel's distribution of a place and width of their own.
+    """
+
+    ln_k: float = 0.0
+    location: float = 0.0
+    scale: float = 1.0
+    prior: float = -math.inf
+
+    def score(self, x: float) -> float:
+        """The chance that a text with evidence x is toxic; 0 where there is no more evidence than chance gives."""
+        if x <= 0 or self.prior == -math.inf:
+            return 0.0
+        clean, z = x - self.ln_k, (math.log(x) - self.location) / self.scale
+        odds = self.prior - z - math.exp(min(50.0, -z)) - math.log(self.scale * x) + clean + math.exp(-clean)
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+
+
 @dataclass(frozen=True)
 class Model:
-    """Log-odds of words and word beginnings, of any other token (neutral), and ln K of the calibration."""
+    """Log-odds of words and word beginnings, of any other token (neutral), and the calibration."""
 
     words: dict[str, float] = field(default_factory=dict)
     prefixes: dict[str, float] = field(default_factory=dict)
     neutral: float = -0.01
-    ln_k: float = 0.0
+    calibration: Calibration = Calibration()
 
 
 class Weights(dict):
@@ -97,13 +121,6 @@ def evidence(found: list[tuple[int, int, float]], n_words: int) -> float:
     return over[0] + sum(x for x in over[1:] if x > 0)
 
 
-def probability(x: float, ln_k: float) -> float:
-    """The Gumbel distribution's value: the chance that a clean text of this length stays below x."""
-    if x == -math.inf:
-        return 0.0
-    return math.exp(-math.exp(min(50.0, ln_k - x)))
-
-
 def _sample(docs: DataFrame, labels: DataFrame, fit_docs: int) -> DataFrame:
     """(text, toxic) of the labelled documents to fit on, one of each group of like texts.
 
@@ -164,10 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
         covered = [r for r in signs[0] if not any(r["word"][:n] in prefixes for n in PREFIXES)]
         p1 = min(0.5, sum(r["y1"] for r in shortest + covered) / n1)
         p0 = min(0.5, sum(r["y0"] for r in shortest + covered) / n0)
-        model = Model(words, prefixes, min(-1e-3, math.log((1 - p1) / (1 - p0))), 0.0)
+        model = Model(words, prefixes, min(-1e-3, math.log((1 - p1) / (1 - p0))))
         # persisted rows may be lost with an executor: they are computed again from the tables
         seen = [(r["x"], r["toxic"] > 0) for r in _evidence(sample, model).collect()]
-        return Model(words, prefixes, model.neutral, _location(seen))
+        return Model(words, prefixes, model.neutral, calibrate(seen))
     finally:
         sample.unpersist()
 
@@ -196,20 +213,26 @@ def _scan(text: str, weights: Weights, neutral: float) -> tuple[list[tuple[int,
     return segments(hits, neutral), len(words)
 
 
-def _location(seen: list[tuple[float, bool]]) -> float:
-    """ln K such that THRESHOLD lies at the x that splits the two kinds of label with the best F1, in the middle of its gap."""
-    ordered = sorted(seen, reverse=True)
-    positives = sum(y for _, y in ordered)
-    best, at, hit = (0.0, 0.0), 0.0, 0
-    for i, (x, y) in enumerate(ordered, 1):
-        hit += y
-        nxt = ordered[i][0] if i < len(ordered) else -math.inf
-        if x == -math.inf or x == nxt:
-            continue
-        f1 = 2 * hit / (i + positives) if positives else 0.0
-        if f1 > best[0]:
-            best, at = (f1, x), (x + nxt) / 2 if nxt > -math.inf else x - 1.0
-    return at + math.log(-math.log(THRESHOLD))
+def calibrate(seen: list[tuple[float, bool]]) -> Calibration:
+    """Maximum likelihood of K from the clean texts' extreme values, and of location and scale from the toxic texts'.
+
+    Texts without any segment have no extreme value; how many have one goes into the prior odds. One clean text
+    at 0 is added, which stands for those not seen.
+    """
+    clean, toxic = [x for x, y in seen if not y and x > -math.inf], [math.log(x) for x, y in seen if y and x > 0]
+    if not toxic:
+        return Calibration()
+    ln_k = min(0.0, math.log((len(clean) + 1) / (1.0 + sum(math.exp(min(50.0, -x)) for x in clean))))
+    mean, least, narrow = sum(toxic) / len(toxic), min(toxic), 0.2
+    scale = max(narrow, statistics.pstdev(toxic) * math.sqrt(6) / math.pi)
+    for _ in range(100):  # the likelihood's fixed point for the scale
+        w = [math.exp((least - x) / scale) for x in toxic]
+        after = max(narrow, mean - sum(a * x for a, x in zip(w, toxic, strict=True)) / sum(w))
+        done, scale = abs(after - scale) < 1e-9, (after + scale) / 2
+        if done:
+            break
+    location = least - scale * math.log(sum(math.exp((least - x) / scale) for x in toxic) / len(toxic))
+    return Calibration(ln_k, location, scale, math.log(len(toxic) / (len(clean) + 1)))
 
 
 def toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,7 +249,7 @@ def toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
             scores, passages = [], []
             for t in batch.column(1):
                 found, n = _scan(t.as_py() or "", weights, model.neutral)
-                scores.append(probability(evidence(found, n), model.ln_k))
+                scores.append(model.calibration.score(evidence(found, n)))
                 passages.append([{"first": a, "after": b, "score": s} for a, b, s in found if s > math.log(n)])
             marks = pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), marks, pa.array(passages, kind)], ["doc_id", "score", "predicted", "passages"])
@@ -243,7 +266,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
         weights = Weights(model)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            scores = (probability(evidence(*_scan(t.as_py() or "", weights, model.neutral)), model.ln_k) for t in texts)
+            scores = (model.calibration.score(evidence(*_scan(t.as_py() or "", weights, model.neutral))) for t in texts)
             yield batch.filter(pa.array([s < THRESHOLD for s in scores], pa.bool_()))
 
     return docs.mapInArrow(trimmed(keep), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

@@ -46,7 +46,7 @@ def test_toxicity_drops_what_it_predicts(spark, stages):
         words = re.findall(r"[^\W\d_]+", text.lower())
         weights = toxicity.Weights(model)
         hits = [(i, weights[w]) for i, w in enumerate(words) if weights[w] is not None]
-        return toxicity.probability(toxicity.evidence(toxicity.segments(hits, model.neutral), len(words)), model.ln_k)
+        return model.calibration.score(toxicity.evidence(toxicity.segments(hits, model.neutral), len(words)))
 
     assert {r.doc_id for r in after} == {r.doc_id for r in before if score(r.text) < 0.7}
 
