@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import base64
-import gzip
+import binascii
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import binary_column, trimmed, written
@@ -33,8 +34,8 @@ _URN = "urn:lexiloom:page:"
 def revisit_targets(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """(page_id, digest, refers_to) of the rows that revisit another: equal payload of at least `least` bytes, smaller id.
 
-    pages has page_id, n, digest. Counting and the greatest id are combined before the shuffle, so a payload
-    that a third of all rows share costs no more than another; what moves is ids and digests alone.
+    pages has page_id, n, digest, one row or more of each pair. Counting and the greatest id are combined before the
+    shuffle, so a payload that a third of all rows share costs no more than another; what moves is ids and digests alone.
     """
     large = pages.where(F.col("n") >= least).select("page_id", "digest")
     groups = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("k")).where("k > 1").drop("k")
@@ -49,13 +50,26 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES,
     continuation records. Spark's text writer puts the bytes wherever Spark can write; a file holds about
     file_bytes before compression, so that one task can hold any file. Repeated rows become records of their
     own; columns other than the three are ignored.
+
+    A record is named by page_id and digest, which is what a revisit refers to. Rows that repeat both, if there are
+    any, are numbered, and only these are shuffled for it: the first has the plain name.
     """
     rows = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     marked = rows.withColumn("digest", F.sha1("payload"))
-    revisits = written(revisit_targets(marked.select("page_id", F.octet_length("payload").alias("n"), "digest")), "revisits")
+    keys = written(marked.groupBy("page_id", "digest").agg(F.count("*").alias("k"), F.max(F.octet_length("payload")).alias("n")), "pages")
+    revisits = written(revisit_targets(keys), "revisits")
+    repeated = keys.where("k > 1").select("page_id", "digest")
+    again = repeated.limit(BROADCAST_ROWS + 1).count()
+    if again:
+        known = F.broadcast(repeated) if again <= BROADCAST_ROWS else repeated.hint("merge")
+        same = marked["page_id"].eqNullSafe(known["page_id"]) & (marked["digest"] == known["digest"])
+        numbered = marked.join(known, same, "left_semi").withColumn("nonce", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) - 1)
+        marked = marked.join(known, same, "left_anti").withColumn("nonce", F.lit(0)).unionByName(numbered)
+    else:
+        marked = marked.withColumn("nonce", F.lit(0))
     # payloads are shuffled only where the revisits are too many to be sent to every task
     few = revisits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    marked = marked.join(F.broadcast(revisits) if few else revisits.hint("merge"), ["page_id", "digest"], "left").withColumn("nonce", F.monotonically_increasing_id())
+    marked = marked.join(F.broadcast(revisits) if few else revisits.hint("merge"), ["page_id", "digest"], "left")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -84,23 +98,27 @@ def chunked(body: bytes, chunk_bytes: int) -> bytes:
     return b"".join((*parts, b"0\r\n\r\n"))
 
 
+def record_id(page_id, digest: str, nonce: int = 0) -> str:
+    name = "" if page_id is None else quote(str(page_id), safe="")
+    return f"<{_URN}{name}:{digest}>" if not nonce else f"<{_URN}{name}:{digest}:{nonce}>"
+
+
 def format_record(page_id, nonce: int, url: str, payload: bytes, digest: str, refers_to, segment_bytes: int, chunk_bytes: int) -> bytes:
     """The record of one page, all its segments, without what ends the last."""
-    name = "" if page_id is None else quote(str(page_id), safe="")
-    origin = f"<{_URN}{name}:{nonce}>"
+    origin = record_id(page_id, digest, nonce)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     common = [("WARC-Date", "2020-01-01T00:00:00Z"), ("Content-Type", "application/http; msgtype=response")]
     uri = re.sub(r"[\r\n]+", " ", url)
     first = [("WARC-Target-URI", uri), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode())]
     if refers_to is not None:
-        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", origin), *first, ("WARC-Refers-To", f"<{_URN}{quote(str(refers_to), safe='')}>")]
+        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", origin), *first, ("WARC-Refers-To", record_id(refers_to, digest))]
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *common]
         return _head(fields, http)
     block = http + chunked(payload, chunk_bytes)
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
     out = []
     for number, part in enumerate(parts, 1):
-        fields = [("WARC-Type", "response" if number == 1 else "continuation"), ("WARC-Record-ID", origin if number == 1 else f"{origin[:-1]}:{number}>"), *first, *common]
+        fields = [("WARC-Type", "response" if number == 1 else "continuation"), ("WARC-Record-ID", origin if number == 1 else f"{origin[:-1]};{number}>"), *first, *common]
         if len(parts) > 1:
             fields.append(("WARC-Segment-Number", str(number)))
             if number > 1:
@@ -119,31 +137,93 @@ def _head(fields: list[tuple[str, str]], block: bytes) -> bytes:
 # ---------------------------------------------------------------- reading
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of each record; data may be gzip, of one member or of many.
+#: Bytes that are read or decompressed at a time, the most that a record's header has, and segments held until their record is whole.
+STEP_BYTES, HEAD_BYTES, HELD_BYTES = 256 << 10, 256 << 10, 64 << 20
+
 
-    Raises ValueError where a record is cut off or has no length.
+def inflated(data: bytes, step: int = STEP_BYTES) -> Iterator[bytes]:
+    """data, or what it holds where it is gzip, of one member or of many; `step` bytes at a time. ValueError where it is cut off."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[i : i + step] for i in range(0, len(data), step))
+        return
+    member = None
+    try:
+        for at in range(0, len(data), step):
+            part = data[at : at + step]
+            while part:
+                if member is None:
+                    part = part.lstrip(b"\0")  # padding between members
+                    member = zlib.decompressobj(31)
+                yield member.decompress(part, step)
+                part, member = (member.unused_data, None) if member.eof else (member.unconsumed_tail, member)
+        while member is not None and not member.eof:
+            if not (rest := member.decompress(b"", step)):
+                raise ValueError("gzip data is cut off")
+            yield rest
+    except zlib.error as e:
+        raise ValueError(f"gzip data is broken: {e}") from e
+
+
+def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(header fields in lower case, block, error) of each record; no more is held than one record.
+
+    What is no record, has no length or is cut off gives a row with an error and no block; reading goes on at the next
+    line that begins a record.
     """
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at, end = 0, len(data)
+    parts, buffer, trouble = inflated(data), bytearray(), []
+
+    def more() -> bool:
+        try:
+            buffer.extend(next(parts))
+        except StopIteration:
+            return False
+        except ValueError as e:
+            trouble.append(str(e))
+            return False
+        return True
+
+    def skip_to_next(start: int) -> None:
+        del buffer[:start]
+        while (at := buffer.find(b"\nWARC/")) < 0:
+            del buffer[: max(0, len(buffer) - 5)]
+            if not more():
+                buffer.clear()
+                return
+        del buffer[: at + 1]
+
     while True:
-        while at < end and data[at] in b"\r\n":
-            at += 1
-        if at >= end:
-            return
-        stop = data.find(b"\r\n\r\n", at)
-        if stop < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
+        while True:
+            del buffer[: len(buffer) - len(buffer.lstrip(b"\r\n"))]
+            if buffer or not more():
+                break
+        if not buffer:
+            break
+        while (stop := buffer.find(b"\r\n\r\n")) < 0 and len(buffer) < HEAD_BYTES and more():
+            pass
+        if stop < 0 or not buffer.startswith(b"WARC/"):
+            yield {}, b"", "no record where one should begin"
+            skip_to_next(1)
+            continue
         fields: dict[str, str] = {}
-        for line in data[at:stop].split(CRLF)[1:]:
+        for line in bytes(buffer[:stop]).split(CRLF)[1:]:
             k, _, v = line.partition(b":")
             fields[k.strip().lower().decode("utf-8", "replace")] = v.strip().decode("utf-8", "replace")
-        n, at = int(fields["content-length"]), stop + 4
-        if at + n > end:
-            raise ValueError(f"the record before byte {at} is cut off")
-        yield fields, data[at : at + n]
-        at += n
+        size = fields.get("content-length", "")
+        if not re.fullmatch("[0-9]{1,18}", size):
+            yield fields, b"", "the record has no length"
+            skip_to_next(stop)
+            continue
+        end = stop + 4 + int(size)
+        while len(buffer) < end and more():
+            pass
+        if len(buffer) < end:
+            yield fields, b"", "the record is cut off"
+            skip_to_next(stop)
+            continue
+        yield fields, bytes(buffer[stop + 4 : end]), None
+        del buffer[:end]
+    if trouble:
+        yield {}, b"", trouble[0]
 
 
 def dechunk(body: bytes) -> bytes:
@@ -153,7 +233,10 @@ def dechunk(body: bytes) -> bytes:
         stop = body.find(CRLF, at)
         if stop < 0:
             raise ValueError("chunk size is missing")
-        n = int(body[at:stop].partition(b";")[0].strip(), 16)
+        size = body[at:stop].partition(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            raise ValueError("chunk size is no number")
+        n = int(size, 16)
         at = stop + 2
         if n == 0:
             return b"".join(out)
@@ -189,27 +272,59 @@ def assemble(segments: list[tuple[int, int | None, bytes]]) -> tuple[bytes | Non
         return None, str(e)
 
 
-_SEGMENT = "record_id string, record_type string, url string, digest string, refers_to string, number int, total bigint, segmented boolean, block binary"
+def _number(value: str | None) -> int | None:
+    return int(value) if value is not None and re.fullmatch("[0-9]{1,18}", value) else None
+
+
+def hex_digest(value: str | None) -> str | None:
+    """The SHA-1 of a digest field in lower-case hex, whether it is written in base32 or in hex; None for any other."""
+    kind, _, own = (value or "").partition(":")
+    try:
+        if kind.lower() == "sha1":
+            return own.lower() if re.fullmatch("[0-9A-Fa-f]{40}", own) else base64.b32decode(own.upper()).hex()
+    except binascii.Error:
+        pass
+    return None
+
+
+_SEGMENT = "record_id string, record_type string, url string, digest string, refers_to string, number int, total bigint, block binary, payload binary, error string, whole boolean"
+
+
+def checked(segments: list[tuple[int, int | None, bytes]], digest: str | None) -> tuple[bytes | None, str | None]:
+    payload, error = assemble(segments)
+    if payload is not None and digest not in (None, hashlib.sha1(payload).hexdigest()):
+        return None, "the payload is not what its digest says"
+    return payload, error
+
+
+def _record(fields: dict, segments: list[tuple[int, int | None, bytes]]) -> tuple:
+    """A whole record's row: its payload, or an error."""
+    digest, payload, error = hex_digest(fields.get("warc-payload-digest")), None, None
+    if fields.get("warc-type") != "revisit":
+        payload, error = checked(segments, digest)
+    return (fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"), digest, fields.get("warc-refers-to"), None, None, None, payload, error, True)
+
+
+def _segment(origin: str, fields: dict, segment: tuple[int, int | None, bytes]) -> tuple:
+    return (origin, fields.get("warc-type"), fields.get("warc-target-uri"), hex_digest(fields.get("warc-payload-digest")), fields.get("warc-refers-to"), *segment, None, None, False)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the files under path, continuations under their origin's record_id."""
+    """A row for each record of the files under path that is whole there, and one for each other segment, under its origin's record_id.
+
+    A record whose segments stand in one file is put together where it is read; what isn't whole at the file's end, or
+    is over HELD_BYTES, is left to read_warc.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _SEGMENT.split(", ")]
-        kinds = [pa.string()] * 5 + [pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+        kinds = [pa.string()] * 5 + [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.bool_()]
         for batch in batches:
             for data in binary_column(batch, "content"):
                 rows, size = [], 0
-                for f, block in parse_warc(data):
-                    if f.get("warc-type") not in ("response", "revisit", "continuation"):
-                        continue
-                    total = f.get("warc-segment-total-length")
-                    rows.append((
-                        f.get("warc-segment-origin-id", f.get("warc-record-id")), f["warc-type"], f.get("warc-target-uri"), f.get("warc-payload-digest"), f.get("warc-refers-to"),
-                        int(f.get("warc-segment-number", 1)), None if total is None else int(total), "warc-segment-number" in f, block,
-                    ))
-                    size += len(block)
+                for row in file_records(data):
+                    rows.append(row)
+                    size += len(row[7] or b"") + len(row[8] or b"")
                     if size > 16 << 20:
                         yield _columns(rows, names, kinds)
                         rows, size = [], 0
@@ -220,6 +335,34 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(trimmed(parse), _SEGMENT)
 
 
+def file_records(data: bytes) -> Iterator[tuple]:
+    """Rows of one file, see read_segments. Records of other types than response, revisit and continuation are passed over."""
+    held: dict[str, list[tuple[dict, tuple[int, int | None, bytes]]]] = {}
+    size = 0
+    for f, block, error in parse_warc(data):
+        kind = f.get("warc-type")
+        if error:
+            yield (f.get("warc-record-id"), kind or "unknown", f.get("warc-target-uri"), None, f.get("warc-refers-to"), None, None, None, None, error, True)
+            continue
+        if kind not in ("response", "revisit", "continuation"):
+            continue
+        segment = (_number(f.get("warc-segment-number")) or 1, _number(f.get("warc-segment-total-length")), block)
+        if "warc-segment-number" not in f and kind != "continuation":
+            yield _record(f, [segment])
+            continue
+        origin = f.get("warc-segment-origin-id") or f.get("warc-record-id") or ""
+        own = held.setdefault(origin, [])
+        own.append((f, segment))
+        size += len(block)
+        if segment[1] is not None and [n for _, (n, _, _) in own] == list(range(1, len(own) + 1)):
+            size -= sum(len(b) for _, (_, _, b) in own)
+            yield _record(own[0][0], [x for _, x in held.pop(origin)])
+        elif size > HELD_BYTES:
+            yield from (_segment(o, *x) for o, parts in held.items() for x in parts)
+            held, size = {}, 0
+    yield from (_segment(o, *x) for o, parts in held.items() for x in parts)
+
+
 def _columns(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -228,63 +371,51 @@ _RECORD = "page_id string, record_type string, url string, digest string, refers
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each whole record: page_id, record_type, url, digest (hex), refers_to, payload, error.
+    """A row for each record: page_id, record_type, url, digest (hex), refers_to, payload, error.
 
-    Records in one piece are decoded where they are read. Segments are grouped by their origin's identifier,
-    put in order and checked against the total length; a group is one record, never more. payload is null and
-    error says why where a record is not whole or its payload is not what its digest says. A revisit has no
-    payload. Archives without records give no rows.
+    Files are read and parsed once, into a table in the shared folder. Segments of a record that no one file holds are
+    grouped by their origin's identifier, put in order and checked against the total length; a group is one record,
+    never more. payload is null and error says why where a record is not whole or its payload is not what its
+    digest says; so does a row for what can't be read as a record at all. A revisit has no payload. Archives without
+    records give no rows. Digests may be base32 or hex, in either case; those of other kinds are not checked.
     """
-    segments = read_segments(spark, path)
-    alone = segments.where("not segmented").select("record_id", "record_type", "url", "digest", "refers_to", F.array(F.struct("number", "total", "block")).alias("parts"))
+    found = written(read_segments(spark, path), "records")
+    names = ("record_type", "url", "digest")
+    alone = found.where("whole").select(_page("record_id"), *names, _page("refers_to"), "payload", "error")
     groups = (
-        segments.where("segmented").groupBy("record_id")
-        .agg(
-            F.max(F.when(F.col("number") == 1, F.struct("record_type", "url", "digest", "refers_to"))).alias("first"),
-            F.collect_list(F.struct("number", "total", "block")).alias("parts"),
-        )
-        .select("record_id", F.coalesce("first.record_type", F.lit("response")).alias("record_type"), "first.url", "first.digest", "first.refers_to", "parts")
+        found.where("not whole").groupBy("record_id")
+        .agg(F.max(F.when(F.col("number") == 1, F.struct(*names, "refers_to"))).alias("first"), F.collect_list(F.struct("number", "total", "block")).alias("parts"))
+        .select(_page("record_id"), F.coalesce("first.record_type", F.lit("response")).alias("record_type"), "first.url", "first.digest", _page("first.refers_to"), "parts")
     )
-    return alone.mapInArrow(trimmed(_whole), _RECORD).unionByName(groups.mapInArrow(trimmed(_whole), _RECORD))
+    return alone.unionByName(groups.mapInArrow(trimmed(_whole), _RECORD))
 
 
-def _page(record_id: str | None) -> str | None:
-    m = re.match(rf"<{_URN}([^:>]*)", record_id or "")
-    return unquote(m[1]) if m and m[1] else None
+def _page(name: str):
+    """The page_id in a record's identifier, null in one of another archive."""
+    own = F.regexp_extract(name, rf"^<{_URN}([^:>]*)", 1)
+    return F.url_decode(F.nullif(own, F.lit(""))).alias("page_id" if name == "record_id" else "refers_to")
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _RECORD.split(", ")]
     kinds = [pa.string()] * 5 + [pa.binary(), pa.string()]
     for batch in batches:
-        rows, size = [], 0
-        for r in batch.to_pylist():
-            digest = None
-            if r["digest"] and r["digest"].startswith("sha1:"):
-                digest = base64.b32decode(r["digest"][5:]).hex()
-            payload = error = None
-            if r["record_type"] != "revisit":
-                payload, error = assemble([(p["number"], p["total"], p["block"]) for p in r["parts"]])
-                if payload is not None and digest not in (None, hashlib.sha1(payload).hexdigest()):
-                    payload, error = None, "the payload is not what its digest says"
-            rows.append((_page(r["record_id"]), r["record_type"], r["url"], digest, _page(r["refers_to"]), payload, error))
-            size += len(payload or b"")
-            if size > 16 << 20:
-                yield _columns(rows, names, kinds)
-                rows, size = [], 0
-        if rows:
-            yield _columns(rows, names, kinds)
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
+            payload, error = checked([(p["number"], p["total"], p["block"]) for p in r["parts"]], r["digest"])
+            yield _columns([(r["page_id"], r["record_type"], r["url"], r["digest"], r["refers_to"], payload, error)], names, kinds)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """page_id, record_type, payload_bytes, payload_digest, refers_to: revisits take length and digest of what they refer to.
+    """page_id, record_type, payload_bytes, payload_digest, refers_to: revisits take the length of the response of their digest.
 
-    Each response is one row of two numbers before the join; a response that very many revisits name makes one
-    large join key, which adaptive execution splits.
+    Payloads are reduced to length and digest before the join; responses that repeat a page_id and a digest are one
+    row of it, and one that very many revisits name makes one large join key, which adaptive execution splits.
     """
-    sizes = records.select("page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("d"))
+    sizes = records.select("page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("n"), F.coalesce(F.sha1("payload"), F.col("digest")).alias("d"))
+    sizes = written(sizes, "sizes")
     answers = sizes.where("record_type = 'response'")
-    known = answers.groupBy(F.col("page_id").alias("refers_to")).agg(F.max("n").alias("n"), F.max("d").alias("d"))
-    revisits = sizes.where("record_type = 'revisit'").drop("n", "d").join(known, "refers_to", "left")
+    known = answers.groupBy(F.col("page_id").alias("refers_to"), "d").agg(F.max("n").alias("n"))
+    revisits = sizes.where("record_type = 'revisit'").drop("n").join(known, ["refers_to", "d"], "left")
     both = answers.select("page_id", "record_type", "refers_to", "n", "d").unionByName(revisits)
     return both.select("page_id", F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to")

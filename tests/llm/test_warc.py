@@ -77,8 +77,56 @@ def test_parse_plain_gzip_and_members():
     one = W.format_record(5, 0, "u", b"x" * 10, hashlib.sha1(b"x" * 10).hexdigest(), None, 1 << 20, 100)
     end = b"\r\n\r\n"
     for data in (one + end + one + end, gzip.compress(one + end + one + end), gzip.compress(one + end) + gzip.compress(one + end)):
-        assert [f["warc-type"] for f, _ in W.parse_warc(data)] == ["response"] * 2
-    with pytest.raises(ValueError):
-        list(W.parse_warc(one[:-3]))
-    with pytest.raises(ValueError):
-        list(W.parse_warc(b"no record"))
+        assert [(f["warc-type"], e) for f, _, e in W.parse_warc(data)] == [("response", None)] * 2
+    assert [e for _, _, e in W.parse_warc(one[:-3])] == ["the record is cut off"]
+    assert [e for _, _, e in W.parse_warc(b"no record")] == ["no record where one should begin"]
+    assert [e for _, _, e in W.parse_warc(gzip.compress(one + end)[:-12])][-1] == "gzip data is cut off"
+    big = one.replace(b"x" * 10, b"y" * 10) + end
+    members = b"".join(gzip.compress(big) for _ in range(3000))
+    assert sum(e is None for _, _, e in W.parse_warc(members)) == 3000
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Broken records are rows with an error; the others of the archive are read. Digests in hex or base32 of either case."""
+    import base64
+
+    body, end = b"some words " * 20, b"\r\n\r\n"
+    sha = hashlib.sha1(body)
+    http = b"HTTP/1.0 200 OK\r\n\r\n" + body
+
+    def record(name, digest, extra=(), block=http, length=None, kind="response"):
+        fields = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x:{name}>", f"WARC-Payload-Digest: {digest}", *extra]
+        fields += [] if length == 0 else [f"Content-Length: {len(block) if length is None else length}"]
+        return "\r\n".join(["WARC/1.0", *fields]).encode() + end + block + end
+
+    base32 = base64.b32encode(sha.digest()).decode()
+    good = [record("a", f"sha1:{base32}"), record("b", f"sha1:{base32.lower()}"), record("c", f"sha1:{sha.hexdigest().upper()}"), record("d", "md5:abc"), record("e", "sha1:!!!")]
+    bad = [record("f", "sha1:" + "0" * 40), record("g", "", length=0), b"junk that is no record\r\n\r\n", record("h", "", block=b"no http"), record("info", "", kind="warcinfo")]
+    total = len(http)
+    first = record("s", f"sha1:{base32}", ["WARC-Segment-Number: 1"], http[:50])
+    second = record("t", "", ["WARC-Segment-Number: 2", "WARC-Segment-Origin-ID: <urn:x:s>", f"WARC-Segment-Total-Length: {total}"], http[50:], kind="continuation")
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "1.warc").write_bytes(b"".join([good[0], bad[0], good[1], bad[1], good[2], bad[2], good[3], bad[3], good[4], bad[4], second]))
+    (tmp_path / "w" / "2.warc.gz").write_bytes(gzip.compress(first) + gzip.compress(good[0]) + gzip.compress(good[0])[:-10])
+    (tmp_path / "w" / "3.warc").write_bytes(good[0] + record("z", "", length=10_000) + good[1])
+    (tmp_path / "w" / "4.warc").write_bytes(b"")
+    got = [(r.payload, r.error) for r in W.read_warc(spark, str(tmp_path / "w")).collect()]
+    assert sum(p == body for p, _ in got) == 5 + 1 + 1 + 2 + 1  # with the record whose segments stand in two files; the last before the cut is whole
+    assert sorted(e for _, e in got if e) == [
+        "HTTP header is cut off", "gzip data is cut off", "no record where one should begin", "the payload is not what its digest says", "the record has no length", "the record is cut off",
+    ]
+
+
+def test_a_revisit_names_its_record_and_takes_the_length_of_its_digest(spark, tmp_path):
+    rows = [(7, "u", "y" * 1500, "p"), (7, "v", "z" * 2500, "p"), (7, "v", "z" * 2500, "p"), (3, "u", "y" * 1500, "p"), (4, "u", "z" * 2500, "p")]
+    W.write_warc(make(spark, rows), str(tmp_path / "w"), segment_bytes=700)
+    ids, refers = set(), set()
+    for path in (tmp_path / "w").glob("*.gz"):
+        for f, _, _ in W.parse_warc(path.read_bytes()):
+            if f["warc-type"] == "response":
+                assert f["warc-record-id"] not in ids
+                ids.add(f["warc-record-id"])
+            refers |= {f["warc-refers-to"]} if "warc-refers-to" in f else set()
+    assert len(ids) == 3 and len(refers) == 2 and refers <= ids
+    got = sorted((r.page_id, r.record_type, r.payload_bytes, r.refers_to) for r in W.resolve_revisits(W.read_warc(spark, str(tmp_path / "w"))).collect())
+    assert got == [("3", "revisit", 1500, "7"), ("4", "revisit", 2500, "7"), ("7", "response", 1500, None), ("7", "response", 2500, None), ("7", "response", 2500, None)]
