@@ -5,8 +5,9 @@ from __future__ import annotations
 import html as _html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,43 +30,143 @@ AGAINST = frozenset(
     "newsletter signup breadcrumb breadcrumbs pagination pager widget popup modal overlay toolbar login copyright complementary contentinfo "
     "search form reply replies respond outbrain taboola paywall".split()
 )
+#: Of these, those that also speak against an article inside, and against an element that holds most of a page.
+ALWAYS_AGAINST = frozenset(
+    "comment comments commentlist disqus reply replies respond related recommended outbrain taboola cookie cookies consent gdpr newsletter "
+    "subscribe signup share sharing social".split()
+)
+#: Words of class names that say what a page has or lacks beside the element: what follows them is no sign.
+BESIDE = frozenset("has with without no not is show hide".split())
 IN_FAVOUR = frozenset("article articlebody content post entry story main body text".split())
 
 # The classifier: log-odds that a block is content, added up.
 BIAS, IN_ARTICLE, FAVOUR, PER_LENGTH, PER_LINK = 0.3, 4.0, 0.7, 0.5, -2.5
 DROP, NEGATIVE, HEADER, FEW_WORDS = -12.0, -9.0, -3.0, -0.2
-# What it costs to cut between a block and the one before it, and between blocks of one parent.
-ADJACENT, SIBLING = 0.5, 1.0
+# What it costs to cut between a block and the one before it, and between neighbouring blocks of one parent.
+ADJACENT, SIBLING = 0.75, 1.5
+#: An element with a weak sign against it that holds this share of a page's text is only a wrapper.
+WRAPPER = 0.8
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop|hidden|aria-hidden|style)(?=[\s=/]|$)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
+_REST = re.compile(r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop)(?=[\s=/]|$)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SIGN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ENDS: dict[str, re.Pattern] = {}
-_SIGNS: dict[tuple[str, str], float] = {}
+_SIGNS: dict[tuple[str, str], tuple[float, bool]] = {}
+
 
+def _sign(name: str) -> tuple[float, bool]:
+    """The log-odds of one class name, id or role, and whether that is weak: a whole word is a sign; a part of a
+    compound is a weak one, unless the compound says what stands beside."""
+    parts = [w.lower() for w in _SIGN.findall(name)]
+    told = parts[: next((i for i, w in enumerate(parts) if w in BESIDE), len(parts))]
+    against = [w for w in told if w in AGAINST]
+    if against:
+        return NEGATIVE, len(parts) > 1 and not ALWAYS_AGAINST.intersection(against)
+    return (HEADER if "header" in told else FAVOUR if IN_FAVOUR.intersection(told) else 0.0), False
 
-def _own(tag: str, attributes: str) -> float:
-    """Log-odds that an element adds to all blocks in it."""
+
+def _own(tag: str, attributes: str) -> tuple[float, bool]:
+    """Log-odds that an element adds to all blocks in it, and whether they are weak: void where it is only a wrapper."""
     key = (tag, attributes)
     if (found := _SIGNS.get(key)) is not None:
         return found
     score = DROP if tag in DROPPED else HEADER if tag == "header" else IN_ARTICLE if tag in ("article", "main") else 0.0
+    weak = tag in ("form", "fieldset")
     if attributes and tag not in ("html", "body"):
-        names = [w.lower() for m in _ATTRIBUTE.finditer(attributes) for w in _SIGN.findall(m[1] or m[2] or m[3] or "")]
         if _HIDDEN.search(attributes):
-            score += DROP
+            score, weak = score + DROP, False
         elif tag not in ("article", "main"):
-            if any(w in AGAINST for w in names):
-                score += NEGATIVE
-            elif "header" in names:
-                score += HEADER
-            elif any(w in IN_FAVOUR for w in names):
-                score += FAVOUR
+            signs = [_sign(name) for m in _ATTRIBUTE.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split()]
+            worst = min((x for x, _ in signs), default=0.0)
+            if worst < 0:
+                weak = (weak or tag not in DROPPED) and all(w for x, w in signs if x == worst)
+                score += worst
+            else:
+                score += max((x for x, _ in signs), default=0.0)
     if len(_SIGNS) > 20_000:
         _SIGNS.clear()
-    _SIGNS[key] = score
-    return score
+    _SIGNS[key] = (score, weak)
+    return score, weak
+
+
+@dataclass
+class _Elements:
+    """The elements with blocks of a page in page order; the first is the page itself."""
+
+    tag: list[str] = field(default_factory=lambda: [""])
+    above: list[int] = field(default_factory=lambda: [0])
+    own: list[tuple[float, bool]] = field(default_factory=lambda: [(0.0, False)])
+    size: list[int] = field(default_factory=lambda: [0])
+
+    def add(self, tag: str, above: int, own: tuple[float, bool]) -> int:
+        self.tag.append(tag)
+        self.above.append(above)
+        self.own.append(own)
+        self.size.append(0)
+        return len(self.tag) - 1
+
+    def scores(self) -> list[float]:
+        """Log-odds of each element with what it is in. A weak sign against a wrapper of an article, or of nearly all text, is void."""
+        size, holds = self.size[:], [t in ("article", "main") for t in self.tag]
+        for i in range(len(size) - 1, 0, -1):
+            size[self.above[i]] += size[i]
+            holds[self.above[i]] |= holds[i]
+        out = [0.0] * len(size)
+        for i in range(1, len(size)):
+            (own, weak), above = self.own[i], out[self.above[i]]
+            if own < 0 and weak and (holds[i] or size[i] >= WRAPPER * size[0]):
+                own = 0.0
+            if own < 0 and above > 0 and self.tag[i] != "header":
+                above = 0.0  # an advert or a comment in an article
+            out[i] = min(above, 0.0) + own if above < 0 and 0 < own < IN_ARTICLE else above + own
+        return out
+
+
+def markup(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text, slash, tag, attributes) of each tag with the text before it, and of the text at the end, in linear time.
+
+    A tag ends at the first > outside quotation marks. Where marks are never closed, it and all later ones end at the first >.
+    What is no tag is text; comments, declarations and the contents of RAW elements are left out.
+    """
+    start = at = 0
+    end, loose = len(page), False
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith(("<!", "<?"), at):
+            sign = "-->" if page.startswith("<!--", at) else ">"
+            stop = page.find(sign, at + 2)
+            if stop < 0 and sign == ">":
+                break
+            yield page[start:at], "", "", ""
+            start = at = end if stop < 0 else stop + len(sign)
+            continue
+        name = _NAME.match(page, at)
+        if not name:
+            at += 1
+            continue
+        close = -1
+        if not loose:
+            rest = _REST.match(page, name.end())
+            close = rest.end() if rest else -1
+            if not rest:
+                stop = page.find("<", name.end())
+                own = page[name.end() : stop if stop >= 0 else end]
+                loose = own.count('"') % 2 == 1 or own.count("'") % 2 == 1
+        if loose:
+            close = page.find(">", name.end()) + 1
+            if not close:
+                break
+        if close < 0:
+            at = name.end()
+            continue
+        tag, attributes = name[2].lower(), page[name.end() : close - 1]
+        yield page[start:at], name[1], tag, attributes
+        start = at = close
+        if tag in RAW and not name[1] and not attributes.endswith("/"):
+            stop = _ENDS.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)).search(page, at)
+            start = at = stop.end() if stop else end
+    yield page[start:], "", "", ""
 
 
 def blocks(page: str) -> list[tuple[str, float, int]]:
@@ -74,52 +175,39 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
     White space inside a block is one space, character references are decoded. Elements that are never closed
     end with what they are in; what isn't markup is text.
     """
-    out: list[tuple[str, float, int]] = []
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]
+    elements, found = _Elements(), []
+    stack: list[int] = [0]
+    opened: Counter = Counter()
     parts: list[str] = []
-    state = {"n": 0, "link": 0}
-    in_link = False
+    linked, in_link = 0, False
 
     def flush() -> None:
+        nonlocal linked
         if not parts:
             return
         joined = "".join(parts)
         text = " ".join((_html.unescape(joined) if "&" in joined else joined).split())
         parts.clear()
-        linked, state["link"] = state["link"], 0
+        share, linked = linked, 0
         if text:
-            tag, score, place = stack[-1]
-            words = text.count(" ") + 1
-            score += BIAS + PER_LENGTH * math.log1p(words / 10) + PER_LINK * min(1.0, linked / len(text)) + (FEW_WORDS if words < 5 else 0.0)
-            if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dd", "dt") and len(stack) > 1:
-                place = stack[-2][2]
-            out.append((text, score, place))
-
-    def keep(text: str) -> None:
-        parts.append(text)
-        if in_link:
-            state["link"] += len(text)
-
-    at, end = 0, len(page)
-    search = _TAG.search
-    while at < end:
-        m = search(page, at)
-        if m is None:
-            keep(page[at:])
-            break
-        if m.start() > at:
-            keep(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if not name:
-            continue
-        tag, closing = name.lower(), m[1]
+            elements.size[stack[-1]] += len(text)
+            found.append((text, stack[-1], share))
+
+    def push(tag: str, own: tuple[float, bool]) -> None:
+        stack.append(elements.add(tag, stack[-1], own))
+        opened[tag] += 1
+
+    def pop() -> str:
+        tag = elements.tag[stack.pop()]
+        opened[tag] -= 1
+        return tag
+
+    for text, closing, tag, attributes in markup(page):
+        if text:
+            parts.append(text)
+            linked += len(text) if in_link else 0
         if tag == "br":
             parts.append(" ")
-        elif tag in RAW:
-            if not closing and not m[3].endswith("/"):
-                stop = _ENDS.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)).search(page, at)
-                at = stop.end() if stop else end
         elif tag == "a":
             in_link = not closing
         elif tag in BLOCKS:
@@ -128,28 +216,28 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
             if tag in VOID:
                 continue
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                while opened[tag] and pop() != tag:
+                    pass
                 continue
-            if stack[-1][0] == "p" or (tag in ("li", "option", "dd", "dt", "td", "th", "tr") and stack[-1][0] == tag):
-                stack.pop()
-            state["n"] += 1
-            own = _own(tag, m[3])
-            above = stack[-1][1]
-            if own < 0 and above > 0 and tag != "header":
-                above = 0.0  # an advert or a comment in an article
-            stack.append((tag, min(above, 0.0) + own if above < 0 and own > 0 and own < IN_ARTICLE else above + own, state["n"]))
-        elif tag not in VOID and not closing and m[3] and _own(tag, m[3]) <= NEGATIVE:
+            last = elements.tag[stack[-1]]
+            if last == "p" or (tag in ("li", "option", "dd", "dt", "td", "th", "tr") and last == tag):
+                pop()
+            push(tag, _own(tag, attributes))
+        elif tag and tag not in VOID and tag not in RAW and not closing and attributes and _own(tag, attributes)[0] <= NEGATIVE:
             # an inline element that is hidden or an advert: as a block of its own
             flush()
-            state["n"] += 1
-            stack.append((tag, _own(tag, m[3]), state["n"]))
-        elif closing and stack[-1][0] == tag:
+            push(tag, _own(tag, attributes))
+        elif closing and len(stack) > 1 and elements.tag[stack[-1]] == tag:
             flush()
-            stack.pop()
+            pop()
     flush()
+
+    above, out = elements.scores(), []
+    for text, i, share in found:
+        words = text.count(" ") + 1
+        score = above[i] + BIAS + PER_LENGTH * math.log1p(words / 10) + PER_LINK * min(1.0, share / len(text)) + (FEW_WORDS if words < 5 else 0.0)
+        leaf = elements.tag[i] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dd", "dt")
+        out.append((text, score, elements.above[i] if leaf else i))
     return out
 
 
@@ -213,6 +301,19 @@ def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> lis
                         break
 
 
+def smoothness(found: list[tuple[str, float, int]]) -> list[tuple[int, int, float]]:
+    """Edges between neighbouring blocks of one parent, and from any other block to the one before it."""
+    edges, last = [], {}
+    for i, (_, _, parent) in enumerate(found):
+        before = last.get(parent)
+        if before is not None:
+            edges.append((before, i, SIBLING))
+        if i and before != i - 1:
+            edges.append((i - 1, i, ADJACENT))
+        last[parent] = i
+    return edges
+
+
 def main_text(page: str | None) -> str:
     """The content blocks of a page, joined by two line ends; empty if there is none."""
     found = blocks(page or "")
@@ -220,15 +321,7 @@ def main_text(page: str | None) -> str:
     if not any(s > 0 for s in scores):
         return ""
     if min(scores) <= 0:
-        edges, last = [], {}
-        for i, (_, _, parent) in enumerate(found):
-            before = last.get(parent)
-            if before is not None:
-                edges.append((before, i, SIBLING))
-            if i and before != i - 1:
-                edges.append((i - 1, i, ADJACENT))
-            last[parent] = i
-        found = [b for b, kept in zip(found, minimum_cut(scores, edges), strict=True) if kept]
+        found = [b for b, kept in zip(found, minimum_cut(scores, smoothness(found)), strict=True) if kept]
     return "\n\n".join(text for text, _, _ in found)
 
 
