@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as X
+from lexiloom.session import materialized
 
 K1, B = 1.5, 0.75
+#: Questions that every task holds at once, by their terms; more are searched in several passes.
+BLOCK_QUERIES = 2048
+#: Documents whose scores for all questions a task holds at once.
+BLOCK_DOCS = 256
 
 
 @dataclass(frozen=True)
@@ -62,6 +71,7 @@ def weight(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column, k1: flo
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "text", query: str = "query_id", question: str = "question", stem: bool = False) -> DataFrame:
     """Inverted-index probe: (query_id, doc, score) of every pair that shares a term; a term asked twice counts twice.
+    For the best of each question take bm25_search, which doesn't shuffle the pairs.
 
     Only terms that are asked for leave the scan: the distinct terms of the questions meet the exploded
     tokens first (broadcast by Spark where they are few), then counts are combined before their shuffle.
@@ -85,14 +95,85 @@ def top_k(scored: DataFrame, k: int, by: str = "score", group: str = "query_id",
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, stem: bool = False, **names: str) -> DataFrame:
-    """BM25 search with metadata filters: the filter comes after the statistics, so it doesn't change idf."""
-    scored = bm25_scores(docs, queries, stem=stem, **names)
-    if where is not None:
-        doc = names.get("doc", "doc_id")
-        allowed = docs.where(where).select(F.col(doc).alias("doc"))
-        scored = scored.join(allowed, "doc", "left_semi")
-    return top_k(scored, k)
+def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, stem: bool = False, doc: str = "doc_id", text: str = "text", query: str = "query_id", question: str = "question") -> DataFrame:
+    """BM25 search with metadata filters: (query_id, doc, score, rank). The filter comes after the statistics, so it doesn't change idf.
+
+    The questions of a block are sent to the tasks by their terms. One pass over the documents counts, in place, how
+    often each has the terms that are asked for, and writes that; lengths and document frequencies are sums over it.
+    A second pass scores documents where they are and keeps k of each question a task, so what is shuffled is k
+    rows a question and task, not every pair that shares a term. doc is an integer; rows are documents.
+    """
+    spark = docs.sparkSession
+    asked = queries.select(F.col(query).alias("query_id"), F.explode(X.tokens(F.coalesce(F.col(question), F.lit("")), stem)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    kind = queries.schema[query].dataType.simpleString()
+    allowed = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    rows = docs.select(F.col(doc).cast("long").alias("doc"), X.tokens(F.coalesce(F.col(text), F.lit("")), stem).alias("tokens"), allowed.alias("allowed"))
+    out = spark.createDataFrame([], f"query_id {kind}, doc bigint, score double")
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
+        if part:
+            out = out.unionByName(_search_block(rows, [(r["query_id"], r["term"], r["qf"]) for r in part], k, kind))
+    return top_k(out, k)
+
+
+def _search_block(rows: DataFrame, asked: list[tuple], k: int, kind: str) -> DataFrame:
+    terms, ids = sorted({t for _, t, _ in asked}), sorted({q for q, _, _ in asked})
+    number, column = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(ids)}
+    counts = materialized(rows.mapInArrow(_counter(terms), "doc bigint, dl bigint, allowed boolean, ids array<int>, tfs array<int>"), "counts")
+    n, avgdl = counts.agg(F.count("*"), F.avg("dl")).first()
+    df = np.zeros(len(terms))
+    for r in counts.select(F.explode("ids").alias("id")).groupBy("id").count().collect():
+        df[r["id"]] = r["count"]
+    by_term = sorted((number[t], column[q], f) for q, t, f in asked)
+    begin = np.searchsorted(np.array([t for t, _, _ in by_term]), np.arange(len(terms) + 1))
+    idf_ = np.where(df > 0, np.log(1 + ((n or 0) - df + 0.5) / (df + 0.5)), 0.0)
+    shared = rows.sparkSession.sparkContext.broadcast((ids, idf_, begin, np.array([c for _, c, _ in by_term]), np.array([f for _, _, f in by_term], np.float64), max(avgdl or 0.0, 1e-9)))
+    return counts.where("allowed").select("doc", "dl", "ids", "tfs").mapInArrow(_scorer(shared, k, kind), f"query_id {kind}, doc bigint, score double")
+
+
+def _counter(terms: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(terms, pa.string())
+        for batch in batches:
+            tokens = batch.column(1)
+            dl = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = pc.fill_null(pc.index_in(tokens.flatten().cast(pa.string()), value_set=known), -1).to_numpy().astype(np.int64)
+            owner = np.repeat(np.arange(len(dl)), dl)
+            pairs, tf = np.unique(owner[found >= 0] * len(terms) + found[found >= 0], return_counts=True)
+            owner, term = np.divmod(pairs, len(terms))
+            offsets = pa.array(np.searchsorted(owner, np.arange(len(dl) + 1)).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (term, tf))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dl), batch.column(2), *lists], ["doc", "dl", "allowed", "ids", "tfs"])
+
+    return run
+
+
+def _scorer(shared, k: int, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, idf_, begin, column, qf, avgdl = shared.value
+        docs, best = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+        for batch in (b.slice(i, BLOCK_DOCS) for b in batches for i in range(0, b.num_rows, BLOCK_DOCS)):
+            size = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            term, tf = (batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            owner = np.repeat(np.arange(batch.num_rows), size)
+            length = np.maximum(batch.column(1).to_numpy(), 1)[owner] / avgdl
+            weight_ = idf_[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
+            each = begin[term + 1] - begin[term]
+            at = np.arange(each.sum()) + np.repeat(begin[term] - np.cumsum(each) + each, each)
+            scores = np.bincount(column[at] * batch.num_rows + np.repeat(owner, each), np.repeat(weight_, each) * qf[at], len(ids) * batch.num_rows).reshape(len(ids), -1)
+            scores = np.where(scores > 0, np.round(scores, 6), -np.inf)
+            docs = np.concatenate((docs, np.broadcast_to(batch.column(0).to_numpy(), scores.shape)), 1)
+            best = np.concatenate((best, scores), 1)
+            order = np.lexsort((docs, -best), axis=1)[:, :k]
+            docs, best = np.take_along_axis(docs, order, 1), np.take_along_axis(best, order, 1)
+        query, place = np.nonzero(best > -np.inf)
+        out = pa.array([ids[q] for q in query], pa.string() if kind == "string" else None)
+        if kind != "string":
+            out = out.cast({"int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind])
+        yield pa.RecordBatch.from_arrays([out, pa.array(docs[query, place]), pa.array(best[query, place])], ["query_id", "doc", "score"])
+
+    return run
 
 
 def overlap_rerank(hits: DataFrame, k: int, group: str = "query_id", tie: str = "doc", question: str = "question", text: str = "text") -> DataFrame:

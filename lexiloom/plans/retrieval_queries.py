@@ -113,9 +113,7 @@ def trigram_embeddings(spark, sf_dir):
 def _lists(spark, sf_dir):
     """Two lists of each question: over all chunks, and over those of acts with an even number."""
     c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
-    scored = lexical.bm25_scores(c, q, doc="doc")
-    even = scored.join(c.where("act_id % 2 = 0").select("doc"), "doc", "left_semi")
-    return lexical.top_k(scored, 20), lexical.top_k(even, 20)
+    return lexical.bm25_search(c, q, 20, doc="doc"), lexical.bm25_search(c, q, 20, F.col("act_id") % 2 == 0, doc="doc")
 
 
 _LISTS = f"""{BM25}, l1 as ({TOP.format(t='scored', k=20)}), l2 as ({TOP.format(t='(select s.* from scored s join d using (doc) where act_id % 2 = 0)', k=20)}),
