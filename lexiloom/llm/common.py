@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.session import PLAIN_READS
+from lexiloom.session import PLAIN_READS, shared_folder
 
 #: White space of the word contract: \x20 and \x09 to \x0D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -20,23 +18,16 @@ SPACE = " \t\n\x0b\x0c\r"
 UNSPACED = "\u0e00-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where neither the session nor the context names one (a local session, as in tests) a temporary
-    folder is made and set.
-    """
-    context = spark.sparkContext
-    found = context._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiloom-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark, name)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name with as many underscores before it as make it begin no name in taken."""
+    while any(t.lower().startswith(name) for t in taken):
+        name = f"_{name}"
+    return name
 
 
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

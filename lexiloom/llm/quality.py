@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import SPACE
+from lexiloom.llm.common import SPACE, fresh
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -51,7 +51,7 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     n_repeat_words sorts the 3-word windows of a text within its own row (words compared as strings, no
     hashing), marks windows equal to a neighbour and adds the word positions that marked windows cover.
     """
-    q = "__"
+    q = fresh("__", docs.columns)
     d = docs.withColumn(f"{q}t", F.coalesce(F.col(text).cast("string"), F.lit("")))
     d = d.withColumn(f"{q}flat", F.translate(f"{q}t", SPACE[1:], " " * 5))
     d = d.withColumn(f"{q}w", F.array_remove(F.split(f"{q}flat", " "), ""))
@@ -90,7 +90,7 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _stop_words(flat: str) -> Column:
-    """Words that are stop words after lower-casing and removal of . , ; : ! ? at either end."""
+    """Stop words among what is left of the lower-cased text between spaces and . , ; : ! ?"""
     listed = ", ".join(f"'{w}'" for w in STOP_WORDS)
     words = f"split(translate(lower({flat}), '.,;:!?', '      '), ' ')"
     return F.expr(f"size(filter({words}, w -> w in ({listed})))").cast("long")

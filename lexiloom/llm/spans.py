@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import trimmed, written
+from lexiloom.llm.common import fresh, trimmed, written
 
 #: A span has two sentences and SPAN_WORDS words at least, or is one sentence of LONG_WORDS words at least.
 SPAN_WORDS = 25
@@ -138,11 +138,12 @@ def substring_dedup(docs: DataFrame, least: int = SPAN_WORDS, long: int = LONG_W
     compared with. Columns n_sentences, n_removed and removed of docs are replaced, all others kept.
     """
     hashes = written(repeated_spans(docs, least, long), "spans")
-    lists = hashes.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("__spans"))
+    own_spans = fresh("__spans", docs.columns)
+    lists = hashes.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias(own_spans))
     small = hashes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = docs.drop("n_sentences", "n_removed", "removed")
     names = rows.columns
-    joined = rows.join(F.broadcast(lists) if small else lists.hint("merge"), "doc_id", "left").select(*names, "__spans")
+    joined = rows.join(F.broadcast(lists) if small else lists.hint("merge"), "doc_id", "left").select(*names, own_spans)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
