@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as X
@@ -115,11 +115,30 @@ def trigram_bucket(gram: Column, dim: int) -> Column:
 
 def embed(docs: DataFrame, doc: str = "doc_id", text: str = "text", dim: int = 512) -> DataFrame:
     """Encode batch: (doc, bucket, value) of unit length; the dense vector is its pivot."""
-    counts = docs.select(F.col(doc).alias("doc"), F.explode(trigram_embedding(F.col(text), dim)).alias("bucket")).groupBy("doc", "bucket").agg(F.count("*").cast("double").alias("c"))
+    words = docs.select(F.col(doc).alias("doc"), F.explode(X.tokens(F.col(text))).alias("t")).select("doc", F.concat(F.lit(" "), "t", F.lit(" ")).alias("t"))
+    grams = words.select("doc", "t", F.explode(F.sequence(F.lit(1), F.length("t") - 2)).alias("i")).select("doc", F.substr("t", F.col("i"), F.lit(3)).alias("g"))
+    # a trigram is hashed once a document, after what is counted in its task has been combined
+    counts = grams.groupBy("doc", "g").agg(F.count("*").alias("c")).groupBy("doc", trigram_bucket(F.col("g"), dim).alias("bucket")).agg(F.sum("c").cast("double").alias("c"))
     norms = counts.groupBy("doc").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
     return counts.join(norms, "doc").select("doc", "bucket", (F.col("c") / F.col("norm")).alias("value"))
 
 
+def save_vectors(index: DataFrame, path: str, dim: int, vector: str = "embedding") -> None:
+    """Vector index write: vectors of unit length, and how many there are of how many dimensions."""
+    units = append_vectors(index.limit(0), index, dim, vector)
+    units.write.mode("overwrite").parquet(f"{path}/vectors")
+    found = index.sparkSession.read.parquet(f"{path}/vectors")
+    found.agg(F.count("*").alias("n"), F.lit(dim).alias("dim")).write.mode("overwrite").parquet(f"{path}/shape")
+
+
+def load_vectors(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
+    """Vector index load; fails where rows are missing, or vectors have other dimensions than the embedder's."""
+    found, shape = spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/shape").first()
+    if found.count() != shape["n"] or dim not in (None, shape["dim"]):
+        raise ValueError(f"{path}: {shape['n']} vectors of {shape['dim']} dimensions were written")
+    return found
+
+
 def embed_new(chunks: DataFrame, known: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Resumable embed with reuse: (chunks with a known vector, distinct texts still to be embedded), by the text's hash."""
     keyed = chunks.withColumn("text_sha1", X.text_key(F.col(text)))

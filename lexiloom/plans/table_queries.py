@@ -481,3 +481,93 @@ def as_of_join(spark, sf_dir):
     last = v.groupBy("user_id", "g").agg(F.max(F.when(F.col("event_type") == "view", F.col("event_id"))).alias("view"))
     carried = last.withColumn("before", F.last("view", True).over(Window.partitionBy("user_id").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)))
     return v.where("event_type = 'purchase'").join(carried.select("user_id", "g", "before"), ["user_id", "g"]).where("before is not null").select("event_id", "before")
+
+
+_DAY = "date_diff('day', date '1990-01-01', cast(o_orderdate as date))"
+
+
+@query(f"""select o_orderkey, lead(o_orderkey) over w as next, first_value(o_orderkey) over w as first, round(cume_dist() over (partition by o_custkey order by o_orderpriority), 6) as share, round(percent_rank() over (partition by o_custkey order by o_orderpriority), 6) as place,
+  round(sum(o_totalprice) over (partition by o_custkey order by {_DAY} range between 90 preceding and current row), 2) as quarter from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)""")
+def window_frames(spark, sf_dir):
+    """LEAD, FIRST, CUME_DIST, PERCENT_RANK and a RANGE frame over days."""
+    w, p = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"), Window.partitionBy("o_custkey").orderBy("o_orderpriority")
+    days = Window.partitionBy("o_custkey").orderBy(F.datediff("o_orderdate", F.lit("1990-01-01"))).rangeBetween(-90, 0)
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.lead("o_orderkey").over(w).alias("next"), F.first("o_orderkey").over(w).alias("first"), F.round(F.cume_dist().over(p), 6).alias("share"), F.round(F.percent_rank().over(p), 6).alias("place"),
+        F.round(F.sum("o_totalprice").over(days), 2).alias("quarter"),
+    )
+
+
+@query("""with c as (select c_nationkey as k, count(*) as customers from customer where c_acctbal > 0 and c_nationkey % 3 <> 0 group by 1), s as (select s_nationkey as k, count(*) as suppliers from supplier where s_nationkey % 2 = 0 group by 1)
+  select n_name, customers, suppliers from (select coalesce(c.k, s.k) as k, customers, suppliers from c full join s on c.k = s.k) b right join nation on n_nationkey = b.k""")
+def outer_joins(spark, sf_dir):
+    """Right and full outer join, of sums that are combined before the join."""
+    c = table(spark, sf_dir, "customer").where("c_acctbal > 0 and c_nationkey % 3 <> 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
+    s = table(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"))
+    both = c.join(s, "k", "full_outer")
+    return both.join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("k"), "right").select("n_name", "customers", "suppliers")
+
+
+@query("""select p.event_id, count(v.event_id) as views from events p left join events v on v.user_id = p.user_id and v.event_type = 'view' and v.ts <= p.ts and v.ts > p.ts - interval 1 day where p.event_type = 'purchase' group by 1""")
+def interval_join(spark, sf_dir):
+    """Range and interval join: views of a user in the day before a purchase. Each purchase looks into two buckets of a day, so the join has equal keys."""
+    e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    day = 86_400_000_000
+    p = e.where("event_type = 'purchase'").select("event_id", "user_id", "us", F.explode(F.array(F.floor(F.col("us") / day), F.floor(F.col("us") / day) - 1)).alias("bucket"))
+    v = e.where("event_type = 'view'").select("user_id", F.col("us").alias("seen"), F.floor(F.col("us") / day).alias("bucket"))
+    j = p.join(v, ["user_id", "bucket"], "left").withColumn("hit", (F.col("seen") <= F.col("us")) & (F.col("seen") > F.col("us") - day))
+    return j.groupBy("event_id").agg(F.count(F.when(F.col("hit"), 1)).alias("views"))
+
+
+@query("select time_bucket(interval 1 hour, ts) - k * interval 1 hour as start, event_type, count(*) as n, round(sum(value), 2) as total from events cross join (values (0), (1)) x(k) group by all")
+def sliding_counts(spark, sf_dir):
+    """Sliding windows of two hours, each hour, as one aggregation of a batch."""
+    g = table(spark, sf_dir, "events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return g.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+@query("select event_type, true as users_near, true as median_near from events group by 1")
+def approximate_statistics(spark, sf_dir):
+    """Approximate distinct counts and quantiles (extension): within five in a hundred of the exact ones, by rank for the quantile."""
+    g = table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.approx_count_distinct("user_id", 0.01).alias("a"), F.count_distinct("user_id").alias("e"), F.percentile_approx("value", 0.5, 1000).alias("m"), F.percentile("value", 0.45).alias("low"), F.percentile("value", 0.55).alias("high"),
+    )
+    return g.select("event_type", (F.abs(F.col("a") - F.col("e")) <= 0.05 * F.col("e")).alias("users_near"), F.col("m").between(F.col("low"), F.col("high")).alias("median_near"))
+
+
+@query("with big as (select o_custkey, o_totalprice from orders where o_totalprice > 1000) select c_mktsegment, count(*) as n, round(max(o_totalprice), 2) as most from big join customer on c_custkey = o_custkey group by 1 having count(*) > 1")
+def sql_views(spark, sf_dir):
+    """SQL parser, catalog and views: the same statement over temporary views."""
+    for name in ("orders", "customer"):
+        table(spark, sf_dir, name).createOrReplaceTempView(f"lexiloom_{name}")
+    return spark.sql("""with big as (select o_custkey, o_totalprice from lexiloom_orders where o_totalprice > 1000)
+      select c_mktsegment, count(*) as n, round(max(o_totalprice), 2) as most from big join lexiloom_customer on c_custkey = o_custkey group by 1 having count(*) > 1""")
+
+
+@query("select doc_id, 'Act ' || (doc_id % 9) || case when doc_id % 5 = 0 then '' else ', Section ' || (doc_id % 40) end as cite, case when doc_id % 4 = 0 then 'Name' else (doc_id % 4) || ' - Name' end as heading, "
+       "case when doc_id % 6 = 0 then null when doc_id % 3 = 0 then 'amended' else 'amended (latest ' || (1900 + doc_id % 100) || ')' end as amended, 'p' || (doc_id % 3) as provider, 'm:' || doc_id as model, "
+       "'https://x.gov.bd/act-' || doc_id || '.html' as act_page, greatest(1850 + doc_id % 50, 1900 + doc_id % 100) as latest from documents")
+def labels_of_sections(spark, sf_dir):
+    """Citation string, heading join, amendment label and year, model spec split, official act URL."""
+    i = F.col("doc_id")
+    year = F.when(i % 3 != 0, 1900 + i % 100).cast("int")
+    notes = F.array(F.concat(F.lit("Inserted by Act 5 of "), (1850 + i % 50).cast("string")), F.concat(F.lit("Act 12345 of "), (1900 + i % 100).cast("string")))
+    spec = X.model_spec(F.concat(F.lit("p"), (i % 3).cast("string"), F.lit(":m:"), i.cast("string")))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", X.citation(F.when(i % 5 == 0, "overview").otherwise("section"), F.concat(F.lit("Act "), (i % 9).cast("string")), X.unit_label(F.lit("act"), F.lit("en")), (i % 40).cast("string")).alias("cite"),
+        X.join_heading(F.when(i % 4 == 0, "").otherwise((i % 4).cast("string")), F.lit("Name")).alias("heading"), X.amendment_label(i % 6 != 0, year).alias("amended"), spec["provider"].alias("provider"), spec["model"].alias("model"),
+        X.act_url(F.lit("https://x.gov.bd/act-7/section-3.html"), i).alias("act_page"), X.latest_amendment_year(notes).cast("long").alias("latest"),
+    )
+
+
+@query("select count(*) as n, round(avg(sqrt(list_sum(list_transform(cast(embedding as double[]), lambda x: x * x))) * 0 + 1), 6) as norm from embeddings")
+def vector_index_round_trip(spark, sf_dir):
+    """Vector index write and load, vector append: all vectors, of unit length."""
+    from lexiloom.operators import vector
+    from lexiloom.session import shared_folder
+
+    e, path = table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), shared_folder(spark, "vectors")
+    dim = e.select(F.size("embedding")).first()[0]
+    vector.save_vectors(e, path, dim)
+    found = vector.load_vectors(spark, path, dim)
+    return found.agg(F.count("*").alias("n"), F.round(F.avg(F.sqrt(vector.dot(F.col("embedding"), F.col("embedding")))), 6).alias("norm"))

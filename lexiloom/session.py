@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -47,13 +48,24 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.options(**PLAIN_READS).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share, spark.checkpoint.dir; a temporary one only where none is set."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir of the session or the context.
+
+    Where none is set, a session in one process gets a temporary one; any other fails, as executors couldn't read it.
+    """
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
     if not found.isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiloom-"))
-    return f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexiloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:

@@ -98,9 +98,14 @@ def upsert_latest(batch: DataFrame, path: str, key: str, order: str) -> None:
 
     spark = batch.sparkSession
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target, fresh = fs.Path(path), fs.Path(path + ".next")
+    target, fresh, before = fs.Path(path), fs.Path(path + ".next"), fs.Path(path + ".before")
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(target) and files.exists(before):  # stopped between the two renames
+        files.rename(before, target)
     both = batch if not files.exists(target) else spark.read.parquet(path).unionByName(batch)
     latest(both, key, order).write.mode("overwrite").parquet(path + ".next")
-    files.delete(target, True)
+    files.delete(before, True)
+    if files.exists(target):
+        files.rename(target, before)
     files.rename(fresh, target)
+    files.delete(before, True)
