@@ -25,6 +25,8 @@ LEVEL = 1.5
 BROADCAST_IDS = 2_000_000
 #: Documents whose signatures a task holds and combines at once.
 SIGN_ROWS = 1000
+#: Signature rows in one Arrow batch; the executor holds a batch outside its heap.
+SEND_ROWS = 65_536
 #: Rows of a table of keys that are sent to every task; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 #: Up to so many documents outside a group's largest component are tried against all of the group.
@@ -214,8 +216,8 @@ def _signatures(docs: DataFrame, n: int, blocks: Blocks, common: np.ndarray) ->
                 lead = who[np.flatnonzero(start)][np.cumsum(start) - 1]
                 drop = ~start & (lead == who)
                 sig, who, lead, start = sig[~drop], who[~drop], lead[~drop], start[~drop]
-                for i in range(0, len(sig), 500_000):
-                    cut = slice(i, i + 500_000)
+                for i in range(0, len(sig), SEND_ROWS):
+                    cut = slice(i, i + SEND_ROWS)
                     pk = np.where(start[cut], sig[cut], mix(who[cut].view(np.uint64) + sig[cut])).view(np.int64)
                     yield _rows(pk, sig[cut].view(np.int64), np.zeros(len(pk), np.int64), who[cut], pa.array(lead[cut], mask=start[cut]), None)
 
