@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
+import threading
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,13 +32,41 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """df, written once as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
+_open = threading.local()
+
+
+def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), keep: bool = False) -> DataFrame:
+    """df, written once as Parquet to the shared folder and read back: cuts lineage, survives lost executors.
+
+    Within passing() the table goes at its end; with keep it is one of the surrounding passing(), or stays.
+    """
     path = scratch(df.sparkSession, name)
+    scopes = getattr(_open, "scopes", [])
+    if len(scopes) > keep:
+        scopes[-1 - keep].append(path)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.options(**PLAIN_READS).schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, so nothing may read them later; so are unused shuffle files."""
+    if not hasattr(_open, "scopes"):
+        _open.scopes = []
+    _open.scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _open.scopes.pop():
+            drop_path(spark, path)
+        drop_shuffles(spark)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have the driver find shuffles that no plan refers to any more: only then do executors delete their files."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

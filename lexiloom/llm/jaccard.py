@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import binary_column, components, trimmed, written
+from lexiloom.llm.common import binary_column, components, drop_shuffles, passing, trimmed, written
 
 #: Documents, by least hash of their id, in which n-grams are looked for that many documents share.
 SAMPLE_DOCS = 10_000
@@ -299,6 +299,7 @@ def _divide(known: DataFrame, groups: DataFrame, num: int, den: int) -> tuple[Da
     own = known.select(F.col("doc_id").alias("doc"), F.col("grams").alias("x"))
     counts = many.join(own, "doc").select("gid", "total", F.explode("x").alias("g")).groupBy("gid", "g").agg(F.count("*").alias("c"), F.first("total").alias("total"))
     counts = written(counts.where("c > 1"), "counts")
+    drop_shuffles(known.sparkSession)
     middle = written(counts.where("2 * c > total").groupBy("gid").agg(F.collect_list("g").alias("y")), "middles")
     size = middle.agg(F.sum(F.size("y"))).first()[0] or 0
     middle = F.broadcast(middle) if size <= BROADCAST_KEYS * 10 else middle.hint("merge")
@@ -306,6 +307,7 @@ def _divide(known: DataFrame, groups: DataFrame, num: int, den: int) -> tuple[Da
     diffs = many.join(own, "doc").join(middle, "gid", "left").withColumn("y", F.coalesce("y", none))
     diffs = diffs.select("gid", "doc", "component", F.size("x").cast("long").alias("n"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("g"))
     diffs = written(diffs.withColumn("s", F.lit(den + num) * F.size("g") - F.lit(den - num) * F.col("n")), "differences")
+    drop_shuffles(known.sparkSession)
 
     centre = diffs.groupBy("gid").agg(F.min(F.struct("s", "doc", "component")).alias("p"))
     diffs = _beside(diffs, centre, ["gid"]).withColumn("near", (F.col("s") + F.col("p.s") <= 0) | (F.col("doc") == F.col("p.doc")))
@@ -344,12 +346,13 @@ def _left_to_try(docs: DataFrame, groups: DataFrame, n: int, num: int, den: int)
     known = written(document_sets(docs, groups.select(F.col("doc").alias("doc_id")).distinct(), n), "sets")
     pairs, links = [], []
     while not groups.isEmpty():
-        tried, sure, further = _divide(known, groups, num, den)
-        pairs.append(written(tried, "pairs"))
-        if sure is None:
-            break
-        links.append(written(sure, "links"))
-        groups = written(further, "groups")
+        with passing(docs.sparkSession):
+            tried, sure, further = _divide(known, groups, num, den)
+            pairs.append(written(tried, "pairs", keep=True))
+            if sure is None:
+                break
+            links.append(written(sure, "links", keep=True))
+            groups = written(further, "groups", keep=True)
     none = docs.sparkSession.createDataFrame([], "a long, b long")
     union = lambda found: functools.reduce(DataFrame.union, found, none)
     return known, union(pairs).distinct(), union(links).distinct()
@@ -370,12 +373,22 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     So every pair over the bound is a link or lies in one component, and a group of near copies costs as
     many pairs as it has members.
     """
+    with passing(docs.sparkSession):
+        whole, parts = _classes(docs, n, num, den)
+        whole, parts = written(whole, "sizes", keep=True), written(parts, "parts", keep=True)
+    return whole.join(parts, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles) of each row, and (doc_id, component_id) of documents with links."""
+    spark = docs.sparkSession
     blocks = Blocks(num, den)
     rows = _signatures(docs, n, blocks, common_grams(docs, n))
     w = Window.partitionBy("pk", "sig", "sig2")
     rows = rows.withColumn("head", F.min("doc").over(w)).withColumn("k", F.count("*").over(w))
     rows = rows.where("n is not null or leader is not null or k > 1")
     rows = written(rows.select("sig", "sig2", "doc", F.coalesce("leader", "head").alias("head"), "n"), "signatures")
+    drop_shuffles(spark)
     keyed = rows.where("n is null").select("sig", "sig2", "doc", "head")
     pairs = keyed.where("doc <> head").select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b"), (F.col("sig2") != 0).alias("equal"))
     pairs = written(pairs.groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs")
@@ -383,12 +396,14 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     sets = document_sets(docs, unequal.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), n)
     links = written(pairs.where("equal").select("a", "b").unionByName(overlaps(sets, unequal, num, den)), "links")
     parts = components(links)
+    drop_shuffles(spark)
 
     # all rows of a key, each with its component so far; the rows of equal sets need no second look
     tagged = keyed.where("sig2 = 0").select("sig", "doc").union(keyed.where("sig2 = 0").select("sig", F.col("head").alias("doc"))).distinct()
     tagged = written(tagged.join(parts.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "tagged")
     heads = tagged.groupBy("sig").agg(F.min("doc").alias("gid"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("sig", "gid")
     groups = written(_beside(tagged, heads, ["sig"]).select("gid", "doc", "component").distinct(), "groups")
+    drop_shuffles(spark)
     if not groups.isEmpty():
         known, more, sure = _left_to_try(docs, groups, n, num, den)
         more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
@@ -396,8 +411,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
         if not late.isEmpty():
             parts = components(links.unionByName(late))
     whole = rows.where("n is not null").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"))
-    parts = parts.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
-    return whole.join(parts, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return whole, parts.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
