@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiloom.functions import text as X
+from lexiloom.operators import situations
 
 #: Fixed value: words of titles that amend or repeal.
 AMENDING = "(?i)সংশোধন|amendment|repeal|রহিতকরণ"
@@ -23,16 +24,6 @@ ACT_ALIASES = {
     "তামাদি আইন": "limitation act", "limitation act": "limitation act", "সম্পত্তি হস্তান্তর আইন": "transfer of property act",
     "সংবিধান": "constitution", "constitution": "constitution", "শ্রম আইন": "শ্রম আইন", "labour act": "শ্রম আইন",
 }
-#: Situations by the words that tell them, with phrases of the governing act's title and its sections.
-TOPICS = (
-    ("dowry", ("dowry", "যৌতুক"), ("যৌতুক নিরোধ আইন", "dowry prohibition"), ("3",)),
-    ("rape", ("rape", "ধর্ষণ", "sexual assault"), ("নারী ও শিশু নির্যাতন দমন আইন", "women and children repression"), ("9",)),
-    ("sexual harassment", ("sexual harass", "যৌন হয়রানি", "eve teas"), ("নারী ও শিশু নির্যাতন দমন আইন", "women and children repression"), ("10",)),
-    ("child marriage", ("child marriage", "বাল্যবিবাহ"), ("বাল্যবিবাহ নিরোধ আইন", "child marriage restraint"), ("7", "8")),
-    ("theft", ("theft", "stole", "চুরি"), ("penal code", "দণ্ডবিধি"), ("378", "379")),
-    ("wages", ("wage", "salary", "মজুরি", "বেতন"), ("বাংলাদেশ শ্রম আইন", "bangladesh labour act"), ()),
-    ("consumer", ("consumer", "ভোক্তা"), ("ভোক্তা অধিকার সংরক্ষণ আইন", "consumer rights protection"), ()),
-)
 #: Terms of one meaning.
 SYNONYMS = (
     ("উচ্ছেদ", "বেদখল", "eviction", "evict"), ("ভাড়া", "rent", "ভাড়াটিয়া", "tenant"), ("শাস্তি", "দণ্ড", "punishment", "penalty"), ("জরিমানা", "fine", "অর্থদণ্ড"),
@@ -223,24 +214,10 @@ def fuzzy_acts(queries: DataFrame, acts: DataFrame, most: int = 5) -> DataFrame:
 
 
 def match_topics(questions: DataFrame) -> DataFrame:
-    """Topic match: (query_id, topic, place) where a trigger begins a word of the question; each topic once, in table order."""
-    rows = [(i, name, "|".join(re.escape(X._nfc(t)) for t in triggers)) for i, (name, triggers, _, _) in enumerate(TOPICS)]
-    topics = questions.sparkSession.createDataFrame(rows, "place int, topic string, pattern string")
-    q = questions.select("query_id", X.title_norm(F.col("question")).alias("q"))
-    j = q.join(F.broadcast(topics), F.expr(rf"rlike(q, concat('(?U)(?<![\\w{X.BN}])(?:', pattern, ')'))"))
-    return j.groupBy("query_id", "topic").agg(F.min("place").alias("place"))
+    """Topic match: see situations.match_topics."""
+    return situations.match_topics(questions)
 
 
 def topic_sections(matched: DataFrame, acts: DataFrame, sections: DataFrame) -> DataFrame:
-    """Topic to sections join: (query_id, topic, doc, place), first parts of the sections that each topic's act has."""
-    spark = matched.sparkSession
-    rows = [(name, X._nfc(p), j) for name, _, phrases, _ in TOPICS for j, p in enumerate(phrases)]
-    phrases = spark.createDataFrame(rows, "topic string, phrase string, prio int")
-    act = phrases.join(principal_act(acts, phrases.select("phrase").distinct()), "phrase")
-    act = act.groupBy("topic").agg(F.min_by("act_id", "prio").alias("act_id"))
-    numbers = spark.createDataFrame([(name, n, j) for name, _, _, s in TOPICS for j, n in enumerate(s)], "topic string, number string, at int")
-    first = sections.withColumn("__n", F.row_number().over(Window.partitionBy("act_id", "number").orderBy("part", "doc"))).where("__n = 1")
-    pins = numbers.join(act, "topic").join(first, ["act_id", "number"]).select("topic", "at", "doc")
-    j = matched.join(pins, "topic")
-    w = Window.partitionBy("query_id").orderBy("place", "at", "doc")
-    return j.dropDuplicates(["query_id", "doc"]).withColumn("place", F.row_number().over(w)).select("query_id", "topic", "doc", "place")
+    """Topic to sections join: see situations.topic_sections."""
+    return situations.topic_sections(matched, acts, sections, principal_act)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import guard as G
 from lexiloom.functions import text as X
-from lexiloom.operators import chunking, evidence, refs
+from lexiloom.operators import chunking, evidence, refs, situations
 from lexiloom.plans.registry import query
 from lexiloom.plans.retrieval_queries import questions
 from lexiloom.session import table
@@ -358,3 +358,19 @@ def reference_resolution(spark, sf_dir):
 def question_norms(spark, sf_dir):
     """Question normalise (gaps), before blanks are squeezed."""
     return questions(spark, sf_dir).select("query_id", F.trim(F.regexp_replace(F.lower("question"), "^[ ?।!.]+|[ ?।!.]+$", "")).alias("norm_trimmed"))
+
+
+@query()
+def glossary_terms(spark, sf_dir):
+    """Glossary hits of every document and of the literal samples."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    d = d.unionByName(samples(spark).select((-F.col("id")).cast("long").alias("doc_id"), F.col("q").alias("text")))
+    return situations.glossary_hits(d, X.script_language(F.col("text"))).select("doc_id", "terms")
+
+
+@query()
+def situation_contacts(spark, sf_dir):
+    """Help contacts of every question, by the situations it tells."""
+    extra = [(101, "my boss hasn't paid me"), (102, "someone attacked me and threatens me"), (103, "যৌতুকের মামলা"), (104, "the shop sold me a faulty fridge")]
+    q = questions(spark, sf_dir).unionByName(spark.createDataFrame(extra, "query_id long, question string").withColumn("query_id", -F.col("query_id")))
+    return situations.help_contacts(q, situations.match_topics(q))

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import stats as S
-from lexiloom.operators import chunking, evidence, lexical, logs, metrics, rank, refs, sets, vector
+from lexiloom.functions import text as X
+from lexiloom.operators import chunking, evidence, lexical, logs, metrics, rank, refs, sets, situations, vector
 from lexiloom.plans import catalog
 from lexiloom.sources import files, pages
 
@@ -403,3 +404,28 @@ def test_bad_pages_are_rows(spark):
     p = spark.createDataFrame([(1, "u", "<p>x</p>"), (2, "u", None)], "page_id long, url string, html string")
     got = pages.parse_pages(p, lambda u, h: [{"n": 1 // len(h)}], "n int").collect()
     assert [(r.page_id, r.error is None) for r in got] == [(1, True), (2, False)]
+
+
+# ------------------------------------------------------------------ situations, glossary, contacts
+
+
+def test_situations(spark):
+    asked = ["my boss has not paid me", "nobody has paid me", "lies!", "he lies about me", "someone attacked me", "an old shop", "the shop won't refund", None, "firm police", "an FIR"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, question string")
+    matched = situations.match_topics(q)
+    assert rows(matched, "query_id", "topic") == [(0, "wages"), (3, "defamation"), (4, "hurt"), (6, "consumer"), (9, "police case")]
+    contacts = rows(situations.help_contacts(q, matched), "query_id", "place", "contact")
+    assert [c for i, _, c in contacts if i == 4] == ["emergency", "legal_aid"] and [c for i, _, c in contacts if i == 0] == ["legal_aid", "labour"]
+    assert [c for i, _, c in contacts if i == 7] == ["legal_aid"] and len(contacts) == len(asked) + 3
+    both = situations.match_topics(spark.createDataFrame([(1, "he beats me and she was beaten")], "query_id long, question string"))
+    acts = spark.createDataFrame([(11, "The Penal Code, 1860", False), (7, "Domestic Violence Act, 2010", False)], "act_id int, title string, repealed boolean")
+    sections = spark.createDataFrame([(11, n, d, 1) for n, d in (("319", 1), ("323", 2), ("325", 3))] + [(7, "3", 4, 1), (7, "3", 5, 2)], "act_id int, number string, doc long, part int")
+    found = refs.topic_sections(both, acts, sections).orderBy("place").collect()
+    assert [(r.doc, r.topic) for r in found] == [(4, "domestic violence"), (2, "domestic violence"), (1, "hurt"), (3, "hurt")]
+
+
+def test_glossary(spark):
+    texts = [(1, "A suitable suit; the BAILED man's bail, and fines.", "en"), (2, "জামিনের আবেদন", "bn"), (3, None, "en"), (4, "deed appeal bail suit warrant mediation fine", "en")]
+    d = spark.createDataFrame(texts, "id int, text string, lang string")
+    got = {r.id: r.terms for r in situations.glossary_hits(d, F.col("lang")).collect()}
+    assert got == {1: ["suit", "bail", "fine"], 2: [X._nfc("জামিন")], 3: [], 4: ["deed", "appeal", "bail", "suit", "warrant", "mediation"]}
