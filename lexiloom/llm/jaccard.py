@@ -33,6 +33,8 @@ BROADCAST_KEYS = 200_000
 FEW = 16
 #: Up to so many documents that share an uncommon difference from their group are paired.
 SMALL = 8
+#: Blocks of the n-gram axis in which the n-grams of groups are counted, one after another; each has its part of the shuffle's disk.
+COUNT_BLOCKS = 4
 CACHE_WORDS = 150_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -297,9 +299,13 @@ def _divide(known: DataFrame, groups: DataFrame, num: int, den: int) -> tuple[Da
         return tried, None, None
 
     own = known.select(F.col("doc_id").alias("doc"), F.col("grams").alias("x"))
-    counts = many.join(own, "doc").select("gid", "total", F.explode("x").alias("g")).groupBy("gid", "g").agg(F.count("*").alias("c"), F.first("total").alias("total"))
-    counts = written(counts.where("c > 1"), "counts")
-    drop_shuffles(known.sparkSession)
+    each = many.join(own, "doc").select("gid", "total", F.explode("x").alias("g"))
+    blocks = []
+    for block in range(COUNT_BLOCKS):
+        counted = each.where(F.pmod("g", F.lit(COUNT_BLOCKS)) == block).groupBy("gid", "g").agg(F.count("*").alias("c"), F.first("total").alias("total"))
+        blocks.append(written(counted.where("c > 1"), "counts"))
+        drop_shuffles(known.sparkSession)
+    counts = functools.reduce(DataFrame.union, blocks)
     middle = written(counts.where("2 * c > total").groupBy("gid").agg(F.collect_list("g").alias("y")), "middles")
     size = middle.agg(F.sum(F.size("y"))).first()[0] or 0
     middle = F.broadcast(middle) if size <= BROADCAST_KEYS * 10 else middle.hint("merge")
