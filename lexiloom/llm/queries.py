@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import chat as op4
+from lexiloom.llm import codebook as op13
 from lexiloom.llm import decontam as op9
+from lexiloom.llm import fmquality as op12
 from lexiloom.llm import htmlcut as op2
 from lexiloom.llm import jaccard as op10
 from lexiloom.llm import packing as op8
 from lexiloom.llm import quality as op1
 from lexiloom.llm import spans as op7
+from lexiloom.llm import spelling as op11
 from lexiloom.llm import tokencount as op3
 from lexiloom.llm import toxicity as op5
 from lexiloom.llm import warc as op6
@@ -81,6 +84,21 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.jaccard_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.spelling_variants(table(spark, sf_dir, "documents"), drop=199)
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = op12.fit(docs, table(spark, sf_dir, "labels").where(~op12.held_out()))
+    return op12.quality_scores(docs, model).select("doc_id", op12.held_out().alias("held_out"), "score", "predicted")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = op13.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(op13.digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -93,6 +111,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_decontamination": op9_decontamination,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_quality_classifier": op12_quality_classifier,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -124,6 +145,29 @@ OP10_SQL = rf"""with recursive d as (select doc_id, {_WORDS.format(t="translate(
   select d.doc_id, coalesce(n.n, 0) as n_shingles, min(r.b) as component_id from d left join n using (doc_id) join r on r.a = d.doc_id group by all"""
 
 
+
+
+def _op13_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """One common table for each round: b0, b1, ... the codebooks, a1, a2, ... the parts' nearest entries."""
+    nearest = """a{n} as materialized (select v, l, p, x, min({{'d': d, 'e': e}}) as m from
+      (select v, l, p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from q join b{n} using (p)) group by all)"""
+    moved = """b{m} as materialized (select p, e, coalesce(new, c) as c from b{n} left join
+      (select p, e, list(s order by i) as new from (select p, m.e as e, i, floor(sum(x[i])::double / count(*))::bigint as s from a{n}, range(1, len(x) + 1) r(i) group by all) group by all) using (p, e))"""
+    steps = ",\n  ".join(part.format(n=n, m=n + 1) for n in range(rounds) for part in (nearest, moved))
+    return f"""with k as (select vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::double)::bigint) as x from embeddings where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+  r as materialized (select *, row_number() over (order by vec_id, x) as v from k),
+  q as materialized (select v, label as l, p, x[p * len(x) // {parts} + 1:(p + 1) * len(x) // {parts}] as x from r, range({parts}) t(p)),
+  b0 as materialized (select p, v - 1 as e, x as c from q where v <= {entries}),
+  {steps},
+  {nearest.format(n=rounds)},
+  h as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as codebooks_sha256 from b{rounds}),
+  o as (select v, l, string_agg(printf('%02x', m.e), '' order by p) as code, sum(m.d)::bigint as error from a{rounds} group by all)
+  select vec_id, code, error, (sum(error) over (partition by l))::bigint as label_error, codebooks_sha256 from o join r using (v), h"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     """What SQL can say. The others are tested against brute force, exact round trips or held-out labels in tests/llm."""
-    return {"op1_quality_rules": OP1_SQL, "op4_chat_format": OP4_SQL, "op6_warc": OP6_SQL, "op10_ngram_jaccard": OP10_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op4_chat_format": OP4_SQL, "op6_warc": OP6_SQL, "op10_ngram_jaccard": OP10_SQL, "op13_vector_codes": OP13_SQL}
