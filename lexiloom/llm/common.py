@@ -48,23 +48,24 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), keep:
     return df.sparkSession.read.options(**PLAIN_READS).schema(df.schema).parquet(path)
 
 
+#: Has Spark delete the shuffle files of an execution at its end; stages that are asked for again are run again.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @contextlib.contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside are deleted at the end, so nothing may read them later; so are unused shuffle files."""
+    """Tables written inside are deleted at the end, so nothing may read them later; shuffle files go with the execution they serve."""
     if not hasattr(_open, "scopes"):
         _open.scopes = []
     _open.scopes.append([])
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
     try:
         yield
     finally:
+        spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
         for path in _open.scopes.pop():
             drop_path(spark, path)
-        drop_shuffles(spark)
-
-
-def drop_shuffles(spark: SparkSession) -> None:
-    """Have the driver find shuffles that no plan refers to any more: only then do executors delete their files."""
-    spark.sparkContext._jvm.System.gc()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import binary_column, components, drop_shuffles, passing, trimmed, written
+from lexiloom.llm.common import binary_column, components, passing, trimmed, written
 
 #: Documents, by least hash of their id, in which n-grams are looked for that many documents share.
 SAMPLE_DOCS = 10_000
@@ -33,8 +33,8 @@ BROADCAST_KEYS = 200_000
 FEW = 16
 #: Up to so many documents that share an uncommon difference from their group are paired.
 SMALL = 8
-#: Blocks of the n-gram axis in which the n-grams of groups are counted, one after another; each has its part of the shuffle's disk.
-COUNT_BLOCKS = 4
+#: About so many documents of a group, by hash, say which n-grams its centre has.
+CENTRE_DOCS = 15
 CACHE_WORDS = 150_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -267,14 +267,13 @@ _ORDERED = ("least(d, doc) a", "greatest(d, doc) b")
 
 
 def _divide(known: DataFrame, groups: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """One round over groups (gid, doc, component): (pairs to try, sure links, groups of the next round).
+    """One round over groups (gid, doc, component, whole): (pairs to try, sure links, groups of the next round).
 
     Every pair of a group in different components that can be over the bound is a pair to try, is joined by the
     links, or is in a group of the next round. Where few documents lie outside a group's largest component, these
-    are tried against all of it. Else let C be the n-grams that more than half of the group have, and X those in
-    which a document of n n-grams differs from C. Two documents differ in |X| + |Y| - 2 |X and Y| n-grams, which the
-    bound holds under (n + m)(den - num)/(den + num). With s = (den + num)|X| - (den - num) n that is
-    s + s' <= 2 (den + num) |X and Y|, so:
+    are tried against all of it. Else let C be any set of n-grams, and X those in which a document of n n-grams
+    differs from C. Two documents differ in |X| + |Y| - 2 |X and Y| n-grams, which the bound holds under
+    (n + m)(den - num)/(den + num). With s = (den + num)|X| - (den - num) n that is s + s' <= 2 (den + num) |X and Y|, so:
 
     * where s + s' <= 0 the pair is over the bound. Then the document with the least s is over the bound with
       both, and one row a document says all that is to say about such pairs;
@@ -283,7 +282,11 @@ def _divide(known: DataFrame, groups: DataFrame, num: int, den: int) -> tuple[Da
       in another component can have. The others make no row.
 
     The documents of such an n-gram in different components are paired where there are SMALL at most; more are a
-    group of the next round. As an n-gram in X is one that at most half of the group differ in, groups halve.
+    group of the next round.
+
+    C has the n-grams of most of a sample of about CENTRE_DOCS documents, so that most X are short; any C gives the same links. A group
+    that has more than half of the one it comes from is `whole`: next time all its documents say what C is, then no
+    n-gram is in more than half of the X. So groups halve in two rounds.
     """
     twice = 2 * (den + num)
     heads = groups.groupBy("gid", "component").agg(F.count("*").alias("k")).groupBy("gid")
@@ -299,21 +302,16 @@ def _divide(known: DataFrame, groups: DataFrame, num: int, den: int) -> tuple[Da
         return tried, None, None
 
     own = known.select(F.col("doc_id").alias("doc"), F.col("grams").alias("x"))
-    each = many.join(own, "doc").select("gid", "total", F.explode("x").alias("g"))
-    blocks = []
-    for block in range(COUNT_BLOCKS):
-        counted = each.where(F.pmod("g", F.lit(COUNT_BLOCKS)) == block).groupBy("gid", "g").agg(F.count("*").alias("c"), F.first("total").alias("total"))
-        blocks.append(written(counted.where("c > 1"), "counts"))
-        drop_shuffles(known.sparkSession)
-    counts = functools.reduce(DataFrame.union, blocks)
-    middle = written(counts.where("2 * c > total").groupBy("gid").agg(F.collect_list("g").alias("y")), "middles")
+    asked = written(many.where(F.col("whole") | (F.pmod(F.xxhash64("gid", "doc"), "total") < CENTRE_DOCS)).select("gid", "doc"), "asked")
+    counted = asked.join(own, "doc").select("gid", F.explode("x").alias("g")).groupBy("gid", "g").agg(F.count("*").alias("c"))
+    counted = _beside(counted, asked.groupBy("gid").agg(F.count("*").alias("m")), ["gid"])
+    middle = written(counted.where("2 * c > m").groupBy("gid").agg(F.collect_list("g").alias("y")), "middles")
     size = middle.agg(F.sum(F.size("y"))).first()[0] or 0
     middle = F.broadcast(middle) if size <= BROADCAST_KEYS * 10 else middle.hint("merge")
     none = F.array().cast("array<bigint>")
     diffs = many.join(own, "doc").join(middle, "gid", "left").withColumn("y", F.coalesce("y", none))
-    diffs = diffs.select("gid", "doc", "component", F.size("x").cast("long").alias("n"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("g"))
+    diffs = diffs.select("gid", "doc", "component", "total", F.size("x").cast("long").alias("n"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("g"))
     diffs = written(diffs.withColumn("s", F.lit(den + num) * F.size("g") - F.lit(den - num) * F.col("n")), "differences")
-    drop_shuffles(known.sparkSession)
 
     centre = diffs.groupBy("gid").agg(F.min(F.struct("s", "doc", "component")).alias("p"))
     diffs = _beside(diffs, centre, ["gid"]).withColumn("near", (F.col("s") + F.col("p.s") <= 0) | (F.col("doc") == F.col("p.doc")))
@@ -327,11 +325,11 @@ def _divide(known: DataFrame, groups: DataFrame, num: int, den: int) -> tuple[Da
     main = least.join(main, "gid").where("component <> main").groupBy("gid").agg(F.first("main").alias("main"), F.first("s_all").alias("s_all"), F.min("s").alias("s_out"))
     left = _beside(diffs, main, ["gid"]).withColumn("o", F.ceil((F.col("s") + F.when(F.col("component") == F.col("main"), F.col("s_out")).otherwise(F.col("s_all"))) / twice))
     left = left.withColumn("o", F.greatest("o", F.lit(1))).where(F.col("o") <= F.size("g"))
-    each = left.select("gid", "doc", "component", "main", "s", "o", F.explode("g").alias("g"))
-    seen = counts.select("gid", "g", F.least("c", F.col("total") - F.col("c")).alias("f")).where("f > 1")
+    each = written(left.select("gid", "doc", "component", "total", "main", "s", "o", F.explode("g").alias("g")), "each")
+    seen = each.groupBy("gid", "g").agg(F.count("*").alias("f")).where("f > 1")
     document = Window.partitionBy("gid", "doc")
     placed = each.join(seen, ["gid", "g"]).withColumn("i", F.row_number().over(document.orderBy("f", "g"))).withColumn("rest", F.count("*").over(document) - F.col("i") + 1)
-    placed = written(placed.where("rest >= o").select("gid", "g", "doc", "component", "main", "s", "f", "rest"), "places")
+    placed = written(placed.where("rest >= o").select("gid", "g", "doc", "component", "total", "main", "s", "f", "rest"), "places")
 
     keys = placed.groupBy("gid", "g").agg(
         F.count("*").alias("k"), F.first("f").alias("f"), F.min("component").alias("c1"), F.max("component").alias("c2"),
@@ -343,7 +341,7 @@ def _divide(known: DataFrame, groups: DataFrame, num: int, den: int) -> tuple[Da
     small = placed.where(F.col("k") <= SMALL)
     shared = pick(small, "g", F.col("s").alias("t"), F.col("rest").alias("rest2")).join(small, ["gid", "g"])
     shared = shared.where(f"{apart} and {twice} * least(rest, rest2) >= s + t").selectExpr(*_ORDERED)
-    further = placed.where(F.col("k") > SMALL).select(F.xxhash64("gid", "g").alias("gid"), "doc", "component")
+    further = placed.where(F.col("k") > SMALL).select(F.xxhash64("gid", "g").alias("gid"), "doc", "component", (2 * F.col("k") > F.col("total")).alias("whole"))
     return tried.union(shared).distinct(), sure.distinct(), further
 
 
@@ -394,7 +392,6 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     rows = rows.withColumn("head", F.min("doc").over(w)).withColumn("k", F.count("*").over(w))
     rows = rows.where("n is not null or leader is not null or k > 1")
     rows = written(rows.select("sig", "sig2", "doc", F.coalesce("leader", "head").alias("head"), "n"), "signatures")
-    drop_shuffles(spark)
     keyed = rows.where("n is null").select("sig", "sig2", "doc", "head")
     pairs = keyed.where("doc <> head").select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b"), (F.col("sig2") != 0).alias("equal"))
     pairs = written(pairs.groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs")
@@ -402,14 +399,12 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     sets = document_sets(docs, unequal.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), n)
     links = written(pairs.where("equal").select("a", "b").unionByName(overlaps(sets, unequal, num, den)), "links")
     parts = components(links)
-    drop_shuffles(spark)
 
     # all rows of a key, each with its component so far; the rows of equal sets need no second look
     tagged = keyed.where("sig2 = 0").select("sig", "doc").union(keyed.where("sig2 = 0").select("sig", F.col("head").alias("doc"))).distinct()
     tagged = written(tagged.join(parts.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "tagged")
     heads = tagged.groupBy("sig").agg(F.min("doc").alias("gid"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("sig", "gid")
-    groups = written(_beside(tagged, heads, ["sig"]).select("gid", "doc", "component").distinct(), "groups")
-    drop_shuffles(spark)
+    groups = written(_beside(tagged, heads, ["sig"]).select("gid", "doc", "component", F.lit(False).alias("whole")).distinct(), "groups")
     if not groups.isEmpty():
         known, more, sure = _left_to_try(docs, groups, n, num, den)
         more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
