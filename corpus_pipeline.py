@@ -1,7 +1,7 @@
 """Five stages from raw documents to packed pieces, each by one operator of lexiloom.llm.
 
 run() writes each stage's rows as Parquet to the folder that driver and executors share and reads them again as
-the next stage's documents. All stages but the last return the columns of documents. A null or empty text
+the next stage's documents; a stage's table goes when the next one's is written, so two are there at most. All stages but the last return the columns of documents. A null or empty text
 passes toxicity, the Jaccard join and decontamination unchanged; substring dedup drops rows whose text it
 has emptied, and packing makes an empty text one piece.
 """
@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import decontam, jaccard, packing, spans, toxicity
-from lexiloom.llm.common import written
+from lexiloom.llm.common import drop_path, scratch
 from lexiloom.llm.queries import vocabulary
-from lexiloom.session import table
+from lexiloom.session import PLAIN_READS, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +37,12 @@ def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a leak of a benchmark item go, whole; null and empty texts hold none."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece of a document, with its ids; a null text counts as empty and is one piece of the id 1."""
     pieces = packing.pack(docs, vocabulary("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket", "ids")
 
@@ -58,7 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = scratch(spark, name)
+        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.options(**PLAIN_READS).parquet(path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
