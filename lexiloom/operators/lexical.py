@@ -95,9 +95,12 @@ def top_k(scored: DataFrame, k: int, by: str = "score", group: str = "query_id",
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, stem: bool = False, doc: str = "doc_id", text: str = "text", query: str = "query_id", question: str = "question") -> DataFrame:
+def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, stem: bool = False, doc: str = "doc_id", text: str = "text", query: str = "query_id", question: str = "question", prefer: Column | None = None) -> DataFrame:
     """BM25 search with metadata filters: (query_id, doc, score, rank). The filter comes after the statistics, so it doesn't change idf.
 
+    Agent search with filter fallback: with prefer, a question's hits are those that pass it, or where none of its hits does,
+    the others; the column preferred says which. Both classes come from the one pass: a task keeps k by class, then score.
+
     The questions of a block are sent to the tasks by their terms. One pass over the documents counts, in place, how
     often each has the terms that are asked for, and writes that; lengths and document frequencies are sums over it.
     A second pass scores documents where they are and keeps k of each question a task, so what is shuffled is k
@@ -108,19 +111,23 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     kind = queries.schema[query].dataType.simpleString()
     allowed = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), X.tokens(F.coalesce(F.col(text), F.lit("")), stem).alias("tokens"), allowed.alias("allowed"))
-    out = spark.createDataFrame([], f"query_id {kind}, doc bigint, score double")
+    rows = docs.select(F.col(doc).cast("long").alias("doc"), X.tokens(F.coalesce(F.col(text), F.lit("")), stem).alias("tokens"), allowed.alias("allowed"), (F.lit(True) if prefer is None else F.coalesce(prefer, F.lit(False))).alias("preferred"))
+    out = spark.createDataFrame([], f"query_id {kind}, doc bigint, score double, preferred boolean")
     for i in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
         if part:
             out = out.unionByName(_search_block(rows, [(r["query_id"], r["term"], r["qf"]) for r in part], k, kind))
-    return top_k(out, k)
+    if prefer is None:
+        return top_k(out.drop("preferred"), k)
+    ordered = Window.partitionBy("query_id").orderBy(F.col("preferred").desc(), F.col("score").desc(), "doc")
+    best = out.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
+    return best.withColumn("__any", F.max("preferred").over(Window.partitionBy("query_id"))).where(F.col("preferred") == F.col("__any")).drop("__any")
 
 
 def _search_block(rows: DataFrame, asked: list[tuple], k: int, kind: str) -> DataFrame:
     terms, ids = sorted({t for _, t, _ in asked}), sorted({q for q, _, _ in asked})
     number, column = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(ids)}
-    counts = materialized(rows.mapInArrow(_counter(terms), "doc bigint, dl bigint, allowed boolean, ids array<int>, tfs array<int>"), "counts")
+    counts = materialized(rows.mapInArrow(_counter(terms), "doc bigint, dl bigint, allowed boolean, preferred boolean, ids array<int>, tfs array<int>"), "counts")
     n, avgdl = counts.agg(F.count("*"), F.avg("dl")).first()
     df = np.zeros(len(terms))
     for r in counts.select(F.explode("ids").alias("id")).groupBy("id").count().collect():
@@ -129,7 +136,7 @@ def _search_block(rows: DataFrame, asked: list[tuple], k: int, kind: str) -> Dat
     begin = np.searchsorted(np.array([t for t, _, _ in by_term]), np.arange(len(terms) + 1))
     idf_ = np.where(df > 0, np.log(1 + ((n or 0) - df + 0.5) / (df + 0.5)), 0.0)
     shared = rows.sparkSession.sparkContext.broadcast((ids, idf_, begin, np.array([c for _, c, _ in by_term]), np.array([f for _, _, f in by_term], np.float64), max(avgdl or 0.0, 1e-9)))
-    return counts.where("allowed").select("doc", "dl", "ids", "tfs").mapInArrow(_scorer(shared, k, kind), f"query_id {kind}, doc bigint, score double")
+    return counts.where("allowed").select("doc", "dl", "ids", "tfs", "preferred").mapInArrow(_scorer(shared, k, kind), f"query_id {kind}, doc bigint, score double, preferred boolean")
 
 
 def _counter(terms: list[str]):
@@ -144,7 +151,7 @@ def _counter(terms: list[str]):
             owner, term = np.divmod(pairs, len(terms))
             offsets = pa.array(np.searchsorted(owner, np.arange(len(dl) + 1)).astype(np.int32))
             lists = (pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (term, tf))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dl), batch.column(2), *lists], ["doc", "dl", "allowed", "ids", "tfs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dl), batch.column(2), batch.column(3), *lists], ["doc", "dl", "allowed", "preferred", "ids", "tfs"])
 
     return run
 
@@ -152,7 +159,7 @@ def _counter(terms: list[str]):
 def _scorer(shared, k: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, idf_, begin, column, qf, avgdl = shared.value
-        docs, best = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+        docs, best, liked = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0)), np.empty((len(ids), 0), bool)
         for batch in (b.slice(i, BLOCK_DOCS) for b in batches for i in range(0, b.num_rows, BLOCK_DOCS)):
             size = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
             term, tf = (batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
@@ -165,13 +172,14 @@ def _scorer(shared, k: int, kind: str):
             scores = np.where(scores > 0, np.round(scores, 6), -np.inf)
             docs = np.concatenate((docs, np.broadcast_to(batch.column(0).to_numpy(), scores.shape)), 1)
             best = np.concatenate((best, scores), 1)
-            order = np.lexsort((docs, -best), axis=1)[:, :k]
-            docs, best = np.take_along_axis(docs, order, 1), np.take_along_axis(best, order, 1)
+            liked = np.concatenate((liked, np.broadcast_to(batch.column(4).to_numpy(zero_copy_only=False), scores.shape)), 1)
+            order = np.lexsort((docs, -best, ~liked, best == -np.inf), axis=1)[:, :k]
+            docs, best, liked = (np.take_along_axis(x, order, 1) for x in (docs, best, liked))
         query, place = np.nonzero(best > -np.inf)
         out = pa.array([ids[q] for q in query], pa.string() if kind == "string" else None)
         if kind != "string":
             out = out.cast({"int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind])
-        yield pa.RecordBatch.from_arrays([out, pa.array(docs[query, place]), pa.array(best[query, place])], ["query_id", "doc", "score"])
+        yield pa.RecordBatch.from_arrays([out, pa.array(docs[query, place]), pa.array(best[query, place]), pa.array(liked[query, place])], ["query_id", "doc", "score", "preferred"])
 
     return run
 

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from lexiloom.functions import text as X
 from lexiloom.operators import situations
+from lexiloom.operators.contain import containment_join
+from lexiloom.session import materialized
 
 #: Fixed value: words of titles that amend or repeal.
 AMENDING = "(?i)সংশোধন|amendment|repeal|রহিতকরণ"
@@ -165,16 +167,16 @@ def title_stems(acts: DataFrame, least: int = 6) -> DataFrame:
 
 def principal_act(acts: DataFrame, phrases: DataFrame) -> DataFrame:
     """Principal act and act-title containment: of the titles that contain a phrase, in force, not amending, shortest. phrases has (phrase)."""
-    j = acts.join(F.broadcast(phrases), F.contains(X.title_norm(F.col("title")), F.col("phrase")))
+    j = containment_join(acts.withColumn("__norm", X.title_norm(F.col("title"))), "__norm", phrases.select("phrase").distinct(), "phrase").drop("__norm")
     w = Window.partitionBy("phrase").orderBy("repealed", F.col("title").rlike(AMENDING), F.length("title"), "act_id")
     return j.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("phrase", "act_id")
 
 
 def resolve_acts(questions: DataFrame, acts: DataFrame, most: int = 3) -> DataFrame:
     """Act title match: (query_id, act_id, place). Longest stems first, a stem inside one already found doesn't count again;
-    aliases only where no title is named. Stems are a dimension of one row an act, broadcast by Spark where small."""
+    aliases only where no title is named. Questions meet stems on the stem's rarest piece, see containment_join."""
     q = questions.select("query_id", X.title_norm(F.col("question")).alias("q"))
-    hits = q.join(title_stems(acts), F.contains("q", "stem"))
+    hits = materialized(containment_join(q, "q", title_stems(acts), "stem"), "titles")
     longer = hits.alias("a").join(hits.alias("b"), F.expr("a.query_id = b.query_id and length(b.stem) > length(a.stem) and contains(b.stem, a.stem) and not contains(replace(a.q, b.stem, ' '), a.stem)"), "left_anti")
     titled = longer.select("query_id", "act_id", (-F.length("stem")).alias("at"), F.col("stem").alias("tie"))
     aliases = questions.sparkSession.createDataFrame([(X._nfc(k), X._nfc(v), i) for i, (k, v) in enumerate(ACT_ALIASES.items())], "alias string, phrase string, at int")
@@ -205,10 +207,15 @@ def follow_references(sections: DataFrame, most: int = 3) -> DataFrame:
 
 
 def fuzzy_acts(queries: DataFrame, acts: DataFrame, most: int = 5) -> DataFrame:
-    """Fuzzy act finder: score is how many words of the query a title contains; best first, then greater id, then title."""
-    w = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(X.title_norm(F.col("question")), " "), lambda x: x != ""))).alias("word"))
-    t = acts.select("act_id", X.title_norm(F.col("title")).alias("title"))
-    hits = w.join(t, F.contains("title", "word")).groupBy("query_id", "act_id", "title").agg(F.count("*").alias("score"))
+    """Fuzzy act finder: score is how many words of three letters or more of the query a title contains, each as often as it is
+    there; everyday names bring in the words of the official title. Best first, then greater id, then title."""
+    asked = X.nfc(F.lower(F.col("question")))
+    phrases = [F.when(F.contains(asked, F.lit(X._nfc(alias))), F.lit(X._nfc(phrase))) for alias, phrase in ACT_ALIASES.items()]
+    q = F.concat_ws(" ", asked, *phrases)
+    words = F.filter(F.split(q, r"\s+"), lambda x: F.length(x) > 2)
+    w = queries.select("query_id", F.explode(words).alias("word"))
+    t = acts.select("act_id", "title", F.lower("title").alias("low"))
+    hits = containment_join(t, "low", w.select("word").distinct(), "word").join(w, "word").groupBy("query_id", "act_id", "title").agg(F.count("*").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("act_id").desc(), F.col("title").desc())
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 

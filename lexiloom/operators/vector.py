@@ -1,4 +1,4 @@
-"""Exact vector search, quantised search, the trigram hashing embedder."""
+"""Exact vector search, quantised search, the trigram hashing embedder. operators/ivf has the approximate index."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiloom.functions import text as X
 from lexiloom.operators.lexical import top_k
@@ -90,16 +91,62 @@ def _best(shared, k: int):
     return run
 
 
-def quantized_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
-    """int8 quantised search: 4 k by codes, then exact scores of those; filtered rows never come back."""
+@F.pandas_udf(T.BinaryType())
+def packed_codes(vectors: pd.Series) -> pd.Series:
+    """Vector append, int8 codes: the unit vector's components times 127, rounded, one byte each; null stays null."""
+    return vectors.map(lambda v: None if v is None else _codes(np.asarray(v, np.float64)[None])[0].tobytes())
+
+
+def _codes(m: np.ndarray) -> np.ndarray:
+    return np.rint(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) * 127).astype(np.int8)
+
+
+def code_table(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """vectors with the column code in place of the vector: a byte a dimension, what a quantised search reads first."""
+    return vectors.withColumn("code", packed_codes(F.col(vector))).drop(vector)
+
+
+def quantized_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", where: Column | None = None, codes: DataFrame | None = None) -> DataFrame:
+    """int8 quantised search: 4 k by integer dot products of codes, then exact scores of those; filtered rows never come back.
+
+    codes is a code_table of vectors that was written before; without one it is made on the way. Question vectors become codes
+    too. Products are whole numbers (32 bits; 127 * 127 a dimension at most), nothing is turned back into floats
+    before the exact stage. Rows without a vector are no hits.
+    """
     rows = vectors if where is None else vectors.where(where)
-    codes = rows.withColumn("__c", F.transform(quantize(l2_normalize(F.col(vector))), lambda x: x.cast("double") / 127.0))
-    first = dense_top_k(codes, queries, 4 * k, key, "__c").select("query_id", "doc")
-    exact = first.join(rows.select(F.col(key).alias("doc"), F.col(vector).alias("v")), "doc").join(queries, "query_id")
+    kept = code_table(vectors, key, vector) if codes is None else codes
+    kept = (kept if where is None else kept.where(where)).where("code is not null").select(F.col(key).cast("long").alias("doc"), "code")
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    first = vectors.sparkSession.createDataFrame([], "query_id long, doc long, score long")
+    for i in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "qv").collect()
+        if part:
+            shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in part], np.int64), _codes(np.array([r["qv"] for r in part], np.float64)).astype(np.int32)))
+            first = first.unionByName(kept.mapInPandas(_best_codes(shared, 4 * k), "query_id bigint, doc bigint, score bigint"))
+    first = top_k(first, 4 * k).select("query_id", "doc")
+    exact = first.join(rows.select(F.col(key).cast("long").alias("doc"), F.col(vector).alias("v")), "doc").join(queries, "query_id")
     scored = exact.select("query_id", "doc", F.round(dot(l2_normalize(F.col("v")), l2_normalize(F.col("qv"))), 6).alias("score"))
     return top_k(scored, k)
 
 
+def _best_codes(shared, k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = shared.value
+        docs, scores = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0), np.int32)
+        for batch in batches:
+            if batch.empty:
+                continue
+            m = np.frombuffer(b"".join(batch["code"]), np.int8).reshape(len(batch), -1)
+            scores = np.concatenate((scores, q @ m.T.astype(np.int32)), 1)
+            docs = np.concatenate((docs, np.broadcast_to(batch["doc"].to_numpy(), (len(ids), len(batch)))), 1)
+            order = np.lexsort((docs, -scores), axis=1)[:, :k]
+            docs, scores = np.take_along_axis(docs, order, 1), np.take_along_axis(scores, order, 1)
+        if docs.shape[1]:
+            yield pd.DataFrame({"query_id": np.repeat(ids, docs.shape[1]), "doc": docs.ravel(), "score": scores.ravel().astype(np.int64)})
+
+    return run
+
+
 def trigram_embedding(text: Column, dim: int = 512) -> Column:
     """Trigram hashing embedder: sparse map bucket -> count of the trigrams of ' token ', the bucket by md5's first four bytes."""
     padded = F.transform(X.tokens(text), lambda t: F.concat(F.lit(" "), t, F.lit(" ")))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+from collections import OrderedDict
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def event_stream(spark: SparkSession, path: str, schema: str, time: str = "ts", files_per_trigger: int = 1, only: str = "*.parquet") -> DataFrame:
     """Log append's reading side: a Parquet folder as a stream, its time column with a zone (watermarks need one)."""
@@ -68,28 +74,117 @@ def token_bucket(requests: DataFrame, per_minute: float = 20, burst: int = 5, id
     return requests.groupBy("client").applyInPandasWithState(step, "client bigint, event_id bigint, allowed boolean", "tokens double, last double", "append", timeout)
 
 
-def ttl_cache(puts: DataFrame, ttl_s: float) -> DataFrame:
-    """TTL + LRU cache and paraphrase cache state: (key, value, at) hits and misses of rows (key, value, at in seconds, kind put or get)."""
+class BoundedCache(StatefulProcessor):
+    """One shard of a TTL + LRU cache: its entries as map state, how far its use has been counted as value state, a timer.
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = state.get if state.exists else None
-        for pdf in pdfs:
-            rows = []
-            for kind, value, at in pdf.sort_values("at")[["kind", "value", "at"]].itertuples(index=False):
-                if kind == "put":
-                    held = (value, float(at))
+    A get is a hit where its key was put at most ttl_s before; a hit makes it the most recently used. A put stores the value anew and
+    then drops the least recently used entries beyond max_size. An entry past its time goes with the next get of it, or when
+    it is the least recently used; the timer empties a shard none of whose entries can be hit any more.
+    """
+
+    def __init__(self, max_size: int, ttl_s: float):
+        self.max_size, self.ttl_s = max_size, ttl_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entries = handle.getMapState("entries", "key string", "value string, put_at double, used long")
+        self.uses = handle.getValueState("uses", "n long, newest double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = OrderedDict(sorted(((k[0], tuple(v)) for k, v in self.entries.iterator()), key=lambda kv: kv[1][2]))
+        before = dict(held)
+        n, newest = self.uses.get() if self.uses.exists() else (0, -1.0)
+        asked = pd.concat(list(rows)).sort_values(["at", "seq"])
+        out = []
+        for k, value, kind, at, seq in asked[["key", "value", "kind", "at", "seq"]].itertuples(index=False):
+            n += 1
+            hit, dropped = None, 0
+            if kind == "put":
+                held[k] = (value, float(at), n)
+                held.move_to_end(k)
+                newest = max(newest, float(at))
+                while len(held) > self.max_size:
+                    _, (_, put_at, _) = held.popitem(last=False)
+                    dropped += at - put_at <= self.ttl_s
+            else:
+                hit = k in held and at - held[k][1] <= self.ttl_s
+                if hit:
+                    held[k] = (*held[k][:2], n)
+                    held.move_to_end(k)
                 else:
-                    fresh = held is not None and at - held[1] <= ttl_s
-                    rows.append((key[0], held[0] if fresh else None, float(at)))
-            yield pd.DataFrame(rows, columns=["key", "value", "at"])
-        if held is not None:
-            state.update(held)
-            state.setTimeoutDuration(int(ttl_s * 1000))
-
-    return puts.groupBy("key").applyInPandasWithState(step, "key string, value string, at double", "value string, at double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+                    held.pop(k, None)
+            out.append((seq, k, kind, hit, held[k][0] if hit else None, dropped))
+        for k in before.keys() - held.keys():
+            self.entries.removeKey((k,))
+        for k, entry in held.items():
+            if before.get(k) != entry:
+                self.entries.updateValue((k,), entry)
+        self.uses.update((n, newest))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if newest >= 0:
+            self.handle.registerTimer(int((newest + self.ttl_s) * 1000) + 1)
+        yield pd.DataFrame(out, columns=["seq", "key", "kind", "hit", "value", "dropped"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.entries.clear()
+        self.uses.clear()
+        yield pd.DataFrame([], columns=["seq", "key", "kind", "hit", "value", "dropped"])
+
+    def close(self) -> None:
+        pass
+
+
+def bounded_cache(requests: DataFrame, max_size: int = 512, ttl_s: float = 3600, shards: int = 64, late: str = "0 seconds") -> DataFrame:
+    """TTL + LRU cache, TTL + LRU put and paraphrase cache state: (seq, key, kind, hit, value, dropped) of each request.
+
+    requests has (seq long, key string, value string, kind 'put' or 'get', ts timestamp). The cache has shards of
+    at most max_size keys, by hash of the key, so state is bounded by shards * max_size entries whatever the number of keys, and
+    a frequent key is held by one of them. Requests of a trigger are taken by (ts, seq). hit is null for a put; dropped is
+    how many entries that could still be hit it pushed out. The RocksDB store has to be set when the query starts, see rocksdb().
+    """
+    rows = requests.withWatermark("ts", late).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).withColumn("at", F.unix_micros("ts") / 1e6)
+    return rows.groupBy("shard").transformWithStateInPandas(
+        BoundedCache(max_size, ttl_s), "seq long, key string, kind string, hit boolean, value string, dropped long", outputMode="Append", timeMode="EventTime"
+    )
+
+
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which map state and timers need; the setting is put back after."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+
+
+def interval_pairs(left: DataFrame, right: DataFrame, on: str, within: str, late: str = "1 hour") -> DataFrame:
+    """Interval join of two streams (on, ts, ...): right rows at most `within` after a left row of the same key, inner.
+
+    Both sides have a watermark, so state of either goes once no partner can come; columns other than `on` must differ
+    but for ts, which is left_ts and right_ts here.
+    """
+    a = left.withColumnRenamed("ts", "left_ts").withWatermark("left_ts", late).withColumnRenamed(on, "left_key")
+    b = right.withColumnRenamed("ts", "right_ts").withWatermark("right_ts", late).withColumnRenamed(on, "right_key")
+    near = F.expr(f"left_key = right_key and right_ts >= left_ts and right_ts <= left_ts + interval {within}")
+    return a.join(b, near).drop("right_key").withColumnRenamed("left_key", on)
+
+
+def in_steps(arrivals: Iterable[DataFrame], source: str, out: str, state: str, query: Callable[[DataFrame], DataFrame], stream: Callable[[], DataFrame]) -> DataFrame:
+    """Each of arrivals is appended to the folder source, then query(stream()) reads on from its checkpoint to what is there.
+
+    Every step is a restart: the watermark that the steps before have reached is taken from the checkpoint, and later rows
+    are dropped. Results are files (append mode, exactly once by the sink's log). Returns them all.
+    """
+    result = None
+    for rows in arrivals:
+        rows.write.mode("append").parquet(source)
+        result = query(stream())
+        writer = result.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True)
+        writer.format("parquet").option("path", out).start().awaitTermination()
+    return result.sparkSession.read.schema(result.schema).parquet(out)
 
 
 def upsert_latest(batch: DataFrame, path: str, key: str, order: str) -> None:
