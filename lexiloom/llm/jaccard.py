@@ -35,6 +35,9 @@ FEW = 16
 SMALL = 8
 #: About so many documents of a group, by hash, say which n-grams its centre has.
 CENTRE_DOCS = 15
+#: Parts of the groups that are divided one after another, so that their working tables are that share of the whole; fewer where
+#: a part would have less than so many rows.
+PARTS, PART_ROWS = 4, 40_000
 CACHE_WORDS = 150_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -310,38 +313,44 @@ def _divide(known: DataFrame, groups: DataFrame, num: int, den: int) -> tuple[Da
     middle = F.broadcast(middle) if size <= BROADCAST_KEYS * 10 else middle.hint("merge")
     none = F.array().cast("array<bigint>")
     diffs = many.join(own, "doc").join(middle, "gid", "left").withColumn("y", F.coalesce("y", none))
-    diffs = diffs.select("gid", "doc", "component", "total", F.size("x").cast("long").alias("n"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("g"))
-    diffs = written(diffs.withColumn("s", F.lit(den + num) * F.size("g") - F.lit(den - num) * F.col("n")), "differences")
-
-    centre = diffs.groupBy("gid").agg(F.min(F.struct("s", "doc", "component")).alias("p"))
-    diffs = _beside(diffs, centre, ["gid"]).withColumn("near", (F.col("s") + F.col("p.s") <= 0) | (F.col("doc") == F.col("p.doc")))
-    sure = diffs.where("near and doc <> p.doc and component <> p.component").select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b"))
-    joined = diffs.where("near").groupBy("gid", "component").agg(F.first("p.component").alias("to"))
-    diffs = written(_beside(diffs.drop("p", "near"), joined, ["gid", "component"], "left").withColumn("component", F.coalesce("to", "component")).drop("to"), "differences")
-
-    least = written(diffs.groupBy("gid", "component").agg(F.count("*").alias("k"), F.min("s").alias("s")), "components")
+    diffs = diffs.select("gid", "doc", "component", "total", F.size("x").cast("long").alias("n"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("g")).withColumn("size", F.size("g"))
+    diffs = written(diffs.withColumn("s", F.lit(den + num) * F.col("size") - F.lit(den - num) * F.col("n")), "differences")
+
+    # all that follows up to the n-grams themselves reads the numbers only
+    flat = diffs.drop("g")
+    centre = flat.groupBy("gid").agg(F.min(F.struct("s", "doc", "component")).alias("p"))
+    flat = _beside(flat, centre, ["gid"]).withColumn("near", (F.col("s") + F.col("p.s") <= 0) | (F.col("doc") == F.col("p.doc")))
+    sure = flat.where("near and doc <> p.doc and component <> p.component").select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b"))
+    joined = flat.where("near").groupBy("gid", "component").agg(F.first("p.component").alias("to"))
+    flat = written(_beside(flat.drop("p", "near"), joined, ["gid", "component"], "left").withColumn("component", F.coalesce("to", "component")).drop("to"), "joined")
+
+    least = written(flat.groupBy("gid", "component").agg(F.count("*").alias("k"), F.min("s").alias("s")), "components")
     main = least.groupBy("gid").agg(F.max(F.struct("k", "component")).alias("most"), F.min("s").alias("s_all"), F.count("*").alias("parts"))
     main = written(main.where("parts > 1").select("gid", F.col("most.component").alias("main"), "s_all"), "mains")
     main = least.join(main, "gid").where("component <> main").groupBy("gid").agg(F.first("main").alias("main"), F.first("s_all").alias("s_all"), F.min("s").alias("s_out"))
-    left = _beside(diffs, main, ["gid"]).withColumn("o", F.ceil((F.col("s") + F.when(F.col("component") == F.col("main"), F.col("s_out")).otherwise(F.col("s_all"))) / twice))
-    left = left.withColumn("o", F.greatest("o", F.lit(1))).where(F.col("o") <= F.size("g"))
-    each = written(left.select("gid", "doc", "component", "total", "main", "s", "o", F.explode("g").alias("g")), "each")
-    seen = each.groupBy("gid", "g").agg(F.count("*").alias("f")).where("f > 1")
+    left = _beside(flat, main, ["gid"]).withColumn("o", F.ceil((F.col("s") + F.when(F.col("component") == F.col("main"), F.col("s_out")).otherwise(F.col("s_all"))) / twice))
+    left = left.withColumn("o", F.greatest("o", F.lit(1))).where(F.col("o") <= F.col("size"))
+    left = written(left.groupBy("gid", "doc").agg(*(F.first(c).alias(c) for c in ("component", "total", "main")), F.min("s").alias("s"), F.min("o").alias("o")), "left")
+    # rows of n-grams are as narrow as can be, one number for group and n-gram; what else is known of a document comes back to the few left
+    keyed = _beside(diffs.select("gid", "doc", "g"), left.select("gid", "doc"), ["gid", "doc"], "left_semi")
+    keyed = keyed.select("gid", "doc", F.explode(F.expr("transform(g, x -> xxhash64(gid, x))")).alias("key"))
+    seen = keyed.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
     document = Window.partitionBy("gid", "doc")
-    placed = each.join(seen, ["gid", "g"]).withColumn("i", F.row_number().over(document.orderBy("f", "g"))).withColumn("rest", F.count("*").over(document) - F.col("i") + 1)
-    placed = written(placed.where("rest >= o").select("gid", "g", "doc", "component", "total", "main", "s", "f", "rest"), "places")
+    placed = _beside(keyed, seen, ["key"]).join(left, ["gid", "doc"])
+    placed = placed.withColumn("i", F.row_number().over(document.orderBy("f", "key"))).withColumn("rest", F.count("*").over(document) - F.col("i") + 1)
+    placed = written(placed.where("rest >= o").select("gid", "key", "doc", "component", "total", "main", "s", "f", "rest"), "places")
 
-    keys = placed.groupBy("gid", "g").agg(
+    keys = placed.groupBy("gid", "key").agg(
         F.count("*").alias("k"), F.first("f").alias("f"), F.min("component").alias("c1"), F.max("component").alias("c2"),
         F.bit_xor(F.xxhash64("doc")).alias("x1"), F.sum(F.shiftright(F.xxhash64(F.lit(3), "doc"), 24)).alias("x2"),
     ).where("c1 <> c2")
     # of n-grams with the same documents the first: more of each document comes after it
-    keys = keys.groupBy("gid", "k", "x1", "x2").agg(F.min(F.struct("f", "g")).alias("first")).select("gid", "k", F.col("first.g").alias("g"))
-    placed = written(_beside(placed.drop("f"), keys, ["gid", "g"]), "places")
+    keys = keys.groupBy("gid", "k", "x1", "x2").agg(F.min(F.struct("f", "key")).alias("first")).select("gid", "k", F.col("first.key").alias("key"))
+    placed = written(_beside(placed.drop("f"), keys, ["gid", "key"]), "places")
     small = placed.where(F.col("k") <= SMALL)
-    shared = pick(small, "g", F.col("s").alias("t"), F.col("rest").alias("rest2")).join(small, ["gid", "g"])
+    shared = pick(small, "key", F.col("s").alias("t"), F.col("rest").alias("rest2")).join(small, ["gid", "key"])
     shared = shared.where(f"{apart} and {twice} * least(rest, rest2) >= s + t").selectExpr(*_ORDERED)
-    further = placed.where(F.col("k") > SMALL).select(F.xxhash64("gid", "g").alias("gid"), "doc", "component", (2 * F.col("k") > F.col("total")).alias("whole"))
+    further = placed.where(F.col("k") > SMALL).select(F.col("key").alias("gid"), "doc", "component", (2 * F.col("k") > F.col("total")).alias("whole"))
     return tried.union(shared).distinct(), sure.distinct(), further
 
 
@@ -349,14 +358,18 @@ def _left_to_try(docs: DataFrame, groups: DataFrame, n: int, num: int, den: int)
     """(sets, pairs to try, sure links) for groups (gid, doc, component), by rounds of _divide until no group is left."""
     known = written(document_sets(docs, groups.select(F.col("doc").alias("doc_id")).distinct(), n), "sets")
     pairs, links = [], []
-    while not groups.isEmpty():
-        with passing(docs.sparkSession):
-            tried, sure, further = _divide(known, groups, num, den)
-            pairs.append(written(tried, "pairs", keep=True))
-            if sure is None:
-                break
-            links.append(written(sure, "links", keep=True))
-            groups = written(further, "groups", keep=True)
+    while rows := groups.count():
+        parts, left = max(1, min(PARTS, rows // PART_ROWS)), []
+        for part in range(parts):
+            with passing(docs.sparkSession):
+                tried, sure, further = _divide(known, groups.where(F.pmod(F.xxhash64("gid"), F.lit(parts)) == part), num, den)
+                pairs.append(written(tried, "pairs", keep=True))
+                if sure is not None:
+                    links.append(written(sure, "links", keep=True))
+                    left.append(written(further, "groups", keep=True))
+        if not left:
+            break
+        groups = functools.reduce(DataFrame.union, left)
     none = docs.sparkSession.createDataFrame([], "a long, b long")
     union = lambda found: functools.reduce(DataFrame.union, found, none)
     return known, union(pairs).distinct(), union(links).distinct()
