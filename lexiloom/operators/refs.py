@@ -228,3 +228,50 @@ def match_topics(questions: DataFrame) -> DataFrame:
 def topic_sections(matched: DataFrame, acts: DataFrame, sections: DataFrame) -> DataFrame:
     """Topic to sections join: see situations.topic_sections."""
     return situations.topic_sections(matched, acts, sections, principal_act)
+
+
+def act_listing(queries: DataFrame, acts: DataFrame, most: int = 5) -> DataFrame:
+    """Act listing: (query_id, listing), a line for each act of the fuzzy finder, best first, or that none matches."""
+    found = fuzzy_acts(queries, acts, most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "act_id", "title"))).alias("l"))
+    lines = F.transform("l", lambda a: F.concat(F.lit("act_id "), a["act_id"].cast("string"), F.lit(": "), a["title"]))
+    nothing = F.concat(F.lit("No act in the corpus matches '"), F.col("question"), F.lit("'."))
+    return queries.join(found, "query_id", "left").select("query_id", F.coalesce(F.array_join(lines, "\n"), nothing).alias("listing"))
+
+
+def overviews(acts: DataFrame, sections: DataFrame) -> DataFrame:
+    """Overview lookup: (query_id, act_id, doc) of acts (query_id, act_id): the overview chunk of each, the least where there are several."""
+    own = sections.where("kind = 'overview'").groupBy("act_id").agg(F.min("doc").alias("doc"))
+    return acts.join(own, "act_id").select("query_id", "act_id", "doc")
+
+
+def compare_sections(asked: DataFrame, sections: DataFrame, most: int = 3) -> DataFrame:
+    """Side-by-side compare: (query_id, side, doc, place) of asked (query_id, act_id, a, b): first parts of both sections, a before b."""
+    sides = asked.select("query_id", "act_id", F.posexplode(F.array("a", "b")).alias("side", "number"))
+    keyed = sides.select(F.struct("query_id", "side").alias("query_id"), "act_id", "number")
+    return lookup_sections(keyed, sections, most).select("query_id.query_id", "query_id.side", "doc", "place")
+
+
+def section_or_fallback(asked: DataFrame, evidence: DataFrame, sections: DataFrame, most: int = 3) -> DataFrame:
+    """Agent section lookup with fallback act: (query_id, act_id, doc, place) of asked (query_id, act_id, number).
+
+    Where the act asked for has no such section, the first act of the evidence (query_id, act_id, at) that has it is taken. The
+    act asked for comes before all of these, so one lookup finds either.
+    """
+    own = asked.select("query_id", "act_id", "number", F.lit(-1).cast("long").alias("at"))
+    others = evidence.groupBy("query_id", "act_id").agg(F.min("at").cast("long").alias("at")).join(asked.select("query_id", "number"), "query_id").select("query_id", "act_id", "number", "at")
+    tried = own.unionByName(others).withColumn("number", F.upper("number"))
+    j = tried.join(sections.withColumn("number", F.upper("number")), ["act_id", "number"])
+    first = F.min("at").over(Window.partitionBy("query_id", "number"))
+    w = Window.partitionBy("query_id", "number").orderBy("part", "doc")
+    j = j.withColumn("__f", first).where("at = __f").withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return j.select("query_id", "act_id", "doc", "place")
+
+
+def topic_report(acts: DataFrame, sections: DataFrame) -> DataFrame:
+    """Topic report: (topic, law, act_id, title, number, doc) of every law and section of every topic, null where the corpus lacks it."""
+    spark = acts.sparkSession
+    numbers = [(name, i, n) for name, laws in situations.TOPIC_LAWS.items() for i, (_, _, listed) in enumerate(laws) for n in (listed or (None,))]
+    rows = spark.createDataFrame(numbers, "topic string, law int, number string")
+    known = situations.topic_acts(spark, acts, principal_act).join(acts.select("act_id", "title"), "act_id")
+    first = sections.groupBy("act_id", F.upper("number").alias("number")).agg(F.min_by("doc", F.struct("part", "doc")).alias("doc"))
+    return rows.join(known, ["topic", "law"], "left").join(first, ["act_id", "number"], "left").select("topic", "law", "act_id", "title", "number", "doc")
