@@ -139,6 +139,8 @@ def _head(fields: list[tuple[str, str]], block: bytes) -> bytes:
 
 #: Bytes that are read or decompressed at a time, the most that a record's header has, and segments held until their record is whole.
 STEP_BYTES, HEAD_BYTES, HELD_BYTES = 256 << 10, 256 << 10, 64 << 20
+#: The longest record and the longest file (as stored) that are read; each is held by one task.
+RECORD_BYTES, FILE_BYTES = 256 << 20, 1 << 30
 
 
 def inflated(data: bytes, step: int = STEP_BYTES) -> Iterator[bytes]:
@@ -165,10 +167,11 @@ def inflated(data: bytes, step: int = STEP_BYTES) -> Iterator[bytes]:
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
-    """(header fields in lower case, block, error) of each record; no more is held than one record.
+    """(header fields in lower case, block, error) of each record, in time that grows with the bytes whatever lengths say.
 
-    What is no record, has no length or is cut off gives a row with an error and no block; reading goes on at the next
-    line that begins a record.
+    No more is held than one record, or RECORD_BYTES where a record says that it is longer than the archive goes on. What is no record,
+    has no length, is cut off or says that it has more than RECORD_BYTES gives a row with an error and no block; reading goes
+    on at the next line that begins a record.
     """
     parts, buffer, trouble = inflated(data), bytearray(), []
 
@@ -193,7 +196,10 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]
 
     while True:
         while True:
-            del buffer[: len(buffer) - len(buffer.lstrip(b"\r\n"))]
+            blank = 0
+            while blank < len(buffer) and buffer[blank] in b"\r\n":
+                blank += 1
+            del buffer[:blank]
             if buffer or not more():
                 break
         if not buffer:
@@ -214,6 +220,10 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]
             skip_to_next(stop)
             continue
         end = stop + 4 + int(size)
+        if end > RECORD_BYTES:
+            yield fields, b"", "the record is too long"
+            skip_to_next(stop)
+            continue
         while len(buffer) < end and more():
             pass
         if len(buffer) < end:
@@ -313,7 +323,8 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the files under path that is whole there, and one for each other segment, under its origin's record_id.
 
     A record whose segments stand in one file is put together where it is read; what isn't whole at the file's end, or
-    is over HELD_BYTES, is left to read_warc.
+    is over HELD_BYTES, is left to read_warc. A file is read by one task; one of more than FILE_BYTES is not read and gives a row with an error
+    that names it.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,8 +342,12 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _columns(rows, names, kinds)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(trimmed(parse), _SEGMENT)
+    files = spark.read.format("binaryFile").load(path)
+    large = files.where(F.col("length") > FILE_BYTES).select("path")
+    kinds = [x.split() for x in _SEGMENT.split(", ")]
+    own = {"record_type": F.lit("unknown"), "error": F.concat(F.lit("the file is too long: "), "path"), "whole": F.lit(True)}
+    large = large.select(*(own.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in kinds))
+    return files.where(F.col("length") <= FILE_BYTES).select("content").mapInArrow(trimmed(parse), _SEGMENT).unionByName(large)
 
 
 def file_records(data: bytes) -> Iterator[tuple]:

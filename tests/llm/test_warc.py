@@ -130,3 +130,32 @@ def test_a_revisit_names_its_record_and_takes_the_length_of_its_digest(spark, tm
     assert len(ids) == 3 and len(refers) == 2 and refers <= ids
     got = sorted((r.page_id, r.record_type, r.payload_bytes, r.refers_to) for r in W.resolve_revisits(W.read_warc(spark, str(tmp_path / "w"))).collect())
     assert got == [("3", "revisit", 1500, "7"), ("4", "revisit", 2500, "7"), ("7", "response", 1500, None), ("7", "response", 2500, None), ("7", "response", 2500, None)]
+
+
+def test_false_lengths_cost_no_more_than_their_bytes(monkeypatch):
+    """Records behind one that says it is longer than the archive are read in time that grows with the bytes."""
+    import time
+
+    one = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 1000\r\n\r\n" + b"x" * 1000 + b"\r\n\r\n"
+    false = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 100000000\r\n\r\nshort\r\n\r\n"
+
+    def timed(n):
+        began = time.perf_counter()
+        got = [e for _, _, e in W.parse_warc(false + one * n)]
+        assert got == ["the record is cut off", *[None] * n]
+        return time.perf_counter() - began
+
+    timed(100)
+    few, many = min(timed(1500) for _ in range(3)), timed(12_000)
+    assert many < 20 * few + 1
+    monkeypatch.setattr(W, "RECORD_BYTES", 5000)
+    assert [e for _, _, e in W.parse_warc(false + one + one)] == ["the record is too long", None, None]
+
+
+def test_a_file_over_the_limit_is_a_row_with_an_error(spark, tmp_path, monkeypatch):
+    W.write_warc(make(spark, [(1, "u", "y" * 3000, "p")]), str(tmp_path / "w"))
+    (tmp_path / "w" / "zz.warc").write_bytes(b"WARC/1.0\r\n" + b"a" * 50_000)
+    monkeypatch.setattr(W, "FILE_BYTES", 20_000)
+    got = W.read_warc(spark, str(tmp_path / "w")).collect()
+    assert [r.error for r in got if r.error] == [next(r.error for r in got if r.error)] and "zz.warc" in next(r.error for r in got if r.error)
+    assert [len(r.payload) for r in got if r.payload] == [3000]
