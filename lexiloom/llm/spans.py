@@ -12,29 +12,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import fresh, trimmed, written
+from lexiloom.llm.common import UNSPACED, fresh, passing, trimmed, written
 
 #: A span has two sentences and SPAN_WORDS words at least, or is one sentence of LONG_WORDS words at least.
 SPAN_WORDS = 25
 LONG_WORDS = 50
 #: Up to so many rows of (document, span) are sent to every task; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-_BREAK = re.compile(r"[.!?。！？]+(?:\s+|$)|\n\s*")
+_BREAK = re.compile(r"[.!?]+(?:\s+|$)|[。！？｡]+\s*|\n\s*")
+_NO_SPACES, _UNIT = re.compile(f"[{UNSPACED}]"), re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
 
 
 def sentences(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each sentence. A sentence ends at . ! ? before white space, or at a line's end.
+    """(start, end, words, digest) of each sentence. A sentence ends at . ! ? before white space, at full-width stops, or at a line's end.
 
-    White space after a sentence belongs to it. The digest is of its words, so white space doesn't count.
+    White space after a sentence belongs to it. The digest is of its words, so white space doesn't count. In scripts that put no
+    white space between words every character counts as a word.
     """
     out, start = [], 0
+    spaced = text.isascii() or not _NO_SPACES.search(text)
     ends = [m.end() for m in _BREAK.finditer(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
     for end in ends:
         words = text[start:end].split()
         if words:
-            out.append((start, end, len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
+            n = len(words) if spaced else len(_UNIT.findall(text, start, end))
+            out.append((start, end, n, xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
             start = end
     return out
 
@@ -119,14 +123,16 @@ def document_spans(docs: DataFrame, least: int, long: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, least: int = SPAN_WORDS, long: int = LONG_WORDS) -> DataFrame:
-    """doc_id and the digests of its spans that a document with a smaller doc_id has too.
+    """doc_id and the digests of its spans that a document with a smaller doc_id has too, in a table of the shared folder.
 
-    The least document of each span comes from an aggregation that combines before its shuffle; only spans
-    with two documents are joined back. A list is no longer than its document.
+    Texts are cut into spans once. The least document of each span comes from an aggregation that combines before its shuffle; only
+    spans with two documents are joined back. A list is no longer than its document.
     """
-    found = document_spans(docs, least, long)
-    least_doc = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper <> other").drop("other")
-    return found.join(least_doc, ["h1", "h2"]).where("doc_id > keeper").select("doc_id", "h1", "h2").distinct()
+    with passing(docs.sparkSession):
+        found = written(document_spans(docs, least, long), "found")
+        least_doc = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper <> other").drop("other")
+        later = found.join(written(least_doc, "keepers"), ["h1", "h2"]).where("doc_id > keeper")
+        return written(later.select("doc_id", "h1", "h2").distinct(), "spans", keep=True)
 
 
 def substring_dedup(docs: DataFrame, least: int = SPAN_WORDS, long: int = LONG_WORDS) -> DataFrame:
@@ -137,7 +143,7 @@ def substring_dedup(docs: DataFrame, least: int = SPAN_WORDS, long: int = LONG_W
     they lose the same spans. Null texts stay null with counts of 0; a null doc_id has only its own text to be
     compared with. Columns n_sentences, n_removed and removed of docs are replaced, all others kept.
     """
-    hashes = written(repeated_spans(docs, least, long), "spans")
+    hashes = repeated_spans(docs, least, long)
     own_spans = fresh("__spans", docs.columns)
     lists = hashes.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias(own_spans))
     small = hashes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

@@ -78,3 +78,21 @@ def test_sentences_and_spans():
     assert [text[a:b] for a, b, _, _ in sentences(text)] == ["  One two. ", "Three!\n\n", "Four 3.5 five"]
     assert [(i, j) for i, j, _ in spans(sentences(text), 3, 9)] == [(0, 1), (1, 2)]
     assert without("a b. c d. a b. c d. e", set(), 4, 9)[0] == "a b. c d. e"
+
+
+def test_scripts_without_spaces(spark):
+    """Sentences end at full-width stops without white space, and characters count as words."""
+    assert [(a, b, n) for a, b, n, _ in sentences("今天天气很好。我们去公园！走吧 ok? yes")] == [(0, 7, 7), (7, 13, 6), (13, 20, 3), (20, 23, 1)]
+    assert [n for _, _, n, _ in sentences("plain words here. More")] == [3, 1]
+    shared = "这是一个很长的句子用来测试重复的段落。" * 1 + "第二个句子也在两个文件里出现并且不短。"
+    rows = [(1, "开头不同的文字。" + shared + "结尾甲。"), (2, "别的开头在这里。" + shared + "结尾乙。"), (3, "没有重复的内容。")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (rows[0][1], 0) and got[3] == (rows[2][1], 0)
+    assert got[2] == ("别的开头在这里。结尾乙。", 2)
+
+
+def test_texts_are_cut_once_for_their_spans(spark):
+    """The table of spans is written; the rest is joins. One pass of Python finds them, one cuts."""
+    docs = spark.createDataFrame([(1, "a b c. " * 30), (2, "a b c. " * 30)], "doc_id long, text string")
+    plan = substring_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
