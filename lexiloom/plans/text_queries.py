@@ -25,16 +25,30 @@ SAMPLES = (
 _VALUES = "(values " + ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in SAMPLES) + ") s(id, q)"
 
 
+#: Questions of the tables: benchmark items, users' turns from a million on, and the literal samples with negative ids.
+_ASKED = (
+    "(select item_id::bigint as id, text as q from benchmark union all select 1000000 + conv_id * 1000 + turn, text from conversations where role = 'user' "
+    f"union all select -id, q from {_VALUES}) asked"
+)
+
+
 def samples(spark):
     return spark.createDataFrame(list(SAMPLES), "id int, q string")
 
 
+def asked(spark, sf_dir):
+    """(id, q): every benchmark item and every user's turn, and the literal samples, which have what the tables lack (another script)."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("id"), F.col("text").alias("q"))
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.lit(1000000) + F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("id"), F.col("text").alias("q"))
+    return items.unionByName(turns).unionByName(samples(spark).select((-F.col("id")).cast("long").alias("id"), "q"))
+
+
 @query(f"select id, {LANG.format(c='q')} as lang, case when {BN.format(c='q')} >= {LA.format(c='q')} then 'bn' else 'en' end as script_lang, "
-       f"case when {BN.format(c='q')} = 0 then 'latin' when {LA.format(c='q')} = 0 then 'bn' when {BN.format(c='q')} >= 4 * {LA.format(c='q')} then 'bn' when {LA.format(c='q')} >= 4 * {BN.format(c='q')} then 'latin' else 'mixed' end as script from {_VALUES}")
+       f"case when {BN.format(c='q')} = 0 then 'latin' when {LA.format(c='q')} = 0 then 'bn' when {BN.format(c='q')} >= 4 * {LA.format(c='q')} then 'bn' when {LA.format(c='q')} >= 4 * {BN.format(c='q')} then 'latin' else 'mixed' end as script from {_ASKED}")
 def languages(spark, sf_dir):
     """Language by script ratio, script language, script class."""
     c = F.col("q")
-    return samples(spark).select("id", X.detect_language(c).alias("lang"), X.script_language(c).alias("script_lang"), X.script_class(c).alias("script"))
+    return asked(spark, sf_dir).select("id", X.detect_language(c).alias("lang"), X.script_language(c).alias("script_lang"), X.script_class(c).alias("script"))
 
 
 @query(f"select doc_id, {LANG.format(c='text')} as lang, {BN.format(c='text')} as bn, {LA.format(c='text')} as latin from documents")
@@ -54,7 +68,7 @@ def tokenize(spark, sf_dir):
 @query()
 def tokenize_stem(spark, sf_dir):
     """Tokenise with suffix stem, stem candidates."""
-    return samples(spark).select("id", X.tokens(F.col("q"), stem=True).alias("stems"), F.flatten(F.transform(X.tokens(F.col("q")), X.stem_candidates)).alias("candidates"))
+    return asked(spark, sf_dir).select("id", X.tokens(F.col("q"), stem=True).alias("stems"), F.flatten(F.transform(X.tokens(F.col("q")), X.stem_candidates)).alias("candidates"))
 
 
 @query("select page_id, left(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 60) as slug, sha1(url) as key, substr(sha1(url), 1, 8) as short, regexp_extract(url, '^https?://([^/:?#]+)', 1) as host from pages")
@@ -64,18 +78,18 @@ def slugs_and_keys(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.slug(u).alias("slug"), X.text_key(u).alias("key"), F.right(X.cache_path(u), F.lit(8)).alias("short"), F.regexp_extract(u, "^https?://([^/:?#]+)", 1).alias("host"))
 
 
-@query(f"select id, cast(regexp_extract_all(translate(q, '০১২৩৪৫৬৭৮৯', '0123456789'), '(1[6-9][0-9][0-9]|20[0-9][0-9])')[-1] as int) as year, translate(q, '০১২৩৪৫৬৭৮৯', '0123456789') as folded, greatest(cast(floor(length(q) / 3.2e0) as int), 1) as tokens from {_VALUES}")
+@query(f"select id, cast(regexp_extract_all(translate(q, '০১২৩৪৫৬৭৮৯', '0123456789'), '(1[6-9][0-9][0-9]|20[0-9][0-9])')[-1] as int) as year, translate(q, '০১২৩৪৫৬৭৮৯', '0123456789') as folded, greatest(cast(floor(length(q) / 3.2e0) as int), 1) as tokens from {_ASKED}")
 def years_and_digits(spark, sf_dir):
     """Year extraction, digit fold, token estimate."""
     c = F.col("q")
-    return samples(spark).select("id", X.extract_year(c).alias("year"), X.fold_digits(c).alias("folded"), X.estimate_tokens(F.length(c)).alias("tokens"))
+    return asked(spark, sf_dir).select("id", X.extract_year(c).alias("year"), X.fold_digits(c).alias("folded"), X.estimate_tokens(F.length(c)).alias("tokens"))
 
 
 @query()
 def question_analysis(spark, sf_dir):
     """Section numbers, section refs, reference expansion, query class, adaptive weights, colloquial, romanised and follow-up predicates, agent routing, transliterate, romanised variant."""
     c, n = F.col("q"), X.section_numbers("q")
-    return samples(spark).select(
+    return asked(spark, sf_dir).select(
         "id", n.alias("numbers"), X.section_refs(c).alias("refs"), X.expand_references(c, n).alias("expanded"), refs.query_class(c).alias("class"), refs.adaptive_weights(c).alias("weights"), refs.is_colloquial(c).alias("colloquial"),
         refs.looks_romanised(c).alias("romanised"), X.looks_like_follow_up(c).alias("follow_up"), G.wants_agent(c).alias("agent"), refs.transliterate("q").alias("bangla"), refs.romanised_variant(c).alias("variant"),
     )
@@ -84,14 +98,14 @@ def question_analysis(spark, sf_dir):
 @query()
 def synonym_expansion(spark, sf_dir):
     """Synonym expansion."""
-    return refs.expand_synonyms(samples(spark).select(F.col("id").alias("query_id"), F.col("q").alias("question")))
+    return refs.expand_synonyms(asked(spark, sf_dir).select(F.col("id").alias("query_id"), F.col("q").alias("question")))
 
 
 @query()
 def request_checks(spark, sf_dir):
     """Request flags, PII redaction, quote user text, notices, cache signature, negation count, numbers."""
     c = F.col("q")
-    return samples(spark).select(
+    return asked(spark, sf_dir).select(
         "id", G.request_flags(c).alias("flags"), G.redact(c).alias("redacted"), G.quote_user_text(c).alias("quoted"), G.apply_notices(c, F.lit("An answer.")).alias("answer"), X.question_numbers(c).alias("numbers"), X.negations(c).alias("negations"),
         X.cache_signature(c, F.lit("all"), F.array(F.lit("t"))).alias("signature"), X.question_norm(c).alias("norm"), X.title_norm(c).alias("title"), X.numbers_in(c).alias("amounts"), X.stems(c).alias("stems"),
     )
@@ -211,7 +225,7 @@ def answer_confidence(spark, sf_dir):
 @query()
 def red_team(spark, sf_dir):
     """Static and output red-team checks, red-team pass rate, prompt lines."""
-    d = samples(spark).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("attack"), F.col("q").alias("question"), (F.col("id") == 7).alias("inject"), G.redact(F.col("q"))["kinds"].alias("pii"), F.array(F.lit("LEAK"), F.lit("5 lakh")).alias("forbidden"))
+    d = asked(spark, sf_dir).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("attack"), F.col("q").alias("question"), (F.col("id") == -7).alias("inject"), G.redact(F.col("q"))["kinds"].alias("pii"), F.array(F.lit("LEAK"), F.lit("5 lakh")).alias("forbidden"))
     system = F.lit("You answer from the excerpts only and cite every statement.\nshort")
     failed = F.concat(G.static_failures(F.col("question"), F.col("inject"), F.col("pii"), F.col("forbidden")), G.output_failures(F.col("question"), F.col("forbidden"), system))
     return d.withColumn("failures", failed).groupBy("attack").agg(F.count("*").alias("n"), F.count_if(F.size("failures") == 0).alias("passed"))
