@@ -95,12 +95,14 @@ def top_k(scored: DataFrame, k: int, by: str = "score", group: str = "query_id",
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, stem: bool = False, doc: str = "doc_id", text: str = "text", query: str = "query_id", question: str = "question", prefer: Column | None = None) -> DataFrame:
+def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column | list[Column | None] | None = None, stem: bool = False, doc: str = "doc_id", text: str = "text", query: str = "query_id", question: str = "question", prefer: Column | None = None) -> DataFrame:
     """BM25 search with metadata filters: (query_id, doc, score, rank). The filter comes after the statistics, so it doesn't change idf.
 
     Agent search with filter fallback: with prefer, a question's hits are those that pass it, or where none of its hits does,
     the others; the column preferred says which. Both classes come from the one pass: a task keeps k by class, then score.
 
+    With a list of filters (None: all documents) it is a list of results, whose documents are counted once for all.
+
     The questions of a block are sent to the tasks by their terms. One pass over the documents counts, in place, how
     often each has the terms that are asked for, and writes that; lengths and document frequencies are sums over it.
     A second pass scores documents where they are and keeps k of each question a task, so what is shuffled is k
@@ -110,13 +112,19 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column
     asked = queries.select(F.col(query).alias("query_id"), F.explode(X.tokens(F.coalesce(F.col(question), F.lit("")), stem)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     kind = queries.schema[query].dataType.simpleString()
-    allowed = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), X.tokens(F.coalesce(F.col(text), F.lit("")), stem).alias("tokens"), allowed.alias("allowed"), (F.lit(True) if prefer is None else F.coalesce(prefer, F.lit(False))).alias("preferred"))
-    out = spark.createDataFrame([], f"query_id {kind}, doc bigint, score double, preferred boolean")
+    holds = lambda c: F.lit(True) if c is None else F.coalesce(c, F.lit(False))
+    wheres = where if isinstance(where, list) else [where]
+    rows = docs.select(F.col(doc).cast("long").alias("doc"), X.tokens(F.coalesce(F.col(text), F.lit("")), stem).alias("tokens"), holds(prefer).alias("preferred"), F.array(*map(holds, wheres)).alias("allowed"))
+    none = spark.createDataFrame([], f"query_id {kind}, doc bigint, score double, preferred boolean")
+    found = [none] * len(wheres)
     for i in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
         if part:
-            out = out.unionByName(_search_block(rows, [(r["query_id"], r["term"], r["qf"]) for r in part], k, kind))
+            more = _search_block(rows, [(r["query_id"], r["term"], r["qf"]) for r in part], k, kind, len(wheres))
+            found = [a.unionByName(b) for a, b in zip(found, more, strict=True)]
+    if isinstance(where, list):
+        return [top_k(f.drop("preferred"), k) for f in found]
+    out = found[0]
     if prefer is None:
         return top_k(out.drop("preferred"), k)
     ordered = Window.partitionBy("query_id").orderBy(F.col("preferred").desc(), F.col("score").desc(), "doc")
@@ -124,10 +132,10 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column
     return best.withColumn("__any", F.max("preferred").over(Window.partitionBy("query_id"))).where(F.col("preferred") == F.col("__any")).drop("__any")
 
 
-def _search_block(rows: DataFrame, asked: list[tuple], k: int, kind: str) -> DataFrame:
+def _search_block(rows: DataFrame, asked: list[tuple], k: int, kind: str, filters: int) -> list[DataFrame]:
     terms, ids = sorted({t for _, t, _ in asked}), sorted({q for q, _, _ in asked})
     number, column = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(ids)}
-    counts = materialized(rows.mapInArrow(_counter(terms), "doc bigint, dl bigint, allowed boolean, preferred boolean, ids array<int>, tfs array<int>"), "counts")
+    counts = materialized(rows.mapInArrow(_counter(terms), "doc bigint, dl bigint, preferred boolean, allowed array<boolean>, ids array<int>, tfs array<int>"), "counts")
     n, avgdl = counts.agg(F.count("*"), F.avg("dl")).first()
     df = np.zeros(len(terms))
     for r in counts.select(F.explode("ids").alias("id")).groupBy("id").count().collect():
@@ -136,7 +144,8 @@ def _search_block(rows: DataFrame, asked: list[tuple], k: int, kind: str) -> Dat
     begin = np.searchsorted(np.array([t for t, _, _ in by_term]), np.arange(len(terms) + 1))
     idf_ = np.where(df > 0, np.log(1 + ((n or 0) - df + 0.5) / (df + 0.5)), 0.0)
     shared = rows.sparkSession.sparkContext.broadcast((ids, idf_, begin, np.array([c for _, c, _ in by_term]), np.array([f for _, _, f in by_term], np.float64), max(avgdl or 0.0, 1e-9)))
-    return counts.where("allowed").select("doc", "dl", "ids", "tfs", "preferred").mapInArrow(_scorer(shared, k, kind), f"query_id {kind}, doc bigint, score double, preferred boolean")
+    passing = (counts.where(F.get("allowed", F.lit(i))).select("doc", "dl", "ids", "tfs", "preferred") for i in range(filters))
+    return [p.mapInArrow(_scorer(shared, k, kind), f"query_id {kind}, doc bigint, score double, preferred boolean") for p in passing]
 
 
 def _counter(terms: list[str]):
@@ -151,7 +160,7 @@ def _counter(terms: list[str]):
             owner, term = np.divmod(pairs, len(terms))
             offsets = pa.array(np.searchsorted(owner, np.arange(len(dl) + 1)).astype(np.int32))
             lists = (pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (term, tf))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dl), batch.column(2), batch.column(3), *lists], ["doc", "dl", "allowed", "preferred", "ids", "tfs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dl), batch.column(2), batch.column(3), *lists], ["doc", "dl", "preferred", "allowed", "ids", "tfs"])
 
     return run
 

@@ -114,7 +114,7 @@ def evidence_numbers(turns: DataFrame) -> DataFrame:
 
 
 def balanced_sample(rows: DataFrame, groups: list[str], key: str, n: int, seed: int = 0) -> DataFrame:
-    """Balanced round-robin sample: a seeded order in each group, then one of each group in turn, n in all."""
+    """Balanced round-robin sample: a seeded order in each group, then one of each group in turn, n in all. A task keeps n of a group."""
     h = F.xxhash64(F.lit(seed), F.col(key))
     dealt = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*groups).orderBy(h, key)))
-    return dealt.orderBy("turn", *groups, key).limit(n)
+    return dealt.where(F.col("turn") <= n).orderBy("turn", *groups, key).limit(n)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,14 +164,45 @@ def trigram_bucket(gram: Column, dim: int) -> Column:
     return (F.conv(little, 16, 10).cast("bigint") % dim).cast("int")
 
 
+class _Buckets(dict):
+    """The bucket of a trigram, as trigram_bucket says it; the most frequent ones are hashed once a task."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        found = self[gram] = int.from_bytes(hashlib.md5(gram.encode()).digest()[:4], "little") % self.dim
+        return found
+
+
 def embed(docs: DataFrame, doc: str = "doc_id", text: str = "text", dim: int = 512) -> DataFrame:
-    """Encode batch: (doc, bucket, value) of unit length; the dense vector is its pivot."""
-    words = docs.select(F.col(doc).alias("doc"), F.explode(X.tokens(F.col(text))).alias("t")).select("doc", F.concat(F.lit(" "), "t", F.lit(" ")).alias("t"))
-    grams = words.select("doc", "t", F.explode(F.sequence(F.lit(1), F.length("t") - 2)).alias("i")).select("doc", F.substr("t", F.col("i"), F.lit(3)).alias("g"))
-    # a trigram is hashed once a document, after what is counted in its task has been combined
-    counts = grams.groupBy("doc", "g").agg(F.count("*").alias("c")).groupBy("doc", trigram_bucket(F.col("g"), dim).alias("bucket")).agg(F.sum("c").cast("double").alias("c"))
-    norms = counts.groupBy("doc").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    return counts.join(norms, "doc").select("doc", "bucket", (F.col("c") / F.col("norm")).alias("value"))
+    """Encode batch: (doc, bucket, value) of unit length; the dense vector is its pivot.
+
+    A row is a document: its trigrams are counted where it is read, nothing is shuffled. Null and empty texts have no rows.
+    """
+    rows = docs.select(F.col(doc).alias("doc"), X.tokens(F.col(text)).alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = _Buckets(dim)
+        for batch in batches:
+            who, where, values = [], [], []
+            for at, tokens in enumerate(batch.column(1).to_pylist()):
+                counts = np.zeros(dim)
+                for token, n in Counter(tokens or ()).items():
+                    padded = f" {token} "
+                    for i in range(len(padded) - 2):
+                        counts[buckets[padded[i : i + 3]]] += n
+                own = np.flatnonzero(counts)
+                who.append(np.full(len(own), at))
+                where.append(own)
+                values.append(counts[own] / math.sqrt(float(counts @ counts) or 1.0))
+            if who:
+                ids = batch.column(0).take(pa.array(np.concatenate(who), pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(where), pa.int32()), pa.array(np.concatenate(values))], ["doc", "bucket", "value"])
+
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, bucket int, value double")
 
 
 def save_vectors(index: DataFrame, path: str, dim: int, vector: str = "embedding") -> None:

@@ -112,8 +112,7 @@ def trigram_embeddings(spark, sf_dir):
 
 def _lists(spark, sf_dir):
     """Two lists of each question: over all chunks, and over those of acts with an even number."""
-    c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
-    return lexical.bm25_search(c, q, 20, doc="doc"), lexical.bm25_search(c, q, 20, F.col("act_id") % 2 == 0, doc="doc")
+    return lexical.bm25_search(chunks(spark, sf_dir), questions(spark, sf_dir), 20, [None, F.col("act_id") % 2 == 0], doc="doc")
 
 
 _LISTS = f"""{BM25}, l1 as ({TOP.format(t='scored', k=20)}), l2 as ({TOP.format(t='(select s.* from scored s join d using (doc) where act_id % 2 = 0)', k=20)}),
@@ -124,7 +123,7 @@ _LISTS = f"""{BM25}, l1 as ({TOP.format(t='scored', k=20)}), l2 as ({TOP.format(
 @query(f"with {_LISTS} select query_id, doc, score, rank from (select *, row_number() over (partition by query_id order by score desc, f, doc) as rank from rrf) where rank <= 10")
 def rrf_fusion(spark, sf_dir):
     """Reciprocal rank fusion with weights."""
-    return rank.reciprocal_rank_fusion(list(_lists(spark, sf_dir)), [1.3, 0.8], 60, 10)
+    return rank.reciprocal_rank_fusion(_lists(spark, sf_dir), [1.3, 0.8], 60, 10)
 
 
 @query(f"""with {BM25}, t as ({TOP.format(t='scored', k=20)}), c as (select t.*, row_number() over (partition by query_id, act_id order by rank) as n from t join d using (doc))

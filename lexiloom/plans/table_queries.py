@@ -325,7 +325,7 @@ def balanced_sample(spark, sf_dir):
     """Balanced round-robin sample, eval template sample; the order inside a group is by md5 of seed and id."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     w = Window.partitionBy("lang", "source").orderBy(F.md5(F.concat(F.lit("0"), F.col("doc_id").cast("string")).cast("binary")), "doc_id")
-    return d.withColumn("turn", F.row_number().over(w)).orderBy("turn", "lang", "source", "doc_id").limit(30)
+    return d.withColumn("turn", F.row_number().over(w)).where("turn <= 30").orderBy("turn", "lang", "source", "doc_id").limit(30)
 
 
 @query("select session, doc, row_number() over (partition by session order by place, doc) as number from (select conv_id as session, turn % 2 as doc, min(turn) as place from conversations group by all)")
