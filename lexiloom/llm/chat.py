@@ -98,7 +98,8 @@ def chat_format(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, text of each maximal conversation: its turns in order, each as a role line and its text.
 
     Null roles and texts are rendered as empty; turns with equal numbers are rendered in order of role and text;
-    repeated turns stay. An empty table gives no rows, columns other than the four are ignored.
+    repeated turns stay. An empty table gives no rows, columns other than the four are ignored. A conversation is gathered only to be
+    rendered: what a task holds is the row that is asked for, however long its texts are.
     """
     kept = maximal(turns)
     t = turns.select("conv_id", "turn", "role", "text").join(kept, "conv_id")

@@ -9,7 +9,6 @@ import threading
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,29 +56,18 @@ SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def passing(spark: SparkSession) -> Iterator[None]:
     """Tables written inside are deleted at the end, so nothing may read them later; shuffle files go with the execution they serve."""
     if not hasattr(_open, "scopes"):
-        _open.scopes, _open.held = [], []
+        _open.scopes = []
     _open.scopes.append([])
-    _open.held.append([])
     before = spark.conf.get(SHUFFLES_GO, None)
     spark.conf.set(SHUFFLES_GO, "true")
     try:
         yield
     finally:
         spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
-        for df in _open.held.pop():
-            df.unpersist()
         for path in _open.scopes.pop():
             drop_path(spark, path)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df, kept by the executors (in memory, or on disk) until the surrounding passing() ends; for small tables that several plans
-    read. What a lost executor had is computed again."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _open.held[-1].append(df)
-    return df
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import binary_column, components, held, passing, trimmed, written
+from lexiloom.llm.common import binary_column, components, passing, trimmed, written
 
 #: Documents, by least hash of their id, in which n-grams are looked for that many documents share.
 SAMPLE_DOCS = 10_000
@@ -259,10 +259,10 @@ def overlaps(known: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
     return both.where(F.lit(den) * F.col("common") >= F.lit(num) * united).select("a", "b").distinct()
 
 
-def _beside(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def _beside(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner", keep: bool = False) -> DataFrame:
     """rows with the columns of few, a table with one row a key: sent to every task where it has BROADCAST_KEYS rows
-    at most, else joined by a shuffle whose large partitions adaptive execution can split. few is kept by the executors."""
-    few = held(few)
+    at most, else joined by a shuffle whose large partitions adaptive execution can split. With keep, few costs much and is written before it is counted."""
+    few = written(few, "keys") if keep else few
     return rows.join(F.broadcast(few) if few.count() <= BROADCAST_KEYS else few.hint("merge"), on, how)
 
 
@@ -295,7 +295,7 @@ def _divide(known: DataFrame, groups: DataFrame, num: int, den: int) -> tuple[Da
     heads = groups.groupBy("gid", "component").agg(F.count("*").alias("k")).groupBy("gid")
     heads = heads.agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("total"))
     rows = _beside(groups, heads.select("gid", "total", F.col("most.component").alias("main"), (F.col("total") - F.col("most.k")).alias("outside")), ["gid"])
-    rows = held(rows)
+    rows = written(rows, "groups")
     pick = lambda t, *more: t.where("component <> main").select("gid", F.col("doc").alias("d"), F.col("component").alias("c"), *more)
     apart = "c <> component and (component = main or d < doc)"
     few = rows.where(F.col("outside") <= FEW)
@@ -305,7 +305,7 @@ def _divide(known: DataFrame, groups: DataFrame, num: int, den: int) -> tuple[Da
         return tried, None, None
 
     own = known.select(F.col("doc_id").alias("doc"), F.col("grams").alias("x"))
-    asked = held(many.where(F.col("whole") | (F.pmod(F.xxhash64("gid", "doc"), "total") < CENTRE_DOCS)).select("gid", "doc"))
+    asked = many.where(F.col("whole") | (F.pmod(F.xxhash64("gid", "doc"), "total") < CENTRE_DOCS)).select("gid", "doc")
     counted = asked.join(own, "doc").select("gid", F.explode("x").alias("g")).groupBy("gid", "g").agg(F.count("*").alias("c"))
     counted = _beside(counted, asked.groupBy("gid").agg(F.count("*").alias("m")), ["gid"])
     middle = written(counted.where("2 * c > m").groupBy("gid").agg(F.collect_list("g").alias("y")), "middles")
@@ -322,21 +322,21 @@ def _divide(known: DataFrame, groups: DataFrame, num: int, den: int) -> tuple[Da
     flat = _beside(flat, centre, ["gid"]).withColumn("near", (F.col("s") + F.col("p.s") <= 0) | (F.col("doc") == F.col("p.doc")))
     sure = flat.where("near and doc <> p.doc and component <> p.component").select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b"))
     joined = flat.where("near").groupBy("gid", "component").agg(F.first("p.component").alias("to"))
-    flat = held(_beside(flat.drop("p", "near"), joined, ["gid", "component"], "left").withColumn("component", F.coalesce("to", "component")).drop("to"))
+    flat = written(_beside(flat.drop("p", "near"), joined, ["gid", "component"], "left").withColumn("component", F.coalesce("to", "component")).drop("to"), "joined")
 
-    least = held(flat.groupBy("gid", "component").agg(F.count("*").alias("k"), F.min("s").alias("s")))
+    least = flat.groupBy("gid", "component").agg(F.count("*").alias("k"), F.min("s").alias("s"))
     main = least.groupBy("gid").agg(F.max(F.struct("k", "component")).alias("most"), F.min("s").alias("s_all"), F.count("*").alias("parts"))
-    main = held(main.where("parts > 1").select("gid", F.col("most.component").alias("main"), "s_all"))
+    main = main.where("parts > 1").select("gid", F.col("most.component").alias("main"), "s_all")
     main = least.join(main, "gid").where("component <> main").groupBy("gid").agg(F.first("main").alias("main"), F.first("s_all").alias("s_all"), F.min("s").alias("s_out"))
     left = _beside(flat, main, ["gid"]).withColumn("o", F.ceil((F.col("s") + F.when(F.col("component") == F.col("main"), F.col("s_out")).otherwise(F.col("s_all"))) / twice))
     left = left.withColumn("o", F.greatest("o", F.lit(1))).where(F.col("o") <= F.col("size"))
-    left = held(left.groupBy("gid", "doc").agg(*(F.first(c).alias(c) for c in ("component", "total", "main")), F.min("s").alias("s"), F.min("o").alias("o")))
+    left = written(left.groupBy("gid", "doc").agg(*(F.first(c).alias(c) for c in ("component", "total", "main")), F.min("s").alias("s"), F.min("o").alias("o")), "left")
     # rows of n-grams are as narrow as can be, one number for group and n-gram; what else is known of a document comes back to the few left
     keyed = _beside(diffs.select("gid", "doc", "g"), left.select("gid", "doc"), ["gid", "doc"], "left_semi")
     keyed = keyed.select("gid", "doc", F.explode(F.expr("transform(g, x -> xxhash64(gid, x))")).alias("key"))
     seen = keyed.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
     document = Window.partitionBy("gid", "doc")
-    placed = _beside(keyed, seen, ["key"]).join(left, ["gid", "doc"])
+    placed = _beside(keyed, seen, ["key"], keep=True).join(left, ["gid", "doc"])
     placed = placed.withColumn("i", F.row_number().over(document.orderBy("f", "key"))).withColumn("rest", F.count("*").over(document) - F.col("i") + 1)
     placed = written(placed.where("rest >= o").select("gid", "key", "doc", "component", "total", "main", "s", "f", "rest"), "places")
 

@@ -123,7 +123,8 @@ def counter(path: str) -> UnigramCounter:
 def token_counts(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_bytes of every row, in docs' own partitions; null and empty texts have 0.
 
-    Repeated rows stay; other columns are not read.
+    Repeated rows stay; other columns are not read. A text is counted whole however long it is, in time linear in it; memory is that of
+    the text and of its longest stretch between words.
     """
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from test_jaccard import brute as classes
 from test_spans import brute as cut_plainly
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -107,3 +108,22 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_odd_rows_go_through_all_stages(spark):
+    """Null and repeated ids, null, empty and very long texts, and columns named like those of the operators."""
+    docs = table(spark, SF, "documents").limit(40)
+    first = docs.first()
+    odd = [(None, first.text), (10**6, None), (10**6 + 1, ""), (first.doc_id, first.text), (10**6 + 2, " ".join(f"w{i}" for i in range(60_000))), (10**6 + 3, "a \n b")]
+    rows = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in odd], docs.schema))
+    rows = rows.withColumns({c: F.lit(7) for c in ("gid", "component_id", "score", "passages", "h1", "n_removed", "item_ids", "start", "n_shingles")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = [c for c in rows.columns if c != "n_removed"]
+        rows = written(stage(spark, rows, SF), name)
+        assert set(kept) <= set(rows.columns), name
+        left = {r.doc_id for r in rows.select("doc_id").collect()}
+        assert {10**6, 10**6 + 1, 10**6 + 2} <= left and None in left, name
+    pieces = written(corpus_pipeline.STAGES[-1][1](spark, rows, SF), "packing")
+    assert {10**6, 10**6 + 1} <= {r.doc_id for r in pieces.where("doc_tokens = 1").collect()}
+    long = pieces.where(f"doc_id = {10**6 + 2}").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).first()
+    assert long.n == long.t > 60_000

@@ -43,3 +43,12 @@ def test_long_text_and_empty_table(spark):
     row = quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (row.n_words, row.n_repeat_words, row.kept) == (120_000, 0, True)
     assert quality(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_columns_named_like_temporary_ones(spark):
+    """Columns of the caller named like any that the projection makes on its way stay as they are."""
+    names = ["__t", "__w", "__flat", "__p", "___t", "n_lines"]
+    docs = spark.createDataFrame([(1, "the word and the word " * 20, *range(6))], ["doc_id", "text", *names])
+    row, plainly = quality(docs).first(), quality(docs.select("doc_id", "text")).first()
+    assert [row[n] for n in names[:-1]] == [0, 1, 2, 3, 4]
+    assert all(row[n] == plainly[n] for n in ("n_words", "n_repeat_words", "n_lines", "kept", "failed_rules"))
