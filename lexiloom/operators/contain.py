@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.session import materialized
@@ -11,16 +14,30 @@ from lexiloom.session import materialized
 SIZES = (6, 3, 1)
 
 
-def _pieces(text: Column, size: int) -> Column:
-    """The different pieces of `size` code points of a text."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, F.lit(size))))
+#: Rows of pieces that a task sends at once.
+SEND_ROWS = 50_000
 
 
 def _exploded(texts: DataFrame, text: str, sizes: list[int]) -> DataFrame:
-    """(__h, piece) of each different piece of each text, by the text's hash: texts themselves aren't repeated. Pieces have the given sizes."""
-    none = F.array().cast("array<string>")
-    found = [F.when(F.length(text) >= size, _pieces(F.col(text), size)).otherwise(none) for size in sizes]
-    return texts.select(F.xxhash64(text).alias("__h"), F.explode(F.concat(*found)).alias("piece"))
+    """(__h, piece) of each different piece of the given sizes of each text, by the text's hash: texts themselves aren't repeated.
+
+    Arrow, as a substring by place begins at the text's start each time in the engine; here a text is cut in linear time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, pieces = [], []
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = {t[i : i + n] for n in sizes for i in range(len(t) - n + 1)}
+                pieces += found
+                hashes += [h] * len(found)
+                if len(pieces) >= SEND_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(pieces, pa.string())], ["__h", "piece"])
+                    hashes, pieces = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(pieces, pa.string())], ["__h", "piece"])
+
+    rows = texts.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("__h"), F.col(text).cast("string").alias("t"))
+    return rows.mapInArrow(run, "__h bigint, piece string")
 
 
 def anchors(parts: DataFrame, part: str, texts: DataFrame, text: str) -> DataFrame:
