@@ -66,9 +66,9 @@ def slo_breaches(requests: Column, p95_ms: Column, error_rate: Column, most_ms:
     """SLO breach rows: array of what was breached; a limit that isn't given isn't checked."""
     checks = []
     if most_ms is not None:
-        checks.append(F.when(p95_ms > most_ms, F.format_string("p95 %.0f ms > %.0f ms", p95_ms.cast("double"), F.lit(float(most_ms)))))
+        checks.append(F.when(p95_ms > most_ms, F.format_string("p95 %.0f ms > %.0f ms", F.bround(p95_ms.cast("double"), 0), F.lit(float(most_ms)))))
     if most_errors is not None:
-        checks.append(F.when(error_rate > most_errors, F.format_string("error rate %.2f%% > %.2f%%", error_rate * 100, F.lit(100.0 * most_errors))))
+        checks.append(F.when(error_rate > most_errors, F.format_string("error rate %.2f%% > %.2f%%", F.bround(error_rate.cast("double") * 100, 2), F.lit(100.0 * most_errors))))
     checks.append(F.when(F.coalesce(requests, F.lit(0)) == 0, F.lit("no requests completed")))
     return F.array_compact(F.array(*checks))
 

@@ -107,12 +107,12 @@ def act_overviews(spark, sf_dir):
     return refs.overviews(a, own)
 
 
-@query(f"""with c as (select doc, act_id, number, part, kind, [((doc + 1) % 40)::varchar, ((doc + 2) % 40)::varchar] as refs from ({CHUNKS})),
+@query(f"""with c as (select doc, act_id, number, part, kind, [((doc + 20) % 40)::varchar, (doc % 40)::varchar] as refs from ({CHUNKS})),
   j as (select a.doc, b.doc as "to", i - 1 as pos from (select doc, act_id, unnest(refs) as number, unnest([1, 2]) as i from c) a join c b using (act_id, number) where a.doc <> b.doc)
   select doc, "to", place from (select *, row_number() over (partition by doc order by pos, "to") as place from j) where place <= 3""")
 def followed_references(spark, sf_dir):
     """Reference following: one hop to the sections that a section names."""
-    own = chunks(spark, sf_dir).withColumn("refs", F.array(((F.col("doc") + 1) % 40).cast("string"), ((F.col("doc") + 2) % 40).cast("string"))).withColumn("act_refs", F.array().cast("array<int>"))
+    own = chunks(spark, sf_dir).withColumn("refs", F.array(((F.col("doc") + 20) % 40).cast("string"), (F.col("doc") % 40).cast("string"))).withColumn("act_refs", F.array().cast("array<int>"))
     return refs.follow_references(own).select("doc", "to", "place")
 
 
