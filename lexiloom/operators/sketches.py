@@ -1,12 +1,14 @@
-"""Mergeable sketches kept by day: distinct counts, quantiles and heavy hitters over any span, without the rows."""
+"""Mergeable sketches kept by day: distinct counts, quantiles and heavy hitters over any span, without the rows; and exact answers that start from them."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.session import materialized
+
 #: log2 of the registers of a distinct sketch; values kept by a quantile sketch; items tracked by a heavy-hitter sketch.
 REGISTERS, VALUES, ITEMS = 16, 4000, 10_000
 
@@ -42,3 +44,41 @@ def error_bounds(n_items: int, registers: int = REGISTERS, values: int = VALUES,
     """What `combined` may be off by: relative for distinct (three standard errors), in rank for quantiles, in occurrences for tops."""
     tracked = 2 ** math.ceil(math.log2(items / 0.75))
     return {"distinct": 3 * 1.04 / 2 ** (registers / 2), "rank": 2.296 / values**0.9723, "tops": 3.5 * n_items / tracked}
+
+
+def tallied(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, column, n): how often each value occurs, nulls left out; summed over tables it is the tally of all."""
+    n = F.sum("n") if "n" in rows.columns else F.count("*")
+    return rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(n.alias("n"))
+
+
+def exact_tops(tally: DataFrame, keys: list[str], item: str, k: int) -> DataFrame:
+    """(keys, distinct, tops) of a tally of items: what distinct and heavy-hitter sketches estimate. tops has rows (item, count), ties by the least item."""
+    w = Window.partitionBy(*keys).orderBy(F.col("n").desc(), item)
+    best = tally.withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= k)
+    tops = best.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", F.col(item).alias("item"), F.col("n").alias("count")))), lambda t: F.struct(t["item"].alias("item"), t["count"].alias("count"))).alias("tops"))
+    return tally.groupBy(*keys).agg(F.count("*").alias("distinct")).join(tops, keys)
+
+
+def exact_quantile(tally: DataFrame, band: DataFrame, keys: list[str], value: str, rank: float) -> DataFrame:
+    """(keys, quantile): the least value with a share of rank of all at or below it, from a tally of values and a band (keys, low, high) that a sketch says it is in.
+
+    Values below the band are only counted, those inside are taken in order, so few rows are sorted. A key whose value turns out to
+    lie outside its band is done again with all its values: the answer never rests on the sketch.
+    """
+    tally = materialized(tally, "tally")
+    band = materialized(band.select(*keys, "low", "high"), "bands")
+    total = tally.groupBy(*keys).agg(F.sum("n").alias("__all")).select(*keys, F.greatest(F.ceil(F.col("__all") * F.lit(rank)), F.lit(1)).alias("__at"))
+
+    def pick(rows: DataFrame, low, high) -> DataFrame:
+        near = rows.where(high.isNull() | (F.col(value) <= high)).withColumn("__v", F.when(low.isNull() | (F.col(value) >= low), F.col(value)))
+        near = near.groupBy(*keys, "__v").agg(F.sum("n").alias("n"))
+        w = Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        upto = near.withColumn("__upto", F.sum("n").over(w)).join(total, keys).where(F.col("__upto") >= F.col("__at"))
+        return upto.groupBy(*keys).agg(F.min_by("__v", "__upto").alias("quantile")).where("quantile is not null")
+
+    found = materialized(pick(tally.join(F.broadcast(band), keys, "left"), F.col("low"), F.col("high")), "quantiles")
+    left = total.join(found, keys, "left_anti")
+    if left.isEmpty():
+        return found
+    return found.unionByName(pick(tally.join(left.select(*keys), keys, "left_semi"), F.lit(None), F.lit(None)))
