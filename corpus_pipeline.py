@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from lexiloom.llm import decontam, jaccard, packing, spans, toxicity
 from lexiloom.llm.common import drop_path, scratch
 from lexiloom.llm.queries import vocabulary
-from lexiloom.session import PLAIN_READS, table
+from lexiloom.session import PLAIN_READS
+from lexiloom.session import large_batches as table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from lexiloom.llm import tokencount as op3
 from lexiloom.llm import toxicity as op5
 from lexiloom.llm import warc as op6
 from lexiloom.llm.common import scratch
-from lexiloom.session import table
+from lexiloom.session import large_batches as table
 
 
 def vocabulary(name: str) -> str:
