@@ -38,6 +38,8 @@ CENTRE_DOCS = 15
 #: Parts of the groups that are divided one after another, so that their working tables are that share of the whole; fewer where
 #: a part would have less than so many rows.
 PARTS, PART_ROWS = 4, 40_000
+#: Of the number beside a signature, the bits for how many of its kind can be left out.
+SPARE_BITS = 20
 CACHE_WORDS = 150_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -96,6 +98,10 @@ class Blocks:
     on each level that a partner of possible size can need. Common n-grams have a block of their own that
     signs nothing, else every two documents with the same boilerplate would meet. Sets with so few other
     n-grams that all alike blocks could be empty sign once more with all n-grams; so, by the same bound, does any partner.
+
+    More than one block is alike: all but those that can differ and those that are empty. So if of the signatures of one
+    level a set leaves out one less than that, the most frequent ones in whatever order is the same for all, its partners over
+    the bound still meet it in the rarest that they share.
     """
 
     num: int
@@ -106,25 +112,35 @@ class Blocks:
         return (a + b) * (self.den - self.num) // (self.den + self.num)
 
     def __call__(self, grams: np.ndarray, common: np.ndarray) -> np.ndarray:
+        return self.signed(grams, common)[0]
+
+    def signed(self, grams: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures, and of each its level and kind with how many of that level and kind can be left out: kind << SPARE_BITS | spare."""
         n = len(grams)
         low, high = self.bound(n, n * self.num // self.den), self.bound(n, n * self.den // self.num)
         if not n or high < 1:  # only equal sets
-            return np.empty(0, np.uint64)
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
         rare = grams
         if len(common):
             at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
             rare = grams[common[at] != grams]
-        out = []
+        out, spare = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+
+        def add(signs: np.ndarray, level: int, kind: int, alike: int) -> None:
+            out.append(signs)
+            spare.append(np.full(len(signs), (level * 4 + kind) << SPARE_BITS | max(0, alike - 1), np.int64))
+
         for level in _levels(low + 1, high + 1):
             blocks = level + self.slack(level)
+            alike = blocks - min(high, level - 1)
             signs, empty = self._sign(rare, level, blocks, 0)
-            out.append(signs)
-            if empty >= blocks - min(high, level - 1):
+            add(signs, level, 0, alike - empty)
+            if empty >= alike:
                 signs, still = self._sign(grams, level, blocks, 1)
-                out.append(signs)
-                if still >= blocks - min(high, level - 1):
-                    out.append(self._empty(grams, level, blocks))
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+                add(signs, level, 1, alike - still)
+                if still >= alike:
+                    add(self._empty(grams, level, blocks), level, 2, 0)
+        return np.concatenate(out), np.concatenate(spare)
 
     @staticmethod
     def slack(level: int) -> int:
@@ -175,15 +191,16 @@ def common_grams(docs: DataFrame, n: int, sample_docs: int = SAMPLE_DOCS, least:
     return np.sort(found.astype(np.int64).view(np.uint64))
 
 
-_ROW = "pk bigint, sig bigint, sig2 bigint, doc bigint, leader bigint, n bigint"
+_ROW = "pk bigint, sig bigint, sig2 bigint, doc bigint, leader bigint, n bigint, spare bigint"
 
 
 def _signatures(docs: DataFrame, n: int, blocks: Blocks, common: np.ndarray) -> DataFrame:
-    """Rows (pk, sig, sig2, doc, leader, n): one with n for each document, and one for each of its signatures.
+    """Rows (pk, sig, sig2, doc, leader, n, spare): one with n for each document, and one for each of its signatures.
 
     Of the documents of a batch with the same signature, the first has no leader and goes by pk = sig; the
     others name it as their leader and need not be sent to where the signature's rows meet. An equal set
     (sig2 is then not 0) later in the batch signs nothing else. So copies are combined before the shuffle.
+    spare is the number of Blocks.signed, doubled, and odd where the document leads others.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
     shingler = Shingler(n)
@@ -193,7 +210,7 @@ def _signatures(docs: DataFrame, n: int, blocks: Blocks, common: np.ndarray) ->
         for batch in (b.slice(i, SIGN_ROWS) for b in batches for i in range(0, b.num_rows, SIGN_ROWS)):
             ids = batch.column(0).to_pylist()
             sizes, equal, first = [], [], {}
-            sigs, docs_of = [], []
+            sigs, spares, docs_of = [], [], []
             for doc, text in zip(ids, binary_column(batch, "text"), strict=True):
                 grams = shingler(text, words)
                 sizes.append(len(grams))
@@ -203,36 +220,38 @@ def _signatures(docs: DataFrame, n: int, blocks: Blocks, common: np.ndarray) ->
                 leader = first.setdefault(digest, doc)
                 equal.append((digest, doc, leader))
                 if leader == doc:
-                    s = blocks(grams, known)
+                    s, spare = blocks.signed(grams, known)
                     sigs.append(s)
+                    spares.append(spare)
                     docs_of.append(np.full(len(s), doc, np.int64))
             spread = mix(batch.column(0).fill_null(0).to_numpy().astype(np.int64).view(np.uint64)).view(np.int64)
-            yield _rows(spread, None, None, ids, None, sizes)
+            yield _rows(spread, None, None, ids, None, sizes, None)
             if equal:
                 parts = np.frombuffer(b"".join(d for d, _, _ in equal), np.int64).reshape(-1, 2)
                 who, lead = np.array([e[1] for e in equal], np.int64), np.array([e[2] for e in equal], np.int64)
                 mine = who != lead
-                yield _rows(np.where(mine, mix(who.view(np.uint64)).view(np.int64), parts[:, 0]), parts[:, 0], parts[:, 1] | 1, who, pa.array(lead, mask=~mine), None)
+                yield _rows(np.where(mine, mix(who.view(np.uint64)).view(np.int64), parts[:, 0]), parts[:, 0], parts[:, 1] | 1, who, pa.array(lead, mask=~mine), None, None)
             if any(map(len, sigs)):
                 sig, who = np.concatenate(sigs), np.concatenate(docs_of)
                 order = np.argsort(sig, kind="stable")
-                sig, who = sig[order], who[order]
+                sig, who, spare = sig[order], who[order], np.concatenate(spares)[order]
                 start = np.concatenate(([True], sig[1:] != sig[:-1]))
                 lead = who[np.flatnonzero(start)][np.cumsum(start) - 1]
                 drop = ~start & (lead == who)
-                sig, who, lead, start = sig[~drop], who[~drop], lead[~drop], start[~drop]
+                sig, who, lead, start, spare = sig[~drop], who[~drop], lead[~drop], start[~drop], spare[~drop]
+                spare = 2 * spare + (start & ~np.append(start[1:], True))
                 for i in range(0, len(sig), SEND_ROWS):
                     cut = slice(i, i + SEND_ROWS)
                     pk = np.where(start[cut], sig[cut], mix(who[cut].view(np.uint64) + sig[cut])).view(np.int64)
-                    yield _rows(pk, sig[cut].view(np.int64), np.zeros(len(pk), np.int64), who[cut], pa.array(lead[cut], mask=start[cut]), None)
+                    yield _rows(pk, sig[cut].view(np.int64), np.zeros(len(pk), np.int64), who[cut], pa.array(lead[cut], mask=start[cut]), None, spare[cut])
 
     return _texts(docs).mapInArrow(trimmed(sign), _ROW)
 
 
-def _rows(pk, sig, sig2, doc, leader, n) -> pa.RecordBatch:
+def _rows(pk, sig, sig2, doc, leader, n, spare) -> pa.RecordBatch:
     size = len(pk)
     column = lambda x: pa.nulls(size, pa.int64()) if x is None else x if isinstance(x, pa.Array) else pa.array(x, pa.int64())
-    return pa.RecordBatch.from_arrays([column(x) for x in (pk, sig, sig2, doc, leader, n)], [x.split()[0] for x in _ROW.split(", ")])
+    return pa.RecordBatch.from_arrays([column(x) for x in (pk, sig, sig2, doc, leader, n, spare)], [x.split()[0] for x in _ROW.split(", ")])
 
 
 def document_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -375,6 +394,23 @@ def _left_to_try(docs: DataFrame, groups: DataFrame, n: int, num: int, den: int)
     return known, union(pairs).distinct(), union(links).distinct()
 
 
+def _several(tagged: DataFrame) -> DataFrame:
+    """The rows (sig, doc, component, spare) of signatures in several components, with k rows of which gid is the least doc."""
+    heads = tagged.groupBy("sig").agg(F.min("doc").alias("gid"), F.count("*").alias("k"), F.min("component").alias("c1"), F.max("component").alias("c2"))
+    return _beside(tagged, heads.where("c1 <> c2").select("sig", "gid", "k"), ["sig"])
+
+
+def _rarest(shared: DataFrame) -> DataFrame:
+    """Without the most frequent signatures (sig, doc, component, spare, k) of each document, as many as it can spare of each kind.
+
+    The k of a signature and then its number are an order that is the same for all. Signatures in one component only, which are not
+    here, count as the rarest. A document of two texts spares as many as the text that can spare less.
+    """
+    kind = Window.partitionBy("doc", F.shiftright("spare", SPARE_BITS))
+    placed = shared.withColumn("i", F.row_number().over(kind.orderBy(F.desc("k"), "sig"))).withColumn("least", F.min("spare").over(kind))
+    return placed.where(F.col("i") > F.col("least").bitwiseAND((1 << SPARE_BITS) - 1)).select("sig", "doc", "component", "spare")
+
+
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text): classes of links with Jaccard num/den or more.
 
@@ -386,7 +422,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     1. Signatures (see Blocks) give each document a few keys; documents over the bound share one.
     2. Where a key's rows meet, each is paired with the least document only, not with all: as many pairs as rows.
     3. Overlaps of these pairs are counted and held against the bound; those that reach it are links.
-    4. Only pairs of one key in different components are left to try, see _divide.
+    4. Only pairs of one key in different components are left to try. Of a document's keys the most frequent are left out, as
+       many as Blocks allows, else groups would grow with the table by n-grams that are not common enough for common_grams; then see _divide.
     So every pair over the bound is a link or lies in one component, and a group of near copies costs as
     many pairs as it has members.
     """
@@ -403,8 +440,8 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     rows = _signatures(docs, n, blocks, common_grams(docs, n))
     w = Window.partitionBy("pk", "sig", "sig2")
     rows = rows.withColumn("head", F.min("doc").over(w)).withColumn("k", F.count("*").over(w))
-    rows = rows.where("n is not null or leader is not null or k > 1")
-    rows = written(rows.select("sig", "sig2", "doc", F.coalesce("leader", "head").alias("head"), "n"), "signatures")
+    rows = rows.where("n is not null or leader is not null or k > 1 or spare % 2 = 1")
+    rows = written(rows.select("sig", "sig2", "doc", F.coalesce("leader", "head").alias("head"), "n", F.shiftright("spare", 1).alias("spare")), "signatures")
     keyed = rows.where("n is null").select("sig", "sig2", "doc", "head")
     pairs = keyed.where("doc <> head").select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b"), (F.col("sig2") != 0).alias("equal"))
     pairs = written(pairs.groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs")
@@ -414,10 +451,10 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     parts = components(links)
 
     # all rows of a key, each with its component so far; the rows of equal sets need no second look
-    tagged = keyed.where("sig2 = 0").select("sig", "doc").union(keyed.where("sig2 = 0").select("sig", F.col("head").alias("doc"))).distinct()
+    tagged = rows.where("n is null and sig2 = 0").groupBy("sig", "doc").agg(F.min("spare").alias("spare"))
     tagged = written(tagged.join(parts.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "tagged")
-    heads = tagged.groupBy("sig").agg(F.min("doc").alias("gid"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("sig", "gid")
-    groups = written(_beside(tagged, heads, ["sig"]).select("gid", "doc", "component", F.lit(False).alias("whole")).distinct(), "groups")
+    rarest = written(_rarest(_several(tagged)), "rarest")
+    groups = written(_several(rarest).select("gid", "doc", "component", F.lit(False).alias("whole")).distinct(), "groups")
     if not groups.isEmpty():
         known, more, sure = _left_to_try(docs, groups, n, num, den)
         more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")

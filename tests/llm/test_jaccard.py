@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from lexiloom.llm.jaccard import Blocks, Shingler, _Words, jaccard_classes, keep_one
+from lexiloom.llm.jaccard import SPARE_BITS, Blocks, Shingler, _rarest, _Words, jaccard_classes, keep_one
 
 
 def brute(rows, n, num, den):
@@ -130,3 +130,40 @@ def test_groups_within_groups(spark, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
     assert got == brute(rows, 3, 90, 100)
     assert 1 < len({c for _, c in got.values()})
+
+
+def test_sets_over_the_bound_meet_in_what_is_not_spared():
+    """Whatever is most frequent: with random orders of the signatures, each set without as many of a kind as it can spare."""
+    rng = np.random.default_rng(6)
+    most = 0
+
+    def kept(found, order):
+        nonlocal most
+        signs, spare = found
+        out = []
+        for kind in np.unique(spare):
+            own = signs[spare == kind]
+            free = int(kind) & ((1 << SPARE_BITS) - 1)
+            most = max(most, free)
+            out.append(own[np.argsort(-((own ^ order) * np.uint64(0x9E3779B97F4A7C15)).astype(float))][free:])
+        return np.concatenate(out)
+
+    for num in (80, 90):
+        blocks = Blocks(num, 100)
+        for _ in range(600):
+            a = np.unique(rng.integers(0, 2**64, rng.integers(1, 400), dtype=np.uint64))
+            b = a[rng.random(len(a)) > rng.choice([0.02, 0.1, 0.15])]
+            b = np.unique(np.concatenate((b, rng.integers(0, 2**64, int(len(a) * rng.choice([0, 0.02, 0.1])), dtype=np.uint64))))
+            common = np.sort(a[rng.random(len(a)) > rng.choice([0, 0.5, 1])])
+            over, order = len(np.intersect1d(a, b)), rng.integers(0, 2**64, dtype=np.uint64)
+            if len(b) and 100 * over >= num * (len(a) + len(b) - over) and over < max(len(a), len(b)):
+                assert np.intersect1d(kept(blocks.signed(a, common), order), kept(blocks.signed(b, common), order)).size
+    assert most >= 10
+
+
+def test_the_most_frequent_signatures_make_no_group(spark):
+    """A signature that all of a table have, beside rarer ones, pairs nobody where a document can spare one."""
+    kind = 7 << SPARE_BITS
+    rows = [(1, d, d, kind | 1, 100) for d in range(100)] + [(2 + d // 2, d, d, kind | 1, 2) for d in range(100)] + [(1, 100, 100, kind, 100)]
+    got = _rarest(spark.createDataFrame(rows, "sig long, doc long, component long, spare long, k long")).collect()
+    assert sorted((r.sig, r.doc) for r in got) == sorted([(1, 100)] + [(2 + d // 2, d) for d in range(100)])
