@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +18,6 @@ from lexiloom.llm.common import UNSPACED, binary_column, trimmed, written
 #: Words are hashed to so many features; counts, basis and projection all have this fixed size.
 FEATURES = 1 << 16
 RANK, OVERSAMPLE = 64, 8
-#: About so many passages that the basis is fitted on beside the items. Document frequencies count all.
-SAMPLE_PASSAGES = 20_000
 PASSAGE = 64
 #: The least number of words of a window that items are looked for in; others are twice, four times, ... as long.
 LEAST_WINDOW = 16
@@ -30,12 +27,22 @@ LEAST_COSINE, LEAST_COMMON, LEAST_ANSWER = 0.35, 0.6, 0.25
 ANSWER_WORDS = 8
 #: Items with fewer words are searched for word for word only.
 LEAST_WORDS = 8
-#: Items searched for in one pass over the documents, and the most that the basis is fitted on.
-BLOCK_ITEMS, FIT_ITEMS = 10_000, 10_000
-CACHE_WORDS = 150_000
+#: Items searched for in one pass over the documents.
+BLOCK_ITEMS = 10_000
+#: Bytes of a text that are hashed at a time, or to the end of a word; words of many texts whose passages are counted or multiplied at a time.
+PIECE, HELD_WORDS = 1 << 18, 30_000
+#: Features whose rows of a product travel as one.
+FEATURE_ROWS = 64
 #: Rows of a tall matrix that are copied, sent or factored at a time, and words of a text whose vectors are held at a time.
 BLOCK_ROWS = 8192
 _EDGE = b".,;:!?\"'()[]"
+_BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
+_IS_BLANK = np.array([_BLANK.match(bytes([b])) is not None for b in range(256)])
+_IS_INNER = ~_IS_BLANK & np.array([b not in _EDGE for b in range(256)])
+#: Of each byte, without case, a number to multiply.
+_VALUE = np.array([bytes([b]).lower()[0] + 1 for b in range(256)], np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _UNIT = re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
 _UNIT_EDGE = _EDGE.decode() + "\u3001\u3002\uff0c\uff0e\uff01\uff1f\uff1a\uff1b\uff08\uff09\u300c\u300d\u300e\u300f\u2026\u201c\u201d\u2018\u2019\u00ab\u00bb\u00bf\u00a1"
 #: So many first units of a short item are looked up at once.
@@ -55,53 +62,91 @@ def units(text: bytes) -> list[str]:
     return [u for w in _UNIT.findall(text.decode("utf-8", "replace").lower()) if (u := w.strip(_UNIT_EDGE))]
 
 
-class Codes(dict):
-    """The feature of a word as it stands in a text. The first CACHE_WORDS words are kept, and with them most frequent ones."""
+class Codes:
+    """Features of words without case and marks around them: a polynomial in their bytes modulo 2**64, mixed.
 
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(bare(word)) % FEATURES
-        if len(self) < CACHE_WORDS:
-            self[word] = found
-        return found
+    The polynomials of all words of a text come from one running sum over its bytes.
+    """
+
+    def __init__(self):
+        self.powers = self.inverse = np.empty(0, np.uint64)
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        """The features of tokens(text)."""
+        out, at, text = [np.empty(0, np.int64)], 0, text or b""
+        while at < len(text):
+            found = _BLANK.search(text, at + PIECE) if at + PIECE < len(text) else None
+            end = found.start() if found else len(text)
+            data = np.frombuffer(text, np.uint8, end - at, at)
+            edges = np.flatnonzero(np.diff(np.concatenate(([True], _IS_BLANK[data], [True]))))
+            out.append(self._hashed(data, edges[::2], edges[1::2]))
+            at = end
+        return out[1] if len(out) == 2 else np.concatenate(out)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        return self._hashed(np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], ends[:-1])) if len(ends) else ends, ends)
+
+    def _hashed(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = len(data)
+        if size > len(self.powers):
+            self.powers = np.cumprod(np.full(max(size, 1 << 14), _BASE, np.uint64))
+            self.inverse = np.cumprod(np.full(len(self.powers) + 1, pow(_BASE, -1, 1 << 64), np.uint64))
+        inner = _IS_INNER[data]
+        at, before = np.flatnonzero(inner), np.zeros(size + 1, np.int64)
+        np.cumsum(inner, out=before[1:])
+        low, high = before[begin], before[end]
+        h = np.zeros(len(begin), np.uint64)
+        full = np.flatnonzero(low < high)
+        first, last = at[low[full]], at[high[full] - 1] + 1
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_VALUE[data] * self.powers[:size], out=sums[1:])
+        h[full] = (sums[last] - sums[first]) * self.inverse[first]
+        h = (h ^ (h >> np.uint64(30))) * _M1
+        h = (h ^ (h >> np.uint64(27))) * _M2
+        return ((h >> np.uint64(32)) % np.uint64(FEATURES)).astype(np.int64)
 
 
 def _texts(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.col("text").cast("string").cast("binary").alias("text"))
 
 
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(passage, feature, how often) of the passages of PASSAGE words of some texts at a time, by passage; and how many passages these are."""
+    codes = Codes()
+    held: list[np.ndarray] = []
+    size = base = 0
+
+    def taken() -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        keys = np.sort(np.concatenate(held))
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        out = keys[first] // FEATURES, keys[first] % FEATURES, np.diff(np.append(first, len(keys))), base
+        held.clear()
+        return out
+
+    for batch in batches:
+        for text in binary_column(batch, "text"):
+            found = codes(text)
+            for i in range(0, len(found), HELD_WORDS // PASSAGE * PASSAGE):
+                part = found[i : i + HELD_WORDS // PASSAGE * PASSAGE]
+                held.append((base + np.arange(len(part)) // PASSAGE) * FEATURES + part)
+                base += -(-len(part) // PASSAGE)
+                size += len(part)
+                if size > HELD_WORDS:
+                    yield taken()
+                    size = base = 0
+    if held:
+        yield taken()
+
+
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """In how many passages of PASSAGE words each feature occurs, and how many passages there are, over all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, total, passages = Codes(), np.zeros(FEATURES, np.int64), 0
-        held, size = [], 0
-
-        def add() -> None:
-            """Words of many texts, as place * FEATURES + feature: each pair of passage and feature counts once."""
-            nonlocal total, size
-            if held:
-                keys = np.sort(np.concatenate(held))
-                first = np.concatenate(([True], keys[1:] != keys[:-1]))
-                total += np.bincount(keys[first] % FEATURES, minlength=FEATURES)
-            held.clear()
-            size = 0
-
-        for batch in batches:
-            base = 0
-            for text in binary_column(batch, "text"):
-                words = tokens(text or b"")
-                if words:
-                    place = np.arange(len(words)) // PASSAGE
-                    held.append((base + place) * FEATURES + codes.of(words))
-                    base += int(place[-1]) + 1
-                    passages += int(place[-1]) + 1
-                    size += len(words)
-                    if size > 100_000:
-                        add()
-            add()
+        total, passages = np.zeros(FEATURES, np.int64), 0
+        for _, feature, _, n in _passages(batches):
+            total += np.bincount(feature, minlength=FEATURES)
+            passages += n
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(total[found], passages))], ["feature", "n"])
 
@@ -119,36 +164,26 @@ def _weights(codes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return f, w / norm if norm else w
 
 
-def fit_basis(docs: DataFrame, items: list[list[bytes]], idf: np.ndarray, passages: int, rank: int = RANK, sample: int = SAMPLE_PASSAGES) -> np.ndarray:
-    """FEATURES x rank: right singular vectors of the TF-IDF passages, by a randomised range finder.
+def fit_basis(docs: DataFrame, items: list[list[bytes]], idf: np.ndarray, passages: int, rank: int = RANK) -> np.ndarray:
+    """FEATURES x rank: right singular vectors of the TF-IDF passages of all rows and of the items, by Nystroem's method.
 
-    Rows are the items and the passages of rows drawn with a seed, about `sample` passages however many documents
-    there are. Each of two passes over the sample adds up A'(A X) on the executors, for X random
-    and then for the basis found, a row of sums for each feature that occurs; the driver orthonormalises tall
-    matrices of fixed size.
+    One pass adds up Y = A'(A X) on the executors, for X random with orthonormal columns, in as many sums as there are features. A'A is then
+    about Y (X'Y)^-1 Y', whose eigenvectors come from tall matrices of fixed size, at the driver.
     """
-    spark = docs.sparkSession
-    share = min(1.0, sample / max(1, passages))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
-        for batch in batches:
-            whole = (codes.of(tokens(text or b"")) for text in binary_column(batch, "text"))
-            rows = [c[i : i + PASSAGE] for c in whole for i in range(0, len(c), PASSAGE)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64()))], ["codes"])
-
-    chosen = written(_texts(docs).where(F.rand(7) < share).mapInArrow(trimmed(cut), "codes array<bigint>"), "passages")
     own = Codes()
-    known = [_weights(own.of(words), idf) for words in items]
-    x = np.random.default_rng(7).standard_normal((FEATURES, rank + OVERSAMPLE), np.float32)
-    for _ in range(2):
-        x = _orthonormal(_gram(spark, chosen, known, idf, x))
-    # singular directions inside the range: eigenvectors of X'A'A X
-    total = _gram(spark, chosen, known, idf, x)
-    inner = sum(x[c].T.astype(np.float64) @ total[c] for c in _blocks(len(x)))
-    del total
+    x = _orthonormal(np.random.default_rng(7).standard_normal((FEATURES, rank + OVERSAMPLE), np.float32))
+    y = _gram(docs, [_weights(own.of(words), idf) for words in items], idf, x)
+    inner = sum(x[c].T.astype(np.float64) @ y[c] for c in _blocks(len(x)))
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
-    return (x @ vectors[:, np.argsort(-values)[:rank]].astype(np.float32)).astype(np.float32)
+    sound = values > 1e-6 * max(values[-1], 1e-300)
+    root = (vectors[:, sound] / np.sqrt(values[sound])).astype(np.float32)
+    for c in _blocks(len(x)):
+        x[c, : root.shape[1]] = y[c] @ root
+    x = np.ascontiguousarray(x[:, : root.shape[1]])
+    del y
+    q = _orthonormal(x.copy())
+    inner = sum(q[c].T.astype(np.float64) @ x[c] for c in _blocks(len(x)))
+    return (q @ np.linalg.svd(inner)[0][:, :rank].astype(np.float32)).astype(np.float32)
 
 
 def _blocks(n: int) -> list[slice]:
@@ -167,35 +202,44 @@ def _orthonormal(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _gram(spark: SparkSession, chosen: DataFrame, known: list, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
-    shared = spark.sparkContext.broadcast((idf, x))
+def _gram(docs: DataFrame, known: list, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A'(A x) for the TF-IDF passages of docs and the known rows, each of unit length; a row of sums for FEATURE_ROWS features."""
+    shared = docs.sparkSession.sparkContext.broadcast((idf, x))
+    width = x.shape[1]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, x = shared.value
-        total, seen = np.zeros((FEATURES, x.shape[1]), np.float32), np.zeros(FEATURES, bool)
-        for batch in batches:
-            for codes in batch.column(0):
-                f, w = _weights(np.asarray(codes.as_py(), np.int64), idf)
-                w = w.astype(np.float32)
-                total[f] += np.outer(w, w @ x[f])
-                seen[f] = True
-        found = np.flatnonzero(seen)
-        for c in _blocks(len(found)):
-            yield pa.RecordBatch.from_arrays([pa.array(found[c]), pa.array([total[f].tobytes() for f in found[c]], pa.binary())], ["feature", "row"])
+        total = np.zeros((FEATURES, width), np.float32)
+        for passage, f, k, n in _passages(batches):
+            w = k * idf[f]
+            norms = np.sqrt(np.bincount(passage, w * w, n))
+            w = (w / np.maximum(norms, 1e-300)[passage]).astype(np.float32)[:, None]
+            products = np.add.reduceat(x[f] * w, np.flatnonzero(np.diff(passage, prepend=-1)))
+            order = np.argsort(f, kind="stable")
+            begin = np.flatnonzero(np.diff(f[order], prepend=-1))
+            total[f[order][begin]] += np.add.reduceat(products[passage[order]] * w[order], begin)
+        blocks = total.reshape(-1, FEATURE_ROWS * width)
+        found = np.flatnonzero(blocks.any(1))
+        for i in range(0, len(found), FEATURE_ROWS):
+            part = found[i : i + FEATURE_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([blocks[b].tobytes() for b in part], pa.binary())], ["block", "rows"])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for f, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                v = np.frombuffer(row, np.float32)
-                total[f] = total[f] + v if f in total else v
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["feature", "row"])
-
-    rows = chosen.mapInArrow(trimmed(add), "feature bigint, row binary").repartition("feature").mapInArrow(trimmed(sums), "feature bigint, row binary").toArrow()
+            for b, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                v = np.frombuffer(rows.as_buffer(), np.float32)
+                total[b] = total[b] + v if b in total else v.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "rows"])
+
+    kind = "block bigint, rows binary"
+    added = docs.select(F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(trimmed(add), kind)
+    rows = added.repartition("block").mapInArrow(trimmed(sums), kind).toArrow()
     shared.destroy()
     out = np.zeros(x.shape, np.float32)
-    for batch in rows.to_batches(max_chunksize=BLOCK_ROWS):
-        out[batch.column(0).to_numpy()] = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, x.shape[1])
+    blocks = out.reshape(-1, FEATURE_ROWS * width)
+    for b, row in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+        blocks[b] = np.frombuffer(row.as_buffer(), np.float32)
     del rows
     for f, w in known:
         out[f] += np.outer(w, w @ x[f])
@@ -248,7 +292,8 @@ def read_items(benchmark: DataFrame, idf: np.ndarray, codes: Codes, short: dict[
             continue
         answer = [w for w in map(bare, tokens((r["answer"] or "").encode())) if w] if has else []
         if not answer:
-            answer = sorted(set(words), key=lambda w: (-idf[codes[w]], w))[:ANSWER_WORDS]
+            rarity = dict(zip(words, idf[codes.of(words)].tolist(), strict=True))
+            answer = sorted(rarity, key=lambda w: (-rarity[w], w))[:ANSWER_WORDS]
         out.append(Item(r["item_id"], words, frozenset(answer)))
     return out
 
@@ -377,9 +422,9 @@ class Matcher:
                         yield int(members[j]), (k + first) * half, window, float(products[k, j] / norms[k])
 
     def leaks(self, text: bytes | None) -> list[tuple[int, float | None, float]]:
-        words = tokens(text or b"")
+        words: list[bytes] | None = None
         best: dict[int, tuple[float | None, float]] = {}
-        features = self.codes.of(words)
+        features = self.codes(text)
         for i, start, window, cosine in self.candidates(features):
             item = self.items[i]
             m, known = len(item.words), best.get(item.id, (0.0, 0.0))[1]
@@ -387,6 +432,7 @@ class Matcher:
             # no more words in common than the stretch has of the item's features
             if known == 1.0 or sum(map(self.features[i].__contains__, features[stretch].tolist())) < LEAST_COMMON * m:
                 continue
+            words = tokens(text) if words is None else words
             part = list(map(bare, words[stretch]))
             if item.answered(part) < LEAST_ANSWER:
                 continue
@@ -399,15 +445,14 @@ class Matcher:
 
 
 def prepare(docs: DataFrame, benchmark: DataFrame) -> list:
-    """A (broadcast) Matcher for each block of the benchmark: document frequencies over all docs, and one basis for all blocks.
-
-    The basis is fitted on at most FIT_ITEMS items, those with the least hash of their id, so answers don't depend on how the
-    benchmark is cut into blocks.
-    """
+    """A (broadcast) Matcher for each block of the benchmark: document frequencies over all docs, and one basis for all blocks,
+    fitted on all rows of both."""
     df, passages = document_frequencies(docs)
     idf = np.log((1.0 + passages) / (1.0 + df)) + 1.0
-    fitted = read_items(benchmark.orderBy(F.xxhash64("item_id"), "item_id", "text").limit(FIT_ITEMS), idf, Codes())
-    basis = fit_basis(docs, [i.words for i in fitted], idf, passages) if fitted else np.zeros((FEATURES, 1), np.float32)
+    text = F.col("text").cast("string").alias("text")
+    basis = np.zeros((FEATURES, 1), np.float32)
+    if not benchmark.isEmpty():
+        basis = fit_basis(docs.select(text).unionByName(benchmark.select(text)), [], idf, passages)
     out = []
     for block in blocks_of(benchmark):
         short: dict[int, tuple[str, ...]] = {}
