@@ -31,6 +31,8 @@ LEAST_WORDS = 8
 BLOCK_ITEMS = 10_000
 #: Bytes of a text that are hashed at a time, or to the end of a word; words of many texts whose passages are counted or multiplied at a time.
 PIECE, HELD_WORDS = 1 << 18, 30_000
+#: Texts are hashed together up to so many bytes.
+TOGETHER = 1 << 15
 #: Features whose rows of a product travel as one.
 FEATURE_ROWS = 64
 #: Rows of a tall matrix that are copied, sent or factored at a time, and words of a text whose vectors are held at a time.
@@ -83,6 +85,24 @@ class Codes:
             at = end
         return out[1] if len(out) == 2 else np.concatenate(out)
 
+    def texts(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        """The features of each text; short ones are hashed together."""
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at] or b"")
+            while end < len(texts) and size + len(texts[end] or b"") < TOGETHER:
+                size += len(texts[end] or b"")
+                end += 1
+            own = [t or b"" for t in texts[at:end]]
+            if len(own) == 1:
+                yield self(own[0])
+            else:
+                ends = np.cumsum([len(t) + 1 for t in own])
+                data = np.frombuffer(b" ".join(own), np.uint8)
+                edges = np.flatnonzero(np.diff(np.concatenate(([True], _IS_BLANK[data], [True]))))
+                yield from np.split(self._hashed(data, edges[::2], edges[1::2]), np.searchsorted(edges[::2], ends[:-1]))
+            at = end
+
     def of(self, words: list[bytes]) -> np.ndarray:
         ends = np.cumsum([len(w) for w in words], dtype=np.int64)
         return self._hashed(np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], ends[:-1])) if len(ends) else ends, ends)
@@ -125,8 +145,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
         return out
 
     for batch in batches:
-        for text in binary_column(batch, "text"):
-            found = codes(text)
+        for found in codes.texts(binary_column(batch, "text")):
             for i in range(0, len(found), HELD_WORDS // PASSAGE * PASSAGE):
                 part = found[i : i + HELD_WORDS // PASSAGE * PASSAGE]
                 held.append((base + np.arange(len(part)) // PASSAGE) * FEATURES + part)
@@ -167,15 +186,21 @@ def _weights(codes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def fit_basis(docs: DataFrame, items: list[list[bytes]], idf: np.ndarray, passages: int, rank: int = RANK) -> np.ndarray:
     """FEATURES x rank: right singular vectors of the TF-IDF passages of all rows and of the items, by Nystroem's method.
 
-    One pass adds up Y = A'(A X) on the executors, for X random with orthonormal columns, in as many sums as there are features. A'A is then
-    about Y (X'Y)^-1 Y', whose eigenvectors come from tall matrices of fixed size, at the driver.
+    One pass adds up Y = A'(A X) on the executors, where X puts each feature into one column drawn for it, with a sign, and so has orthonormal
+    columns; there are as many sums as features. A'A is then about Y (X'Y)^-1 Y', whose eigenvectors come from tall
+    matrices of fixed size, at the driver. `passages` says nothing any more.
     """
-    own = Codes()
-    x = _orthonormal(np.random.default_rng(7).standard_normal((FEATURES, rank + OVERSAMPLE), np.float32))
-    y = _gram(docs, [_weights(own.of(words), idf) for words in items], idf, x)
+    own, rng = Codes(), np.random.default_rng(7)
+    place = rng.integers(0, rank + OVERSAMPLE, FEATURES)
+    value = (rng.choice([-1.0, 1.0], FEATURES) / np.sqrt(np.bincount(place, minlength=rank + OVERSAMPLE))[place]).astype(np.float32)
+    x = np.zeros((FEATURES, rank + OVERSAMPLE), np.float32)
+    x[np.arange(FEATURES), place] = value
+    y = _gram(docs, [_weights(own.of(words), idf) for words in items], idf, place, value)
     inner = sum(x[c].T.astype(np.float64) @ y[c] for c in _blocks(len(x)))
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     sound = values > 1e-6 * max(values[-1], 1e-300)
+    if not sound.any():
+        return np.zeros((FEATURES, 1), np.float32)
     root = (vectors[:, sound] / np.sqrt(values[sound])).astype(np.float32)
     for c in _blocks(len(x)):
         x[c, : root.shape[1]] = y[c] @ root
@@ -202,22 +227,27 @@ def _orthonormal(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _gram(docs: DataFrame, known: list, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """A'(A x) for the TF-IDF passages of docs and the known rows, each of unit length; a row of sums for FEATURE_ROWS features."""
-    shared = docs.sparkSession.sparkContext.broadcast((idf, x))
-    width = x.shape[1]
+def _gram(docs: DataFrame, known: list, idf: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A'(A X) for the TF-IDF passages of docs and the known rows, each of unit length; a row of sums for FEATURE_ROWS features.
+
+    X has `value` in the column `place` of each feature and else nothing.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((idf, place, value))
+    width = int(place.max()) + 1
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, x = shared.value
+        idf, place, value = shared.value
         total = np.zeros((FEATURES, width), np.float32)
         for passage, f, k, n in _passages(batches):
             w = k * idf[f]
             norms = np.sqrt(np.bincount(passage, w * w, n))
-            w = (w / np.maximum(norms, 1e-300)[passage]).astype(np.float32)[:, None]
-            products = np.add.reduceat(x[f] * w, np.flatnonzero(np.diff(passage, prepend=-1)))
-            order = np.argsort(f, kind="stable")
-            begin = np.flatnonzero(np.diff(f[order], prepend=-1))
-            total[f[order][begin]] += np.add.reduceat(products[passage[order]] * w[order], begin)
+            w = w / np.maximum(norms, 1e-300)[passage]
+            products = np.bincount(passage * width + place[f], w * value[f], n * width).astype(np.float32).reshape(n, width)
+            order = np.argsort(f.astype(np.uint32), kind="stable")
+            f, rows = f[order], products[passage[order]]
+            rows *= w[order].astype(np.float32)[:, None]
+            begin = np.flatnonzero(np.diff(f, prepend=-1))
+            total[f[begin]] += np.add.reduceat(rows, begin)
         blocks = total.reshape(-1, FEATURE_ROWS * width)
         found = np.flatnonzero(blocks.any(1))
         for i in range(0, len(found), FEATURE_ROWS):
@@ -236,13 +266,13 @@ def _gram(docs: DataFrame, known: list, idf: np.ndarray, x: np.ndarray) -> np.nd
     added = docs.select(F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(trimmed(add), kind)
     rows = added.repartition("block").mapInArrow(trimmed(sums), kind).toArrow()
     shared.destroy()
-    out = np.zeros(x.shape, np.float32)
+    out = np.zeros((FEATURES, width), np.float32)
     blocks = out.reshape(-1, FEATURE_ROWS * width)
     for b, row in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
         blocks[b] = np.frombuffer(row.as_buffer(), np.float32)
     del rows
     for f, w in known:
-        out[f] += np.outer(w, w @ x[f])
+        out[f] += np.outer(w, np.bincount(place[f], w * value[f], width))
     return out
 
 
@@ -421,10 +451,15 @@ class Matcher:
                         k, j = divmod(x, size)
                         yield int(members[j]), (k + first) * half, window, float(products[k, j] / norms[k])
 
-    def leaks(self, text: bytes | None) -> list[tuple[int, float | None, float]]:
+    def leaks_of(self, texts: list[bytes | None]) -> Iterator[list[tuple[int, float | None, float]]]:
+        """leaks of each text."""
+        for text, features in zip(texts, self.codes.texts(texts), strict=True):
+            yield self.leaks(text, features)
+
+    def leaks(self, text: bytes | None, features: np.ndarray | None = None) -> list[tuple[int, float | None, float]]:
         words: list[bytes] | None = None
         best: dict[int, tuple[float | None, float]] = {}
-        features = self.codes(text)
+        features = self.codes(text) if features is None else features
         for i, start, window, cosine in self.candidates(features):
             item = self.items[i]
             m, known = len(item.words), best.get(item.id, (0.0, 0.0))[1]
@@ -474,7 +509,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _search(docs: DataFrame, matcher, kind: str) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, *leak) for d, text in zip(batch.column(0).to_pylist(), binary_column(batch, "text"), strict=True) for leak in matcher.value.leaks(text)]
+            found = matcher.value.leaks_of(binary_column(batch, "text"))
+            rows = [(d, *leak) for d, leaks in zip(batch.column(0).to_pylist(), found, strict=True) for leak in leaks]
             columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
             kinds = [batch.schema.field(0).type, pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "cosine", "common"])
@@ -505,7 +541,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def keep(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not matcher.value.leaks(t) for t in binary_column(batch, "text")], pa.bool_()))
+                yield batch.filter(pa.array([not leaks for leaks in matcher.value.leaks_of(binary_column(batch, "text"))], pa.bool_()))
 
         out = out.mapInArrow(trimmed(keep), schema)
     return out

@@ -173,3 +173,38 @@ def test_short_items_are_found_word_for_word(spark):
     many = {i: tuple(D.units(f"word {i}".encode())) for i in range(2000)} | {-1: ("a",) * 30}
     assert D.Verbatim(many).items(b"a " * 29 + b"Word 77. word 5000") == {77}
     assert D.Verbatim(many).items(b"A " * 31) == {-1}
+
+
+def test_basis_has_all_rows(spark):
+    """One long row beside 30 short ones: words of each are in the basis, and sums are those of all passages, however rows lie in partitions."""
+    rng = random.Random(8)
+    texts = [" ".join(f"a{d}b{rng.randrange(40)}" for _ in range(70)) for d in range(30)] + [" ".join(f"c{rng.randrange(2000)}" for _ in range(40_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    idf = np.full(D.FEATURES, 2.0)
+    place, value = np.arange(D.FEATURES) % 8, np.linspace(-1, 1, D.FEATURES).astype(np.float32)
+    got = D._gram(docs, [], idf, place, value)
+    codes, want = D.Codes(), np.zeros((D.FEATURES, 8))
+    x = np.zeros((D.FEATURES, 8))
+    x[np.arange(D.FEATURES), place] = value
+    for t in texts:
+        c = codes.of(t.encode().split())
+        for i in range(0, len(c), D.PASSAGE):
+            f, w = D._weights(c[i : i + D.PASSAGE], idf)
+            want[f] += np.outer(w, w @ x[f])
+    assert np.allclose(got, want, atol=1e-3)
+    basis = D.fit_basis(docs, [], idf, 0, rank=40)
+    assert all(np.abs(basis[codes.of(t.encode().split())]).max() > 0 for t in texts)
+
+
+def test_features_of_texts():
+    """Equal for equal words without case and marks around them, however texts are cut and hashed together."""
+    codes, rng = D.Codes(), random.Random(4)
+    texts = [b"", None, b" \n", b'Wor "word", (WORD) w.ord !? \xc3\x84\x0b.x', b"one"] + [b" ".join(bytes(rng.choice(b"aB.c,") for _ in range(rng.randint(1, 9))) for _ in range(n)) for n in (3, 9000, 200_000, 1)]
+    want: dict[bytes, int] = {}
+    for text, got, alone in zip(texts, codes.texts(texts), map(codes, texts), strict=True):
+        words = D.tokens(text or b"")
+        assert got.tolist() == alone.tolist() == codes.of(words).tolist()
+        for w, f in zip(words, got.tolist(), strict=True):
+            assert want.setdefault(D.bare(w), f) == f
+    even = D.FEATURES * (1 - np.exp(-len(want) / D.FEATURES))
+    assert len(want) > 1000 and abs(len(set(want.values())) - even) < 0.02 * even
