@@ -365,10 +365,10 @@ def window_of(words: int) -> int:
 class Matcher:
     """Finds the items of a block in a text: (item, cosine, share in common) of each leak; short items have no cosine.
 
-    Windows of each length stand half a length apart, so one holds three quarters of an item's place at least. The
-    latent vector of every window of a text is held against that of every item of its length: the near pairs, by cosine, are the
-    candidates. Of these the ones with too few words of an answer anywhere around the window go at once, in arrays, and the
-    rest have their words and longest common subsequence compared.
+    Windows of each length stand half a length apart, so one holds three quarters of an item's place at least. Of every window
+    of a text and item of its length, those with enough words of the item's answer anywhere around the window come first, from one
+    lookup of the text's words; only of these is the cosine of the latent vectors computed, and the near pairs are the candidates.
+    They have their words and longest common subsequence compared.
     """
 
     def __init__(self, items: list[Item], idf: np.ndarray, basis: np.ndarray, short: dict[int, tuple[str, ...]] | None = None):
@@ -379,12 +379,12 @@ class Matcher:
         latent = self._unit(np.array([self.rows[f].sum(0) for f in features], np.float32).reshape(len(items), basis.shape[1]))
         windows = np.array([window_of(len(i.words)) for i in items])
         self.features = [frozenset(f.tolist()) for f in features]
-        #: By length of window: the latent vectors of its items as columns. Of each item: the length, and its column there.
+        #: By length of window: the latent vectors of its items. Of each item: the length, and its row there.
         self.windows, self.place, self.scales = windows, np.zeros(len(items), np.int64), {}
         for w in sorted(set(windows.tolist())):
             own = np.flatnonzero(windows == w)
             self.place[own] = np.arange(len(own))
-            self.scales[w] = np.ascontiguousarray(latent[own].T)
+            self.scales[w] = latent[own]
         # by feature, where the items that have it in their answer begin and end in `holders`
         answers = [np.unique(self.codes.of(sorted(i.answer))) for i in items]
         feature, holder = np.concatenate([np.empty(0, np.int64), *answers]), np.repeat(np.arange(len(items)), [len(a) for a in answers])
@@ -422,34 +422,32 @@ class Matcher:
         words of an answer around."""
         if not len(features) or not self.scales:
             return
+        at, item = self._answers(features)
+        if not len(item):
+            return
         half = min(self.scales) // 2
         sums = self._sums(features, half)
-        at, item = self._answers(features)
         for window, latent in self.scales.items():
             while 2 * half < window:
                 sums = np.concatenate((sums, np.zeros((len(sums) % 2, sums.shape[1]), sums.dtype)))
                 sums, half = sums[::2] + sums[1::2], 2 * half
-            windows, size = max(1, len(sums) - 1), latent.shape[1]
-            members, answered = np.flatnonzero(self.windows == window), np.empty(0, np.int64)
-            if len(item) and len(own := np.flatnonzero(self.windows[item] == window)):
-                # the stretch around window k lies in blocks k - 2 to k + 3
-                around = (at[own] // half)[:, None] + np.arange(-3, 3)
-                key = (around * size + self.place[item[own]][:, None])[(around >= 0) & (around < windows)]
-                answered, counts = np.unique(key, return_counts=True)
-                answered = answered[counts >= self.need[members[answered % size]]]
-            step = max(8, (1 << 21) // size)
-            for first in range(0, windows, step):
-                after = min(first + step, windows)
-                vectors = sums[first:after] + sums[first + 1 : after + 1] if len(sums) > 1 else sums
-                norms = np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)
-                products = vectors @ latent
-                near = np.flatnonzero(products >= (LEAST_COSINE * norms)[:, None])
-                key = near + first * size
-                if len(answered) and len(near):
-                    found = np.minimum(np.searchsorted(answered, key), len(answered) - 1)
-                    for x in near[answered[found] == key].tolist():
-                        k, j = divmod(x, size)
-                        yield int(members[j]), (k + first) * half, window, float(products[k, j] / norms[k])
+            own = np.flatnonzero(self.windows[item] == window)
+            if not len(own):
+                continue
+            windows, size = max(1, len(sums) - 1), len(latent)
+            members = np.flatnonzero(self.windows == window)
+            # the stretch around window k lies in blocks k - 2 to k + 3
+            around = (at[own] // half)[:, None] + np.arange(-3, 3)
+            key = (around * size + self.place[item[own]][:, None])[(around >= 0) & (around < windows)]
+            answered, counts = np.unique(key, return_counts=True)
+            answered = answered[counts >= self.need[members[answered % size]]]
+            for first in range(0, len(answered), BLOCK_ROWS):
+                k, n = np.divmod(answered[first : first + BLOCK_ROWS], size)
+                vectors = sums[k] + sums[k + 1] if len(sums) > 1 else sums[k]
+                norms = np.maximum(np.sqrt(np.einsum("ij,ij->i", vectors, vectors)), 1e-12)
+                cosines = np.einsum("ij,ij->i", vectors, latent[n]) / norms
+                for x in np.flatnonzero(cosines >= LEAST_COSINE).tolist():
+                    yield int(members[n[x]]), int(k[x]) * half, window, float(cosines[x])
 
     def leaks_of(self, texts: list[bytes | None]) -> Iterator[list[tuple[int, float | None, float]]]:
         """leaks of each text."""
