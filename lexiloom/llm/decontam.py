@@ -31,6 +31,8 @@ LEAST_WORDS = 8
 BLOCK_ITEMS = 10_000
 #: Bytes of a text that are hashed at a time, or to the end of a word; words of many texts whose passages are counted or multiplied at a time.
 PIECE, HELD_WORDS = 1 << 18, 30_000
+#: As HELD_WORDS, where features by passages are a full matrix.
+GRAM_WORDS = 4096
 #: Texts are hashed together up to so many bytes.
 TOGETHER = 1 << 15
 #: Features whose rows of a product travel as one.
@@ -131,8 +133,9 @@ def _texts(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.col("text").cast("string").cast("binary").alias("text"))
 
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+def _passages(batches: Iterator[pa.RecordBatch], held_words: int = HELD_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """(passage, feature, how often) of the passages of PASSAGE words of some texts at a time, by passage; and how many passages these are."""
+    most = max(1, held_words // PASSAGE) * PASSAGE
     codes = Codes()
     held: list[np.ndarray] = []
     size = base = 0
@@ -146,12 +149,12 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
 
     for batch in batches:
         for found in codes.texts(binary_column(batch, "text")):
-            for i in range(0, len(found), HELD_WORDS // PASSAGE * PASSAGE):
-                part = found[i : i + HELD_WORDS // PASSAGE * PASSAGE]
+            for i in range(0, len(found), most):
+                part = found[i : i + most]
                 held.append((base + np.arange(len(part)) // PASSAGE) * FEATURES + part)
                 base += -(-len(part) // PASSAGE)
                 size += len(part)
-                if size > HELD_WORDS:
+                if size > held_words:
                     yield taken()
                     size = base = 0
     if held:
@@ -237,17 +240,18 @@ def _gram(docs: DataFrame, known: list, idf: np.ndarray, place: np.ndarray, valu
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, place, value = shared.value
-        total = np.zeros((FEATURES, width), np.float32)
-        for passage, f, k, n in _passages(batches):
+        total, row = np.zeros((FEATURES, width), np.float32), np.zeros(FEATURES, np.int64)
+        for passage, f, k, n in _passages(batches, GRAM_WORDS):
             w = k * idf[f]
             norms = np.sqrt(np.bincount(passage, w * w, n))
             w = w / np.maximum(norms, 1e-300)[passage]
             products = np.bincount(passage * width + place[f], w * value[f], n * width).astype(np.float32).reshape(n, width)
-            order = np.argsort(f.astype(np.uint32), kind="stable")
-            f, rows = f[order], products[passage[order]]
-            rows *= w[order].astype(np.float32)[:, None]
-            begin = np.flatnonzero(np.diff(f, prepend=-1))
-            total[f[begin]] += np.add.reduceat(rows, begin)
+            # the passages' own features as rows, so that what they add is one product of small full matrices
+            own = np.flatnonzero(np.bincount(f, minlength=FEATURES))
+            row[own] = np.arange(len(own))
+            weights = np.zeros((len(own), n), np.float32)
+            weights[row[f], passage] = w
+            total[own] += weights @ products
         blocks = total.reshape(-1, FEATURE_ROWS * width)
         found = np.flatnonzero(blocks.any(1))
         for i in range(0, len(found), FEATURE_ROWS):
@@ -366,9 +370,9 @@ class Matcher:
     """Finds the items of a block in a text: (item, cosine, share in common) of each leak; short items have no cosine.
 
     Windows of each length stand half a length apart, so one holds three quarters of an item's place at least. The
-    latent vector of every window of a text is held against that of every item of its length: the near pairs, by cosine, are the
-    candidates. Of these the ones with too few words of an answer anywhere around the window go at once, in arrays, and the
-    rest have their words and longest common subsequence compared.
+    latent vector of a window is held against that of every item of its length: the near pairs, by cosine, are the
+    candidates. A window with too few words of any answer around it can have no leak and no vector is made of it; so go, in arrays, pairs
+    with too few words of the item's own answer. The rest have their words and longest common subsequence compared.
     """
 
     def __init__(self, items: list[Item], idf: np.ndarray, basis: np.ndarray, short: dict[int, tuple[str, ...]] | None = None):
@@ -422,34 +426,42 @@ class Matcher:
         words of an answer around."""
         if not len(features) or not self.scales:
             return
-        half = min(self.scales) // 2
-        sums = self._sums(features, half)
         at, item = self._answers(features)
+        if not len(item):
+            return
+        half = min(self.scales) // 2
+        sums, held = self._sums(features, half), self.windows[item]
         for window, latent in self.scales.items():
             while 2 * half < window:
                 sums = np.concatenate((sums, np.zeros((len(sums) % 2, sums.shape[1]), sums.dtype)))
                 sums, half = sums[::2] + sums[1::2], 2 * half
+            own = np.flatnonzero(held == window)
+            if not len(own):
+                continue
             windows, size = max(1, len(sums) - 1), latent.shape[1]
-            members, answered = np.flatnonzero(self.windows == window), np.empty(0, np.int64)
-            if len(item) and len(own := np.flatnonzero(self.windows[item] == window)):
-                # the stretch around window k lies in blocks k - 2 to k + 3
-                around = (at[own] // half)[:, None] + np.arange(-3, 3)
-                key = (around * size + self.place[item[own]][:, None])[(around >= 0) & (around < windows)]
-                answered, counts = np.unique(key, return_counts=True)
-                answered = answered[counts >= self.need[members[answered % size]]]
-            step = max(8, (1 << 21) // size)
-            for first in range(0, windows, step):
-                after = min(first + step, windows)
-                vectors = sums[first:after] + sums[first + 1 : after + 1] if len(sums) > 1 else sums
+            members = np.flatnonzero(self.windows == window)
+            # the stretch around window k lies in blocks k - 2 to k + 3
+            around = (at[own] // half)[:, None] + np.arange(-3, 3)
+            key = (around * size + self.place[item[own]][:, None])[(around >= 0) & (around < windows)]
+            key.sort()
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+            answered = key[first]
+            answered = answered[np.diff(np.append(first, len(key))) >= self.need[members[answered % size]]]
+            if not len(answered):
+                continue
+            # vectors are made of the windows that have an answer only; of these all products are, as before
+            asked, begin = np.unique(answered // size, return_index=True)
+            begin, step = np.append(begin, len(answered)), max(8, (1 << 21) // size)
+            for i in range(0, len(asked), step):
+                k = asked[i : i + step]
+                vectors = sums[k] + sums[k + 1] if len(sums) > 1 else sums[k]
                 norms = np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)
                 products = vectors @ latent
-                near = np.flatnonzero(products >= (LEAST_COSINE * norms)[:, None])
-                key = near + first * size
-                if len(answered) and len(near):
-                    found = np.minimum(np.searchsorted(answered, key), len(answered) - 1)
-                    for x in near[answered[found] == key].tolist():
-                        k, j = divmod(x, size)
-                        yield int(members[j]), (k + first) * half, window, float(products[k, j] / norms[k])
+                pairs = answered[begin[i] : begin[i + len(k)]]
+                row, column = np.searchsorted(k, pairs // size), pairs % size
+                cosines = products[row, column] / norms[row]
+                for x in np.flatnonzero(cosines >= LEAST_COSINE).tolist():
+                    yield int(members[column[x]]), int(k[row[x]]) * half, window, float(cosines[x])
 
     def leaks_of(self, texts: list[bytes | None]) -> Iterator[list[tuple[int, float | None, float]]]:
         """leaks of each text."""

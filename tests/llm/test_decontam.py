@@ -208,3 +208,16 @@ def test_features_of_texts():
             assert want.setdefault(D.bare(w), f) == f
     even = D.FEATURES * (1 - np.exp(-len(want) / D.FEATURES))
     assert len(want) > 1000 and abs(len(set(want.values())) - even) < 0.02 * even
+
+
+def test_a_text_without_words_of_answers_is_not_multiplied(monkeypatch):
+    """No vectors are made of a text in which no item has enough of its answer; one that has is found as before."""
+    rng = np.random.default_rng(4)
+    words = [f"word{i}".encode() for i in range(40)]
+    items = [D.Item(1, words[:20], frozenset(words[:8])), D.Item(2, words[20:], frozenset(words[20:28]))]
+    matcher = D.Matcher(items, np.ones(D.FEATURES), rng.standard_normal((D.FEATURES, 8)).astype(np.float32))
+    others = [f"other{i}".encode() for i in range(100)]
+    leak = b" ".join(others[:50] + words[:20] + others[50:])
+    assert [i for i, *_ in matcher.leaks(leak)] == [1]
+    monkeypatch.setattr(D.Matcher, "_sums", None)
+    assert matcher.leaks(b" ".join(others + words[8:12])) == []
