@@ -33,6 +33,10 @@ BROADCAST_KEYS = 200_000
 FEW = 16
 #: Up to so many documents that share an uncommon difference from their group are paired.
 SMALL = 8
+#: Up to so many documents that share an uncommon n-gram, of those that can be over the bound by it, are paired; more are divided.
+MEET = 64
+#: Sizes of sets of one class differ by this factor at most.
+CLASS = 1.05
 #: About so many documents of a group, by hash, say which n-grams its centre has.
 CENTRE_DOCS = 15
 #: Parts of the groups that are divided one after another, so that their working tables are that share of the whole; fewer where
@@ -373,10 +377,49 @@ def _divide(known: DataFrame, groups: DataFrame, num: int, den: int) -> tuple[Da
     return tried.union(shared).distinct(), sure.distinct(), further
 
 
+def _meet(known: DataFrame, members: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs to try, groups of _divide) of members (doc, component): every pair over the bound in different components is in one of them.
+
+    The n-grams of all members are put in one order: first those that members of one component only have, then the others by how
+    many have them. In it a pair over the bound of n and m n-grams shares a first n-gram, which both components have and from which on each of the
+    two has num (n + m)/(den + num) n-grams at least, all of them of several components. Most documents have too few of these; an n-gram of the others is kept
+    where a document of another component and of a size that goes with its own is there, as the least size and the most n-grams of each
+    class of sizes tell. So neither makes more rows than there are n-grams. What is left of an n-gram is paired where MEET documents have it at most.
+    """
+    own = known.select(F.col("doc_id").alias("doc"), F.col("grams").alias("x"))
+    rows = members.join(own, "doc").select("doc", "component", F.size("x").cast("long").alias("n"), F.explode("x").alias("key"))
+    seen = rows.groupBy("key").agg(F.count("*").alias("f"), F.min("component").alias("c1"), F.max("component").alias("c2"))
+    document = Window.partitionBy("doc")
+    placed = _beside(rows, seen.where("c1 <> c2").select("key", "f"), ["key"], keep=True)
+    placed = placed.withColumn("rest", F.count("*").over(document) - F.row_number().over(document.orderBy("f", "key")) + 1)
+    placed = placed.where(f"{den + num} * rest >= {num} * (n + ceil({num} * n / {den}))").withColumn("class", F.floor(F.log("n") / math.log(CLASS)))
+    placed = written(placed.drop("f"), "placed")
+
+    classes = placed.groupBy("key", "class").agg(F.min("n").alias("m"), F.max("n").alias("most"), F.max("rest").alias("rest2"), F.min("component").alias("c1"), F.max("component").alias("c2"))
+    goes = f"(c1 <> component or c2 <> component) and {den + num} * least(rest, rest2) >= {num} * (n + m) and {den} * n >= {num} * m and {den} * most >= {num} * n"
+    placed = written(placed.join(classes.drop("class").withColumnRenamed("key", "other"), F.expr(f"key = other and {goes}"), "left_semi"), "placed")
+    keys = placed.groupBy("key").agg(
+        F.count("*").alias("k"), F.min("component").alias("c1"), F.max("component").alias("c2"),
+        F.bit_xor(F.xxhash64("doc", "n")).alias("x1"), F.sum(F.shiftright(F.xxhash64(F.lit(3), "doc", "n"), 24)).alias("x2"), F.sum("rest").alias("rests"),
+    ).where("c1 <> c2")
+    # of n-grams with the same documents the first, from which on each has most
+    keys = keys.groupBy("k", "x1", "x2").agg(F.max(F.struct("rests", "key")).alias("first")).select("k", F.col("first.key").alias("key"))
+    placed = written(_beside(placed, keys, ["key"]), "placed")
+    small = placed.where(F.col("k") <= MEET)
+    others = small.select("key", F.col("doc").alias("d"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("rest").alias("rest2"))
+    tried = small.join(others, "key").where(f"d < doc and c <> component and {den + num} * least(rest, rest2) >= {num} * (n + m) and {den} * least(n, m) >= {num} * greatest(n, m)")
+    large = placed.where(F.col("k") > MEET).select(F.col("key").alias("gid"), "doc", "component", F.lit(False).alias("whole"))
+    return tried.selectExpr(*_ORDERED).distinct(), large.distinct()
+
+
 def _left_to_try(docs: DataFrame, groups: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sets, pairs to try, sure links) for groups (gid, doc, component), by rounds of _divide until no group is left."""
-    known = written(document_sets(docs, groups.select(F.col("doc").alias("doc_id")).distinct(), n), "sets")
-    pairs, links = [], []
+    """(sets, pairs to try, sure links) for groups (gid, doc, component), by _meet and then by rounds of _divide until no group is left."""
+    members = written(groups.select("doc", "component").distinct(), "members")
+    known = written(document_sets(docs, members.select(F.col("doc").alias("doc_id")).distinct(), n), "sets")
+    with passing(docs.sparkSession):
+        tried, groups = _meet(known, members, num, den)
+        pairs, links = [written(tried, "pairs", keep=True)], []
+        groups = written(groups, "groups", keep=True)
     while rows := groups.count():
         parts, left = max(1, min(PARTS, rows // PART_ROWS)), []
         for part in range(parts):

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from lexiloom.llm.jaccard import SPARE_BITS, Blocks, Shingler, _rarest, _Words, jaccard_classes, keep_one
+from lexiloom.llm.jaccard import SPARE_BITS, Blocks, Shingler, _meet, _rarest, _Words, jaccard_classes, keep_one
 
 
 def brute(rows, n, num, den):
@@ -167,3 +167,46 @@ def test_the_most_frequent_signatures_make_no_group(spark):
     rows = [(1, d, d, kind | 1, 100) for d in range(100)] + [(2 + d // 2, d, d, kind | 1, 2) for d in range(100)] + [(1, 100, 100, kind, 100)]
     got = _rarest(spark.createDataFrame(rows, "sig long, doc long, component long, spare long, k long")).collect()
     assert sorted((r.sig, r.doc) for r in got) == sorted([(1, 100)] + [(2 + d // 2, d) for d in range(100)])
+
+
+@pytest.mark.parametrize("most", [64, 3])
+def test_pairs_over_the_bound_meet(spark, monkeypatch, most):
+    """Sets that share passages: each pair over the bound in different components is tried or in a group that is divided, few others are."""
+    monkeypatch.setattr("lexiloom.llm.jaccard.MEET", most)
+    rng = random.Random(17)
+    passages = [[rng.getrandbits(60) for _ in range(rng.choice([15, 40]))] for _ in range(6)]
+    sets = []
+    for _ in range(150):
+        own = [rng.getrandbits(60) for _ in range(rng.choice([2, 10, 40]))]
+        sets.append({*own, *(g for p in passages if rng.random() < 0.4 for g in p)})
+        if rng.random() < 0.4:
+            sets.append({*list(sets[-1])[rng.choice([0, 1, 3]) :], *(rng.getrandbits(60) for _ in range(rng.choice([0, 2])))})
+    sets = [s or {1} for s in sets]
+    component = [i - rng.randrange(2) * (i % 5 == 1) for i in range(len(sets))]
+    known = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "doc_id long, grams array<long>")
+    tried, large = _meet(known, spark.createDataFrame(list(enumerate(component)), "doc long, component long"), 80, 100)
+    tried, groups = {(r.a, r.b) for r in tried.collect()}, {}
+    for r in large.collect():
+        groups.setdefault(r.gid, []).append(r.doc)
+    over = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if component[a] != component[b] and over(a, b)}
+    assert len(want) > 20
+    assert all(p in tried or any(p[0] in g and p[1] in g for g in groups.values()) for p in want)
+    assert len(tried) < 6 * len(want)
+
+
+def test_a_shared_passage_pairs_nobody(spark):
+    """Documents with much of their text in common, but not enough for a link: no pair and no group, however many there are."""
+    sets = [(d, [*range(70), *range(1000 * (d + 1), 1000 * (d + 1) + 30)]) for d in range(200)]
+    known = spark.createDataFrame(sets, "doc_id long, grams array<long>")
+    tried, large = _meet(known, spark.createDataFrame([(d, d) for d in range(200)], "doc long, component long"), 80, 100)
+    assert tried.isEmpty() and large.isEmpty()
+
+
+def test_what_many_share_is_divided(spark, monkeypatch):
+    """With no n-gram few enough for pairs, the rounds of groups give the same classes."""
+    monkeypatch.setattr("lexiloom.llm.jaccard.MEET", 0)
+    monkeypatch.setattr("lexiloom.llm.jaccard.FEW", 0)
+    rows = corpus(6)
+    got = jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 90, 100)
