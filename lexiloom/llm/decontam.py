@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.common import UNSPACED, binary_column, trimmed, written
 
-#: Words are hashed to so many features; counts, basis and projection all have this fixed size.
+#: Words are hashed to so many features, a power of two; counts, basis and projection all have this fixed size.
 FEATURES = 1 << 16
 RANK, OVERSAMPLE = 64, 8
 PASSAGE = 64
@@ -34,7 +34,9 @@ PIECE, HELD_WORDS = 1 << 18, 30_000
 #: As HELD_WORDS, where features by passages are a full matrix.
 GRAM_WORDS = 4096
 #: Texts are hashed together up to so many bytes.
-TOGETHER = 1 << 15
+TOGETHER = 1 << 16
+#: Texts are searched together up to HELD_WORDS words and so many pairs of text and item; so many pairs of window and item are multiplied at a time.
+HELD_PAIRS, BLOCK_PAIRS = 1 << 20, 1 << 14
 #: Features whose rows of a product travel as one.
 FEATURE_ROWS = 64
 #: Rows of a tall matrix that are copied, sent or factored at a time, and words of a text whose vectors are held at a time.
@@ -43,8 +45,8 @@ _EDGE = b".,;:!?\"'()[]"
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 _IS_BLANK = np.array([_BLANK.match(bytes([b])) is not None for b in range(256)])
 _IS_INNER = ~_IS_BLANK & np.array([b not in _EDGE for b in range(256)])
-#: Of each byte, without case, a number to multiply.
-_VALUE = np.array([bytes([b]).lower()[0] + 1 for b in range(256)], np.uint64)
+#: Tables for bytes.translate: of each byte, whether it is blank or inside a word, and the byte without case.
+_BLANKS, _INNERS, _LOWER = bytes(_IS_BLANK.tolist()), bytes(_IS_INNER.tolist()), bytes(range(256)).lower()
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _UNIT = re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
@@ -81,9 +83,8 @@ class Codes:
         while at < len(text):
             found = _BLANK.search(text, at + PIECE) if at + PIECE < len(text) else None
             end = found.start() if found else len(text)
-            data = np.frombuffer(text, np.uint8, end - at, at)
-            edges = np.flatnonzero(np.diff(np.concatenate(([True], _IS_BLANK[data], [True]))))
-            out.append(self._hashed(data, edges[::2], edges[1::2]))
+            data = text[at:end]
+            out.append(self._hashed(data, *self._bounds(data)))
             at = end
         return out[1] if len(out) == 2 else np.concatenate(out)
 
@@ -100,33 +101,47 @@ class Codes:
                 yield self(own[0])
             else:
                 ends = np.cumsum([len(t) + 1 for t in own])
-                data = np.frombuffer(b" ".join(own), np.uint8)
-                edges = np.flatnonzero(np.diff(np.concatenate(([True], _IS_BLANK[data], [True]))))
-                yield from np.split(self._hashed(data, edges[::2], edges[1::2]), np.searchsorted(edges[::2], ends[:-1]))
+                data = b" ".join(own)
+                begin, end_of = self._bounds(data)
+                yield from np.split(self._hashed(data, begin, end_of), np.searchsorted(begin, ends[:-1]))
             at = end
 
     def of(self, words: list[bytes]) -> np.ndarray:
         ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-        return self._hashed(np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], ends[:-1])) if len(ends) else ends, ends)
+        return self._hashed(b"".join(words), np.concatenate(([0], ends[:-1])) if len(ends) else ends, ends)
 
-    def _hashed(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin and end."""
+        blank = np.ones(len(data) + 2, bool)
+        blank[1:-1] = np.frombuffer(data.translate(_BLANKS), bool)
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        return edges[::2], edges[1::2]
+
+    def _hashed(self, data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         size = len(data)
         if size > len(self.powers):
             self.powers = np.cumprod(np.full(max(size, 1 << 14), _BASE, np.uint64))
             self.inverse = np.cumprod(np.full(len(self.powers) + 1, pow(_BASE, -1, 1 << 64), np.uint64))
-        inner = _IS_INNER[data]
-        at, before = np.flatnonzero(inner), np.zeros(size + 1, np.int64)
-        np.cumsum(inner, out=before[1:])
-        low, high = before[begin], before[end]
-        h = np.zeros(len(begin), np.uint64)
-        full = np.flatnonzero(low < high)
-        first, last = at[low[full]], at[high[full] - 1] + 1
+        first, last, full = begin.copy(), end.copy(), np.flatnonzero(begin < end)
+        inner = np.frombuffer(data.translate(_INNERS), bool)
+        # only words that begin or end with a mark are trimmed; where nothing is left the sum is 0
+        edge = full[~(inner[begin[full]] & inner[end[full] - 1])]
+        if len(edge):
+            at = np.flatnonzero(inner)
+            low, high = np.searchsorted(at, begin[edge]), np.searchsorted(at, end[edge])
+            last[edge] = first[edge]
+            some = low < high
+            edge = edge[some]
+            first[edge], last[edge] = at[low[some]], at[high[some] - 1] + 1
+        values = np.frombuffer(data.translate(_LOWER), np.uint8) + np.uint64(1)
+        values *= self.powers[:size]
         sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(_VALUE[data] * self.powers[:size], out=sums[1:])
-        h[full] = (sums[last] - sums[first]) * self.inverse[first]
+        np.cumsum(values, out=sums[1:])
+        h = (sums[last] - sums[first]) * self.inverse[first]
         h = (h ^ (h >> np.uint64(30))) * _M1
         h = (h ^ (h >> np.uint64(27))) * _M2
-        return ((h >> np.uint64(32)) % np.uint64(FEATURES)).astype(np.int64)
+        return ((h >> np.uint64(32)) & np.uint64(FEATURES - 1)).astype(np.int64)
 
 
 def _texts(docs: DataFrame, *columns: str) -> DataFrame:
@@ -240,25 +255,29 @@ def _gram(docs: DataFrame, known: list, idf: np.ndarray, place: np.ndarray, valu
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, place, value = shared.value
-        total, row = np.zeros((FEATURES, width), np.float32), np.zeros(FEATURES, np.int64)
+        total, row, has = np.zeros((FEATURES, width), np.float32), np.zeros(FEATURES, np.int64), np.zeros(FEATURES, bool)
         for passage, f, k, n in _passages(batches, GRAM_WORDS):
             w = k * idf[f]
             norms = np.sqrt(np.bincount(passage, w * w, n))
             w = w / np.maximum(norms, 1e-300)[passage]
             products = np.bincount(passage * width + place[f], w * value[f], n * width).astype(np.float32).reshape(n, width)
             # the passages' own features as rows, so that what they add is one product of small full matrices
-            own = np.flatnonzero(np.bincount(f, minlength=FEATURES))
+            has[f] = True
+            own = np.flatnonzero(has)
+            has[own] = False
             row[own] = np.arange(len(own))
             weights = np.zeros((len(own), n), np.float32)
             weights[row[f], passage] = w
-            total[own] += weights @ products
+            sums = weights @ products
+            sums += total.take(own, 0)
+            total[own] = sums
         blocks = total.reshape(-1, FEATURE_ROWS * width)
         found = np.flatnonzero(blocks.any(1))
         for i in range(0, len(found), FEATURE_ROWS):
             part = found[i : i + FEATURE_ROWS]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([blocks[b].tobytes() for b in part], pa.binary())], ["block", "rows"])
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -268,7 +287,7 @@ def _gram(docs: DataFrame, known: list, idf: np.ndarray, place: np.ndarray, valu
 
     kind = "block bigint, rows binary"
     added = docs.select(F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(trimmed(add), kind)
-    rows = added.repartition("block").mapInArrow(trimmed(sums), kind).toArrow()
+    rows = added.repartition("block").mapInArrow(trimmed(added_up), kind).toArrow()
     shared.destroy()
     out = np.zeros((FEATURES, width), np.float32)
     blocks = out.reshape(-1, FEATURE_ROWS * width)
@@ -280,6 +299,25 @@ def _gram(docs: DataFrame, known: list, idf: np.ndarray, place: np.ndarray, valu
     return out
 
 
+def places(words: list) -> dict:
+    """The places of each word, as bits."""
+    bits: dict = {}
+    for i, w in enumerate(words):
+        bits[w] = bits.get(w, 0) | 1 << i
+    return bits
+
+
+def common(bits: dict, size: int, words: list) -> int:
+    """The length of the longest common subsequence of some words and `size` others with these places, a machine word of places at a time."""
+    full = (1 << size) - 1
+    v, get = full, bits.get
+    for w in words:
+        if m := get(w):
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return size - v.bit_count()
+
+
 @dataclass
 class Item:
     """An item ready to be compared: places of its words as bits, and its answer."""
@@ -290,18 +328,10 @@ class Item:
     bits: dict[bytes, int] = field(default_factory=dict)
 
     def __post_init__(self):
-        for i, w in enumerate(self.words):
-            self.bits[w] = self.bits.get(w, 0) | 1 << i
+        self.bits = places(self.words)
 
     def common(self, words: list[bytes]) -> int:
-        """The length of the longest common subsequence, a machine word of places at a time."""
-        full = (1 << len(self.words)) - 1
-        v, get = full, self.bits.get
-        for w in words:
-            if m := get(w):
-                u = v & m
-                v = ((v + u) | (v - u)) & full
-        return len(self.words) - v.bit_count()
+        return common(self.bits, len(self.words), words)
 
     def answered(self, words: list[bytes]) -> float:
         return len(self.answer.intersection(words)) / len(self.answer) if self.answer else 1.0
@@ -369,10 +399,10 @@ def window_of(words: int) -> int:
 class Matcher:
     """Finds the items of a block in a text: (item, cosine, share in common) of each leak; short items have no cosine.
 
-    Windows of each length stand half a length apart, so one holds three quarters of an item's place at least. The
-    latent vector of a window is held against that of every item of its length: the near pairs, by cosine, are the
-    candidates. A window with too few words of any answer around it can have no leak and no vector is made of it; so go, in arrays, pairs
-    with too few words of the item's own answer. The rest have their words and longest common subsequence compared.
+    Windows of each length stand half a length apart, so one holds three quarters of an item's place at least. A pair of
+    window and item with too few words of the item's answer around the window can be no leak and goes first, in arrays;
+    of the others the latent vectors are held against each other, and the near ones, by cosine, are the candidates.
+    These have their longest common subsequence compared, of features first, as words have no longer one; then that of words.
     """
 
     def __init__(self, items: list[Item], idf: np.ndarray, basis: np.ndarray, short: dict[int, tuple[str, ...]] | None = None):
@@ -382,13 +412,14 @@ class Matcher:
         features = [self.codes.of(i.words) for i in items]
         latent = self._unit(np.array([self.rows[f].sum(0) for f in features], np.float32).reshape(len(items), basis.shape[1]))
         windows = np.array([window_of(len(i.words)) for i in items])
-        self.features = [frozenset(f.tolist()) for f in features]
-        #: By length of window: the latent vectors of its items as columns. Of each item: the length, and its column there.
+        #: Of each item: the places of its features as bits.
+        self.features = [places(f.tolist()) for f in features]
+        #: By length of window: the latent vectors of its items. Of each item: the length, and its row there.
         self.windows, self.place, self.scales = windows, np.zeros(len(items), np.int64), {}
         for w in sorted(set(windows.tolist())):
             own = np.flatnonzero(windows == w)
             self.place[own] = np.arange(len(own))
-            self.scales[w] = np.ascontiguousarray(latent[own].T)
+            self.scales[w] = latent[own]
         # by feature, where the items that have it in their answer begin and end in `holders`
         answers = [np.unique(self.codes.of(sorted(i.answer))) for i in items]
         feature, holder = np.concatenate([np.empty(0, np.int64), *answers]), np.repeat(np.arange(len(items)), [len(a) for a in answers])
@@ -411,84 +442,108 @@ class Matcher:
             parts.append(self.rows[part].reshape(-1, half, self.rows.shape[1]).sum(1))
         return np.concatenate(parts)
 
-    def _answers(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, item) of the words of answers, of the items that a text has enough of for a leak."""
+    def _answers(self, features: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item) of the words of answers, of the items that a text has enough of for a leak; `text` has the text of each word."""
         at = np.flatnonzero(self.begin[features + 1] > self.begin[features])
         own = features[at]
         begin = self.begin[own]
         n = self.begin[own + 1] - begin
         item = self.holders[np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)]
-        often = np.bincount(item, minlength=len(self.need))[item] >= self.need[item]
-        return np.repeat(at, n)[often], item[often]
+        at = np.repeat(at, n)
+        key = text[at] * len(self.need) + item
+        often = np.bincount(key)[key] >= self.need[item]
+        return at[often], item[often]
 
-    def candidates(self, features: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    def candidates(self, features: np.ndarray, ends: np.ndarray | None = None) -> Iterator[tuple[int, int, int, float]]:
         """(item's place, window's start, its words, cosine) of each window and item with LEAST_COSINE or more and enough
-        words of an answer around."""
+        words of an answer around. With `ends`, features are those of several texts, each up to its end there; none has a window of another's."""
         if not len(features) or not self.scales:
             return
-        at, item = self._answers(features)
+        ends = np.array([len(features)]) if ends is None else ends
+        sizes = np.diff(ends, prepend=0)
+        begins, text = ends - sizes, np.repeat(np.arange(len(ends)), sizes)
+        at, item = self._answers(features, text)
         if not len(item):
             return
-        half = min(self.scales) // 2
-        sums, held = self._sums(features, half), self.windows[item]
+        held = self.windows[item]
         for window, latent in self.scales.items():
-            while 2 * half < window:
-                sums = np.concatenate((sums, np.zeros((len(sums) % 2, sums.shape[1]), sums.dtype)))
-                sums, half = sums[::2] + sums[1::2], 2 * half
             own = np.flatnonzero(held == window)
             if not len(own):
                 continue
-            windows, size = max(1, len(sums) - 1), latent.shape[1]
-            members = np.flatnonzero(self.windows == window)
+            half, size, members = window // 2, len(latent), np.flatnonzero(self.windows == window)
+            # texts lie in blocks of half a window; window k of a text is its blocks k and k + 1, if there are two
+            blocks = -(-sizes // half)
+            before = np.cumsum(blocks) - blocks
             # the stretch around window k lies in blocks k - 2 to k + 3
-            around = (at[own] // half)[:, None] + np.arange(-3, 3)
-            key = (around * size + self.place[item[own]][:, None])[(around >= 0) & (around < windows)]
+            of = text[at[own]]
+            around = ((at[own] - begins[of]) // half)[:, None] + np.arange(-3, 3)
+            key = (around + before[of][:, None]) * size + self.place[item[own]][:, None]
+            key = key[(around >= 0) & (around < np.maximum(1, blocks[of] - 1)[:, None])]
             key.sort()
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
-            answered = key[first]
-            answered = answered[np.diff(np.append(first, len(key))) >= self.need[members[answered % size]]]
-            if not len(answered):
-                continue
-            # vectors are made of the windows that have an answer only; of these all products are, as before
-            asked, begin = np.unique(answered // size, return_index=True)
-            begin, step = np.append(begin, len(answered)), max(8, (1 << 21) // size)
-            for i in range(0, len(asked), step):
-                k = asked[i : i + step]
-                vectors = sums[k] + sums[k + 1] if len(sums) > 1 else sums[k]
+            pairs = key[first]
+            pairs = pairs[np.diff(np.append(first, len(key))) >= self.need[members[pairs % size]]]
+            for i in range(0, len(pairs), BLOCK_PAIRS):
+                asked, row = np.unique(pairs[i : i + BLOCK_PAIRS] // size, return_inverse=True)
+                column = pairs[i : i + BLOCK_PAIRS] % size
+                of = np.searchsorted(before, asked, side="right") - 1
+                start = begins[of] + (asked - before[of]) * half
+                # vectors of the blocks of these windows only; words beyond a text's end are none
+                needed = np.unique(np.concatenate((asked, asked[blocks[of] > 1] + 1)))
+                whose = np.searchsorted(before, needed, side="right") - 1
+                words = (begins[whose] + (needed - before[whose]) * half)[:, None] + np.arange(half)
+                own_features = np.where(words < ends[whose][:, None], features.take(words, mode="clip"), FEATURES)
+                sums = self._sums(own_features.ravel(), half)
+                at_block = np.searchsorted(needed, asked)
+                vectors = sums[at_block]
+                two = np.flatnonzero(blocks[of] > 1)
+                vectors[two] += sums[at_block[two] + 1]
                 norms = np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)
-                products = vectors @ latent
-                pairs = answered[begin[i] : begin[i + len(k)]]
-                row, column = np.searchsorted(k, pairs // size), pairs % size
-                cosines = products[row, column] / norms[row]
+                cosines = np.einsum("ij,ij->i", vectors[row], latent[column]) / norms[row]
                 for x in np.flatnonzero(cosines >= LEAST_COSINE).tolist():
-                    yield int(members[column[x]]), int(k[row[x]]) * half, window, float(cosines[x])
+                    yield int(members[column[x]]), int(start[row[x]]), window, float(cosines[x])
 
     def leaks_of(self, texts: list[bytes | None]) -> Iterator[list[tuple[int, float | None, float]]]:
-        """leaks of each text."""
-        for text, features in zip(texts, self.codes.texts(texts), strict=True):
-            yield self.leaks(text, features)
-
-    def leaks(self, text: bytes | None, features: np.ndarray | None = None) -> list[tuple[int, float | None, float]]:
-        words: list[bytes] | None = None
-        best: dict[int, tuple[float | None, float]] = {}
-        features = self.codes(text) if features is None else features
-        for i, start, window, cosine in self.candidates(features):
-            item = self.items[i]
-            m, known = len(item.words), best.get(item.id, (0.0, 0.0))[1]
-            stretch = slice(max(0, start - m), start + window + m)
-            # no more words in common than the stretch has of the item's features
-            if known == 1.0 or sum(map(self.features[i].__contains__, features[stretch].tolist())) < LEAST_COMMON * m:
+        """leaks of each text; short ones are searched together."""
+        most = max(1, HELD_PAIRS // max(1, len(self.items)))
+        held: list[np.ndarray] = []
+        words = done = 0
+        for features in self.codes.texts(texts):
+            if held and (words + len(features) > HELD_WORDS or len(held) == most):
+                yield from self._leaks(texts[done : done + len(held)], held)
+                done, words, held = done + len(held), 0, []
+            held.append(features)
+            words += len(features)
+        if held:
+            yield from self._leaks(texts[done:], held)
+
+    def leaks(self, text: bytes | None) -> list[tuple[int, float | None, float]]:
+        return self._leaks([text], [self.codes(text)])[0]
+
+    def _leaks(self, texts: list[bytes | None], held: list[np.ndarray]) -> list[list[tuple[int, float | None, float]]]:
+        features, ends = np.concatenate(held), np.cumsum([len(f) for f in held])
+        words: dict[int, list[bytes]] = {}
+        best: list[dict[int, tuple[float | None, float]]] = [{} for _ in texts]
+        for i, start, window, cosine in self.candidates(features, ends):
+            t = int(np.searchsorted(ends, start, side="right"))
+            item, begin = self.items[i], int(ends[t]) - len(held[t])
+            m, known = len(item.words), best[t].get(item.id, (0.0, 0.0))[1]
+            stretch = slice(max(begin, start - m) - begin, start + window + m - begin)
+            # equal words have equal features
+            if known == 1.0 or common(self.features[i], m, held[t][stretch].tolist()) < LEAST_COMMON * m:
                 continue
-            words = tokens(text) if words is None else words
-            part = list(map(bare, words[stretch]))
+            if t not in words:
+                words[t] = tokens(texts[t])
+            part = list(map(bare, words[t][stretch]))
             if item.answered(part) < LEAST_ANSWER:
                 continue
             share = item.common(part) / m
             if share >= LEAST_COMMON and share > known:
-                best[item.id] = (cosine, share)
-        for short in self.verbatim.items(text or b""):
-            best.setdefault(short, (None, 1.0))
-        return [(i, c, s) for i, (c, s) in sorted(best.items())]
+                best[t][item.id] = (cosine, share)
+        for text, found in zip(texts, best, strict=True):
+            for short in self.verbatim.items(text or b""):
+                found.setdefault(short, (None, 1.0))
+        return [[(i, c, s) for i, (c, s) in sorted(found.items())] for found in best]
 
 
 def prepare(docs: DataFrame, benchmark: DataFrame) -> list:

@@ -221,3 +221,33 @@ def test_a_text_without_words_of_answers_is_not_multiplied(monkeypatch):
     assert [i for i, *_ in matcher.leaks(leak)] == [1]
     monkeypatch.setattr(D.Matcher, "_sums", None)
     assert matcher.leaks(b" ".join(others + words[8:12])) == []
+
+
+def test_vectors_are_made_around_answers_only(monkeypatch):
+    """Of a long text with one leak only the words of windows around it have vectors summed."""
+    rng = np.random.default_rng(4)
+    words = [f"word{i}".encode() for i in range(20)]
+    others = [f"other{i}".encode() for i in range(10_000)]
+    matcher = D.Matcher([D.Item(1, words, frozenset(words[:8]))], np.ones(D.FEATURES), rng.standard_normal((D.FEATURES, 8)).astype(np.float32))
+    summed, sums = [], D.Matcher._sums
+    monkeypatch.setattr(D.Matcher, "_sums", lambda self, features, half: summed.append(len(features)) or sums(self, features, half))
+    assert [i for i, *_ in matcher.leaks(b" ".join(others[:5000] + words + others[5000:]))] == [1]
+    assert 0 < sum(summed) < 1000
+
+
+def test_texts_searched_together_have_their_own_leaks(monkeypatch):
+    """Equal to each text alone, whatever stands beside it: empty and null ones, long ones, halves of an item in neighbours."""
+    rows, bench, _ = make(6, 120, 20)
+    m = matcher_of(bench)
+    item = bench[0][1].split()
+    texts = [t.encode() for _, t in rows]
+    texts[3:3] = [None, b"", b" ".join(texts[:60]), b"", " ".join(item[: len(item) // 2]).encode(), " ".join(item[len(item) // 2 :]).encode(), b"x", None]
+    alone = [[(i, s) for i, _, s in m.leaks(t)] for t in texts]
+    assert sum(map(bool, alone)) > 20
+    for held in (1, 700, D.HELD_WORDS):
+        monkeypatch.setattr(D, "HELD_WORDS", held)
+        assert [[(i, s) for i, _, s in found] for found in m.leaks_of(texts)] == alone
+    monkeypatch.setattr(D, "BLOCK_PAIRS", 7)
+    monkeypatch.setattr(D, "HELD_PAIRS", 60)
+    assert [[(i, s) for i, _, s in found] for found in m.leaks_of(texts)] == alone
+    assert list(m.leaks_of([])) == [] and list(m.leaks_of([None])) == [[]]
