@@ -192,6 +192,32 @@ def test_false_merge_threshold_of_any_label(spark, tmp_path):
     assert catalog.QUERIES["false_merge_threshold"](spark, str(tmp_path)).first()[0] == pytest.approx(0.97)
 
 
+def test_false_merge_threshold_of_all_pairs(spark, tmp_path, monkeypatch):
+    """The nearest pair counts whatever its ids, in any two blocks; the same id isn't a pair; a vector without length is as in SQL."""
+    con = duckdb.connect()
+    rng = np.random.default_rng(11)
+
+    def both(name, rows):
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        con.sql(f"create or replace view embeddings as select * from '{tmp_path}/{name}/embeddings.parquet/*.parquet'")
+        got = catalog.QUERIES["false_merge_threshold"](spark, f"{tmp_path}/{name}").first()[0]
+        assert got == pytest.approx(con.sql(catalog.SQL["false_merge_threshold"]).fetchall()[0][0])
+        return got
+
+    monkeypatch.setattr(vector, "LEAST_ROWS", 40)
+    monkeypatch.setattr(vector, "CELLS", 300)
+    e = [(i, [1.0, 0.0, 0.0, float(x)], i % 2) for i, x in ((50, 9), (100, -9))] + [(1, [0.6, 0.8, 0.0, 0.0], 1), (3, [0.8, 0.6, 0.0, 0.0], 2)]
+    assert both("odd ids", e) == pytest.approx(0.97)
+    wide = [(i, [float(x) for x in rng.normal(size=16)], int(k)) for i, k in enumerate(rng.integers(0, 5, 400))]
+    assert both("blocks", wide) < 1
+    assert both("copies", [(i + 1000 * c, v, k) for i, v, k in wide for c in range(3)]) < 1
+    assert both("the same ids", [*wide, *((i, v, k + 1) for i, v, k in wide[:7])]) < 1
+    assert both("missing", [*wide, (None, wide[0][1], 9), (999, None, 9), (998, wide[0][1], None)]) < 1
+    assert both("no pair", [(1, [1.0] * 4, 1), (1, [1.0] * 4, 2), (2, [1.0] * 4, None)]) == 1
+    assert both("no length", [(1, [1.0, 0.0, 0.0, 0.0], 1), (2, [0.0] * 4, 2)]) == 1
+    assert both("near ones of the same label", [(1, [1.0, 0.0], 1), (2, [0.0, 1.0], 2), (3, [0.0, 1.0], 2)]) == pytest.approx(0.01)
+
+
 def test_eval_validation(spark):
     schema = "id string, question string, language string, type string, gold array<string>, gold_grades map<string,int>"
     items = spark.createDataFrame([("a", "Q one", "en", "single", ["1:2"], {}), ("b", "q ONE", "xx", "multi", ["1:2", "bad"], {"9:9": 7})], schema)
